@@ -54,13 +54,11 @@ def with_labels(rows: DataFrame, nodes: DataFrame, arn: str = "arn") -> DataFram
     )
 
 
-def evidence_rows(reports: DataFrame, excerpt_chars: int = EXCERPT_CHARS) -> DataFrame:
-    """Evidence items. An item may be a text (its excerpt) or an object."""
-    item = F.col("item")
+def _evidence(item: Column, excerpt_chars: int) -> Column:
+    """Fields of an evidence item, which may be a text (its excerpt) or an object."""
     plain = R.kind(item) == "STRING"
-    items = reports.select("response_id", F.posexplode("source_evidence").alias("pos", "item"))
-    return items.select(
-        "response_id", "pos", plain.alias("plain"),
+    return F.struct(
+        plain.alias("plain"),
         F.when(~plain, F.coalesce(R.text_at(item, "$.source_file"), F.lit(UNKNOWN))).alias("source_file"),
         F.substring(F.when(plain, R.text_at(item, "$")).otherwise(F.coalesce(R.text_at(item, "$.excerpt"), F.lit(""))),
                     1, excerpt_chars).alias("excerpt"),
@@ -70,6 +68,12 @@ def evidence_rows(reports: DataFrame, excerpt_chars: int = EXCERPT_CHARS) -> Dat
     )
 
 
+def evidence_rows(reports: DataFrame, excerpt_chars: int = EXCERPT_CHARS) -> DataFrame:
+    """Evidence items in order."""
+    items = reports.select("response_id", F.posexplode("source_evidence").alias("pos", "item"))
+    return items.select("response_id", "pos", _evidence(F.col("item"), excerpt_chars).alias("e")).select("response_id", "pos", "e.*")
+
+
 def result_summary(reports: DataFrame) -> DataFrame:
     """Short form of a report: chain joined by arrows, first five narrative entries, cut remedy."""
     return reports.select(
@@ -85,61 +89,69 @@ def summary_evidence(reports: DataFrame) -> DataFrame:
     return evidence_rows(reports, SUMMARY_EXCERPT_CHARS)
 
 
-def _lines(rows: DataFrame, section: int, item: Column | int, lines: Column) -> DataFrame:
-    item = F.lit(item) if isinstance(item, int) else item
-    return rows.select(
-        "response_id", F.lit(section).alias("section_no"), item.cast("int").alias("item_no"),
-        F.posexplode(lines).alias("line_no", "line"),
-    )
+def _numbered(section: int, item: Column, lines: Column) -> Column:
+    """Lines as structs that carry their place in the report."""
+    return F.transform(lines, lambda line, i: F.struct(
+        F.lit(section).alias("section_no"), item.cast("int").alias("item_no"), i.cast("int").alias("line_no"),
+        line.alias("line")))
+
+
+def _block(*parts: Column | str) -> Column:
+    return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _evidence_lines(item: Column, pos: Column) -> Column:
+    proof = _evidence(item, EXCERPT_CHARS)
+    title = F.concat(F.lit("### Evidence "), pos.cast("string"))
+    nothing = F.expr("cast(array() as array<string>)")
+    return F.when(proof["plain"], _block(title, "", proof["excerpt"], "")).otherwise(F.concat(
+        _block(F.concat(title, F.lit(": `"), proof["source_file"], F.lit("`")), ""),
+        F.when(proof["relevance"] != "", _block(F.concat(F.lit("**Relevance:** "), proof["relevance"]), "")).otherwise(nothing),
+        F.when(proof["excerpt"] != "", _block("```", proof["excerpt"], "```", "")).otherwise(nothing),
+    ))
 
 
 def report_lines(reports: DataFrame, nodes: DataFrame) -> DataFrame:
     """Report text as rows, to be read in the order (section_no, item_no, line_no) per report.
 
-    ``reports`` as from :func:`report_fields`. The topology overview is the same for every report;
-    :func:`topology_lines` gives it once.
+    ``reports`` as from :func:`report_fields`. One pass gives all lines but those that show a
+    resource's name; a second one joins the names. The topology overview is the same for every
+    report; :func:`topology_lines` gives it once.
     """
-    def block(*parts: Column | str) -> Column:
-        return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    head = _lines(reports, 1, 0, block(
-        "# Incident Report", "", F.concat(F.lit("Confidence: "), F.col("confidence").cast("string")), ""))
-    story = _lines(reports, 2, 0, F.concat(
-        block("## Incident Timeline", ""),
-        F.when(F.size("narrative") > 0, F.col("narrative")).otherwise(block("No narrative could be constructed.")),
-        block(""),
-    ))
-    chain_head = _lines(reports, 3, -1, F.when(F.size("root_cause_chain") > 0, block("## Root Cause Chain", "")).otherwise(
-        block("## Root Cause Chain", "", "No root cause chain identified.", "")))
-    chain = with_labels(chain_roles(reports), nodes)
-    chain_items = _lines(chain, 3, F.col("pos"), block(
-        F.concat(F.lit("### "), (F.col("pos") + 1).cast("string"), F.lit(". "), "label", F.lit(" — "), "role"),
-        F.concat(F.lit("- ID: `"), "arn", F.lit("`")), ""))
-    impacted = with_labels(
-        reports.select("response_id", F.posexplode("affected_resources").alias("pos", "arn")), nodes)
-    has_impact = reports.where(F.size("affected_resources") > 0)
-    impact_head = _lines(has_impact, 4, -1, block("## Affected Resources", ""))
-    impact_items = _lines(impacted, 4, F.col("pos"), block(
-        F.concat(F.lit("- "), "label", F.lit(" — `"), "arn", F.lit("`"))))
-    impact_end = _lines(has_impact, 4, F.size("affected_resources"), block(""))
-    action = _lines(reports, 5, 0, block(
-        "## Recommended Action", "",
-        F.coalesce(F.nullif("suggested_remediation", F.lit("")), F.lit("No specific remediation suggested.")), ""))
-    proof_head = _lines(reports.where(F.size("source_evidence") > 0), 6, -1, block("## Source Evidence", ""))
-    title = F.concat(F.lit("### Evidence "), F.col("pos").cast("string"))
-    nothing = F.expr("cast(array() as array<string>)")
-    proof = _lines(evidence_rows(reports), 6, F.col("pos"), F.when(
-        F.col("plain"), block(title, "", F.col("excerpt"), "")
-    ).otherwise(F.concat(
-        block(F.concat(title, F.lit(": `"), "source_file", F.lit("`")), ""),
-        F.when(F.col("relevance") != "", block(F.concat(F.lit("**Relevance:** "), "relevance"), "")).otherwise(nothing),
-        F.when(F.col("excerpt") != "", block("```", F.col("excerpt"), "```", "")).otherwise(nothing),
+    before, here = F.lit(-1), F.lit(0)
+    has_story, has_chain = F.size("narrative") > 0, F.size("root_cause_chain") > 0
+    impacted, proven = F.size("affected_resources"), F.size("source_evidence") > 0
+    none = F.expr("cast(array() as array<string>)")
+    fixed = reports.select("response_id", F.inline(F.concat(
+        _numbered(1, here, _block(
+            "# Incident Report", "", F.concat(F.lit("Confidence: "), F.col("confidence").cast("string")), "")),
+        _numbered(2, here, F.concat(
+            _block("## Incident Timeline", ""),
+            F.when(has_story, F.col("narrative")).otherwise(_block("No narrative could be constructed.")), _block(""))),
+        _numbered(3, before, F.when(has_chain, _block("## Root Cause Chain", "")).otherwise(
+            _block("## Root Cause Chain", "", "No root cause chain identified.", ""))),
+        _numbered(4, before, F.when(impacted > 0, _block("## Affected Resources", "")).otherwise(none)),
+        _numbered(4, impacted, F.when(impacted > 0, _block("")).otherwise(none)),
+        _numbered(5, here, _block(
+            "## Recommended Action", "",
+            F.coalesce(F.nullif("suggested_remediation", F.lit("")), F.lit("No specific remediation suggested.")), "")),
+        _numbered(6, before, F.when(proven, _block("## Source Evidence", "")).otherwise(none)),
+        F.flatten(F.transform("source_evidence", lambda item, pos: _numbered(6, pos, _evidence_lines(item, pos)))),
+    )))
+    length = F.size("root_cause_chain")
+    mentions = reports.select("response_id", F.inline(F.concat(
+        F.transform("root_cause_chain", lambda arn, pos: F.struct(
+            F.lit(3).alias("section_no"), pos.cast("int").alias("item_no"), arn.alias("arn"), role(pos, length).alias("role"))),
+        F.transform("affected_resources", lambda arn, pos: F.struct(
+            F.lit(4).alias("section_no"), pos.cast("int").alias("item_no"), arn.alias("arn"), F.lit("").alias("role"))),
     )))
-    parts = [head, story, chain_head, chain_items, impact_head, impact_items, impact_end, action, proof_head, proof]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    shown = with_labels(mentions, nodes).select("response_id", "section_no", "item_no", F.posexplode(
+        F.when(F.col("section_no") == 3, _block(
+            F.concat(F.lit("### "), (F.col("item_no") + 1).cast("string"), F.lit(". "), "label", F.lit(" — "), "role"),
+            F.concat(F.lit("- ID: `"), "arn", F.lit("`")), ""))
+        .otherwise(_block(F.concat(F.lit("- "), "label", F.lit(" — `"), "arn", F.lit("`"))))
+    ).alias("line_no", "line"))
+    return fixed.unionByName(shown)
 
 
 def topology_lines(nodes: DataFrame, labelled: DataFrame) -> DataFrame:

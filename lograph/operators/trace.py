@@ -60,9 +60,8 @@ def root_cause_trace(
     blamed = links.join(failing.select(F.col("arn").alias("target_arn")), "target_arn", "left_semi")
     clean = candidates.join(blamed.select(F.col("source_arn").alias("arn")), "arn", "left_anti")
     ranked = candidates.join(clean.select("arn", F.lit(1).alias("is_root")), "arn", "left")
-    best = ranked.orderBy(F.desc_nulls_last("is_root"), F.desc("depth"), "arn").limit(1)
-    step = best.select(F.col("arn"), F.col("depth"), F.col("via")).checkpoint()
-    chain = step
+    best = ranked.orderBy(F.desc_nulls_last("is_root"), F.desc("depth"), "arn").limit(1).select("arn", "depth", "via").checkpoint()
+    chain = step = best
     for _ in range(max_hops):
         step = (
             seen.join(step.select(F.col("via").alias("arn")), "arn").select("arn", "depth", "via").checkpoint()

@@ -143,8 +143,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a file stream."""
-    path = f"{sf_dir}/{name}.parquet"
+    """A table as a file stream. The pattern matches a single file as well as a folder of files."""
+    path = f"{sf_dir}/{name}.parque[t]"
     return spark.readStream.schema(table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 16).parquet(path)
 
 
