@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +20,9 @@ def find_arns(text: Column) -> Column:
 
 def normalize_arn(arn: Column) -> Column:
     """A bucket identifier loses its path, any other stays as it is."""
-    return F.regexp_replace(arn, r"(?s)^(arn:aws:s3:::[^/]*)/.*$", "$1")
+    bucket = F.lit("arn:aws:s3:::")
+    path = F.substring(arn, 14, 2147483647)
+    return F.when(F.startswith(arn, bucket), F.concat(bucket, F.substring_index(path, "/", 1))).otherwise(arn)
 
 
 def normalize_arns(arns: Column) -> Column:
@@ -63,7 +68,7 @@ def relationship(message: Column) -> Column:
     text = F.lower(message)
     label = None
     for name, words in RELATIONSHIP_WORDS:
-        fits = text.rlike("|".join(words))
+        fits = reduce(or_, [F.contains(text, F.lit(word)) for word in words])
         label = F.when(fits, name) if label is None else label.when(fits, name)
     return label.otherwise(DEFAULT_RELATIONSHIP)
 

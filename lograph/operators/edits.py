@@ -162,7 +162,8 @@ def edge_steps(edges: DataFrame, edits: DataFrame, removals: DataFrame, block_ro
     own = with_running(
         events, EDGE_KEY, ["seq"], {"own": ("last", F.struct("seq", "is_add"))}, block_rows
     ).where(F.col("seq") != INITIAL)
-    ends = own.select(F.explode(F.array_distinct(F.array("source_arn", "target_arn"))).alias("arn"), "seq").withColumn(
+    both = F.array_distinct(F.array("source_arn", "target_arn"))
+    ends = events.where(F.col("seq") != INITIAL).select(F.explode(both).alias("arn"), "seq").withColumn(
         "removed_at", F.lit(None).cast("bigint")
     )
     probes = with_running(

@@ -1,7 +1,9 @@
 """Root cause and impact along the dependency graph. An edge points from the caller to its dependency.
 
 Breadth-first: each hop joins the frontier with the edges and keeps what was not seen before. The
-loop on the driver only counts hops; the visited set is cut with a reliable checkpoint.
+loop on the driver only counts hops. Each hop is written to the shared folder and read back, which
+cuts the lineage, survives lost executors and tells the next join how large the frontier is: a small
+one is broadcast, so the edges stay where they are, a large one is shuffled.
 """
 
 from __future__ import annotations
@@ -10,9 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograph.operators.reports import role
-from lograph.session import shared_folder
+from lograph.session import scratch_path
 
 MAX_HOPS = 10
+SEEN = "arn string, via string, depth int"
+
+
+def _walk(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool) -> tuple[DataFrame, DataFrame]:
+    """What was reached, one folder per depth, and the links (arn, next) in walking direction."""
+    spark = edges.sparkSession
+    root = scratch_path(spark, "trace")
+    near, far = ("target_arn", "source_arn") if reverse else ("source_arn", "target_arn")
+    edges.select(F.col(near).alias("arn"), F.col(far).alias("next")).distinct().write.parquet(f"{root}/links")
+    links = spark.read.parquet(f"{root}/links")
+    starts.select("arn", F.lit(None).cast("string").alias("via")).distinct().write.parquet(f"{root}/seen/depth=0")
+
+    def seen() -> DataFrame:
+        return spark.read.schema(SEEN).parquet(f"{root}/seen")
+
+    for depth in range(1, max_hops + 1):
+        known = seen()
+        frontier = known.where(F.col("depth") == depth - 1).select("arn")
+        # One predecessor per resource is kept before the anti join: repeats fold in the aggregate.
+        step = (
+            links.join(frontier, "arn").groupBy(F.col("next").alias("arn")).agg(F.min("arn").alias("via"))
+            .join(known.select("arn"), "arn", "left_anti")
+        )
+        here = f"{root}/seen/depth={depth}"
+        step.write.parquet(here)
+        if spark.read.schema("arn string, via string").parquet(here).isEmpty():
+            break
+    return seen(), links
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, reverse: bool = False) -> DataFrame:
@@ -20,31 +50,10 @@ def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, rev
 
     ``starts``: arn. With ``reverse`` the edges are walked from dependency to caller.
     """
-    shared_folder(edges.sparkSession)
-    near, far = ("target_arn", "source_arn") if reverse else ("source_arn", "target_arn")
-    # Written once: every hop reads the two columns, not the plan that made the edges.
-    links = edges.select(F.col(near).alias("arn"), F.col(far).alias("next")).distinct().checkpoint()
-    frontier = starts.select("arn").distinct().select(
-        "arn", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")
-    ).checkpoint()
-    seen = frontier
-    for depth in range(1, max_hops + 1):
-        frontier = (
-            frontier.select("arn").join(links, "arn")
-            .groupBy(F.col("next").alias("arn")).agg(F.min("arn").alias("via"))
-            .join(seen.select("arn"), "arn", "left_anti")
-            .select("arn", F.lit(depth).alias("depth"), "via")
-            .checkpoint()
-        )
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    return _walk(edges, starts, max_hops, reverse)[0]
 
 
-def root_cause_trace(
-    edges: DataFrame, health: DataFrame, surface: str, max_hops: int = MAX_HOPS
-) -> DataFrame:
+def root_cause_trace(edges: DataFrame, health: DataFrame, surface: str, max_hops: int = MAX_HOPS) -> DataFrame:
     """Chain from the root cause to the surface error, root first.
 
     Candidates are the resources in error that the surface depends on, itself included. A root is a
@@ -52,28 +61,30 @@ def root_cause_trace(
     The deepest root is taken, then the smallest id. ``health``: arn, status.
     """
     spark = edges.sparkSession
-    start = spark.range(1).select(F.lit(surface).alias("arn"))
-    seen = reachable(edges, start, max_hops)
+    seen, links = _walk(edges, spark.range(1).select(F.lit(surface).alias("arn")), max_hops, reverse=False)
     failing = health.where(F.col("status") == "error").select("arn")
     candidates = seen.join(failing, "arn", "left_semi")
-    links = edges.select("source_arn", "target_arn").where("source_arn <> target_arn")
-    blamed = links.join(failing.select(F.col("arn").alias("target_arn")), "target_arn", "left_semi")
-    clean = candidates.join(blamed.select(F.col("source_arn").alias("arn")), "arn", "left_anti")
-    ranked = candidates.join(clean.select("arn", F.lit(1).alias("is_root")), "arn", "left")
-    best = ranked.orderBy(F.desc_nulls_last("is_root"), F.desc("depth"), "arn").limit(1).select("arn", "depth", "via").checkpoint()
-    chain = step = best
-    for _ in range(max_hops):
-        step = (
-            seen.join(step.select(F.col("via").alias("arn")), "arn").select("arn", "depth", "via").checkpoint()
-        )
-        if step.isEmpty():
-            break
+    # Only the links that leave a candidate can clear or blame it.
+    blamed = (
+        links.where("arn <> next").join(candidates.select("arn"), "arn", "left_semi")
+        .join(failing.select(F.col("arn").alias("next")), "next", "left_semi")
+        .groupBy("arn").agg(F.lit(True).alias("blamed"))
+    )
+    ranked = candidates.join(blamed, "arn", "left")
+    best = ranked.orderBy(F.col("blamed").asc_nulls_first(), F.desc("depth"), "arn").limit(1).select("arn", "via", "depth").first()
+    if best is None:
+        return spark.createDataFrame([], "position bigint, arn string, hops_from_surface bigint, role string")
+    deepest = best["depth"]
+    chain = step = spark.range(1).select(
+        F.lit(best["arn"]).alias("arn"), F.lit(best["via"]).alias("via"), F.lit(deepest).alias("depth"))
+    for depth in range(deepest - 1, -1, -1):
+        here = seen.where(F.col("depth") == depth)
+        step = here.join(step.select(F.col("via").alias("arn")), "arn").select("arn", "via", "depth")
         chain = chain.unionByName(step)
-    length = best.select((F.col("depth") + 1).alias("n"))
-    position = best.select("depth").scalar() - F.col("depth")
+    position = F.lit(deepest) - F.col("depth")
     return chain.select(
         position.cast("bigint").alias("position"), "arn", F.col("depth").cast("bigint").alias("hops_from_surface"),
-        role(position, length.scalar()).alias("role"),
+        role(position, F.lit(deepest + 1)).alias("role"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lograph.operators import edits as E
 from lograph.plans.graph_queries import as_text, uuid_of
 from lograph.plans.views import oracle, view
+from lograph.session import written
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def edit_edges(spark, sf_dir):
 
 def edit_audit(spark, sf_dir):
     batch = edits(spark, sf_dir)
-    steps = E.node_steps(nodes(spark, sf_dir), batch)
+    steps = written(E.node_steps(nodes(spark, sf_dir), batch), "node_steps")
     edge_rows = E.edge_steps(edges(spark, sf_dir), batch, E.node_removals(steps))
     return E.edit_audit(steps, edge_rows, "op-7", "edits-1")
 

@@ -60,18 +60,22 @@ def csv_lines(files: DataFrame, quoted_breaks: bool = False) -> DataFrame:
 
     ``quoted_breaks`` joins lines that an open quote runs over. It costs a shuffle by file.
     """
-    rows = _csv_records(files) if quoted_breaks else files.select(
-        "path", F.posexplode(_split_lines(decoded(F.col("content")))).alias("n", "record"),
-        F.get(_split_lines(decoded(F.col("content"))), F.lit(0)).alias("header"),
-    )
-    header = cells(F.col("header"))
-    title = F.array_join(header, " | ")
+    if quoted_breaks:
+        rows = _csv_records(files).withColumn("header", cells(F.col("header")))
+    else:
+        # The header is taken before the lines fan out, so that rows carry it and not the whole text.
+        text = decoded(F.col("content"))
+        whole = files.select(
+            "path", cells(F.regexp_extract(text, r"^[^\r\n]*", 0)).alias("header"), _split_lines(text).alias("lines"))
+        rows = whole.select("path", "header", F.posexplode("lines").alias("n", "record"))
+    title = F.array_join("header", " | ")
     return rows.select("path", "n", F.explode(
         F.when(F.col("n") == 0, F.array(
             F.struct(F.lit(1).alias("line_no"), title.alias("line")),
             F.struct(F.lit(2).alias("line_no"), F.repeat(F.lit("-"), F.length(title)).alias("line")),
         )).otherwise(F.array(F.struct(
-            (F.col("n") + 2).cast("int").alias("line_no"), key_values(header, cells(F.col("record"))).alias("line"))))
+            (F.col("n") + 2).cast("int").alias("line_no"),
+            key_values(F.col("header"), cells(F.col("record"))).alias("line"))))
     ).alias("out")).select("path", "out.line_no", "out.line")
 
 
@@ -123,12 +127,10 @@ def xml_elements(blobs: DataFrame) -> DataFrame:
         F.array(F.struct(F.lit(0).alias("no"), F.col("text").alias("xml")))
     )
     events = blobs.select("path", F.explode(numbered).alias("e")).select(
-        "path", F.col("e.no").alias("event_no"), F.col("e.xml").alias("xml")
-    )
-    tokens = events.select(
-        "path", "event_no", F.substring("xml", 1, EXCERPT_CHARS).alias("start"),
-        F.posexplode_outer(F.regexp_extract_all("xml", F.lit(_TAG), F.lit(0))).alias("n", "token"),
+        "path", F.col("e.no").alias("event_no"), F.substring("e.xml", 1, EXCERPT_CHARS).alias("start"),
+        F.regexp_extract_all("e.xml", F.lit(_TAG), F.lit(0)).alias("tokens"),
     )
+    tokens = events.select("path", "event_no", "start", F.posexplode_outer("tokens").alias("n", "token"))
     tag = F.regexp_extract("token", r"""(?s)^<((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", 1)
     rows = tokens.select(
         "path", "event_no", "n", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("start")).alias("start"), tag.alias("inner"),
