@@ -1,7 +1,8 @@
 """File scans: which logs exist, under which reference.
 
 Listing, paging and retries belong to the file system connector; the same scan works on local and on
-object storage paths. Spark leaves out names that begin with ``_`` or ``.``, also for folders.
+object storage paths. Spark leaves out empty files and names that begin with ``_`` or ``.``, also for
+folders.
 """
 
 from __future__ import annotations
