@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lograph.fixed_values import SEVERITIES
+from lograph.functions import checks
 from lograph.functions.arn import find_arns
 
 # Words that mark a line's severity; the worst that fits counts.
@@ -58,12 +60,13 @@ def file_digest(lines: DataFrame, top: int = 5) -> DataFrame:
 
 def file_overview(lines: DataFrame) -> DataFrame:
     """Lines per severity and the approximate number of resources per file."""
-    severity = line_severity(F.col("line"))
-    return lines.select("file_name", severity.alias("severity"), F.explode_outer(find_arns(F.col("line"))).alias("arn")).groupBy(
-        "file_name"
-    ).agg(
-        F.count_if(F.col("severity") == "critical").alias("critical_lines"),
-        F.count_if(F.col("severity") == "error").alias("error_lines"),
+    rows = lines.select(
+        "file_name", line_severity(F.col("line")).alias("severity"), F.posexplode_outer(find_arns(F.col("line"))).alias("pos", "arn"))
+    first = F.coalesce("pos", F.lit(0)) == 0  # a line counts once, however many resources it names
+    return rows.groupBy("file_name").agg(
+        F.count_if(first).alias("lines"),
+        F.count_if(first & (F.col("severity") == "critical")).alias("critical_lines"),
+        F.count_if(first & (F.col("severity") == "error")).alias("error_lines"),
         F.approx_count_distinct("arn").alias("resources"),
     )
 
@@ -93,3 +96,12 @@ def timeline(lines: DataFrame, window: str = "1 hour") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("lines"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
         .select(F.col("w.start").alias("window_start"), "severity", "lines", "first_ts", "last_ts")
     )
+
+
+def finding_rules() -> dict[str, Column]:
+    """Validity rules of a finding, for :func:`lograph.functions.checks.split_valid`."""
+    return {
+        "bad_severity": checks.one_of(F.col("severity"), SEVERITIES),
+        "blank_file": checks.not_blank(F.col("source_file")),
+        "no_message": F.col("message").isNotNull(),
+    }

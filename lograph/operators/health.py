@@ -86,8 +86,9 @@ def health_audit(
         order=["seq", "pos"],
         values={"worst": ("max", F.col("rank")), "errors": ("sum", F.when(F.col("rank") == 2, 1).otherwise(0))},
         block_rows=block_rows,
+        base=known,
     )
-    steps = signals.join(known, "arn").withColumns({
+    steps = signals.withColumns({
         "before": F.greatest(status_rank(F.col("status0")), F.coalesce("worst", F.lit(0))),
         "count_before": F.col("count0") + F.col("errors"),
     }).where("before < rank or (rank = 2 and before = 2)")

@@ -40,11 +40,14 @@ def with_running(
     order: list[str],
     values: dict[str, tuple[str, Column]],
     block_rows: int = BLOCK_ROWS,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per name, an aggregate over the earlier rows of the same key.
 
     ``values`` maps a column name to a kind and an expression. Kinds: ``sum`` (0 before the first
     row), ``max`` (null before) and ``last`` (last non-null value). ``order[0]`` is the position.
+    ``base`` has one row per key; its columns come along and rows of other keys drop out. It meets
+    the block table, so that the rows themselves need no join by key.
     """
     fold = {
         "sum": lambda v: F.sum(v),
@@ -63,6 +66,10 @@ def with_running(
     carried = per_block.select(
         *keys, BLOCK, *[fold[how](F.col(f"__{name}")).over(before_block).alias(f"__{name}") for name, (how, _) in values.items()]
     )
+    extra = []
+    if base is not None:
+        extra = [c for c in base.columns if c not in keys]
+        carried = carried.join(base, keys)
     before_row = earlier(*keys, BLOCK, order=order)
     joined = blocked.join(carried, [*keys, BLOCK])
 
@@ -73,7 +80,7 @@ def with_running(
         return F.greatest(here, carry) if how == "max" else F.coalesce(here, carry)
 
     return joined.select(
-        *[F.col(c) for c in rows.columns], *[combined(n, how, e).alias(n) for n, (how, e) in values.items()]
+        *[F.col(c) for c in [*rows.columns, *extra]], *[combined(n, how, e).alias(n) for n, (how, e) in values.items()]
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lograph.operators import findings as N
 from lograph.operators import trace as R
 from lograph.operators import triggers as T
-from lograph.plans.views import oracle, view
+from lograph.plans.views import oracle, table, view
+from lograph.sources import records as S
 
 SURFACE = "order-3"
 ROOT = "nation-3"
@@ -62,8 +63,30 @@ def affected_resources(spark, sf_dir):
     return R.affected_resources(edges, ROOT)
 
 
+RECORDS_SQL = """
+SELECT event_id AS seq, CASE event_type WHEN 'view' THEN '{"source_file":"a.log","severity":"fatal","message":"m"}'
+  WHEN 'click' THEN '{"source_file":"' || CAST(user_id AS STRING) || '.log","severity":"info","message":"m"}'
+  WHEN 'signup' THEN 'broken' ELSE '{"source_file":"b.log","timestamp":"2024-03-01T10:00:00","severity":"error","message":"' || event_type
+    || '","resource_arns":["x","' || CAST(user_id AS STRING) || '"]}' END AS json FROM events"""
+
+
+def _records(spark, sf_dir):
+    table(spark, sf_dir, "events").createOrReplaceTempView("events")
+    return S.findings(spark.sql(RECORDS_SQL), F.expr("timestamp_ntz '2024-01-01 00:00:00'"))
+
+
+def finding_records(spark, sf_dir):
+    good, _ = _records(spark, sf_dir)
+    return good.select("seq", "source_file", "ts", "severity", "message", F.array_join("resource_arns", ",").alias("arns"))
+
+
+def finding_rejects(spark, sf_dir):
+    _, bad = _records(spark, sf_dir)
+    return bad.select("seq", F.array_join("errors", ",").alias("errors"))
+
+
 QUERIES = {f.__name__: f for f in [
-    trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace, affected_resources,
+    finding_records, finding_rejects, trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace, affected_resources,
 ]}
 
 # The lines hold one word for the severity and one for the cause.
@@ -75,6 +98,12 @@ BFS = """
 walk AS (SELECT '{start}' AS arn, 0 AS depth UNION SELECT e.{far}, w.depth + 1 FROM walk w JOIN graph_v e ON e.{near} = w.arn WHERE w.depth < 10),
 seen AS (SELECT arn, min(depth) AS depth FROM walk GROUP BY arn)"""
 ORACLES = {
+    "finding_records": """SELECT event_id AS seq, CASE event_type WHEN 'click' THEN user_id || '.log' ELSE 'b.log' END AS source_file,
+        CASE event_type WHEN 'click' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-03-01 10:00:00' END AS ts,
+        CASE event_type WHEN 'click' THEN 'info' ELSE 'error' END AS severity, CASE event_type WHEN 'click' THEN 'm' ELSE event_type END AS message,
+        CASE event_type WHEN 'click' THEN '' ELSE 'x,' || user_id END AS arns FROM events WHERE event_type NOT IN ('view', 'signup')""",
+    "finding_rejects": """SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'bad_severity' ELSE 'bad_severity,blank_file,no_message' END AS errors
+        FROM events WHERE event_type IN ('view', 'signup')""",
     "trigger_route": oracle("""WITH k AS (SELECT event_id, CAST(event AS JSON) AS j FROM triggers_v),
         c AS (SELECT *, json_exists(j, '$.Records[0].s3') AS st, NOT json_exists(j, '$.Records[0].s3') AND json_exists(j, '$.source')
           AND json_exists(j, '$.detail') AS al FROM k)

@@ -147,6 +147,10 @@ def run_usage(spark, sf_dir):
     return U.run_usage(U.session_usage(calls(spark, sf_dir)))
 
 
+def usage_lines(spark, sf_dir):
+    return U.usage_lines(U.session_usage(calls(spark, sf_dir))).withColumn("part", F.col("part").cast("bigint"))
+
+
 OUTPUT_SQL = """
 SELECT 'session-' || CAST(conv_id AS STRING) AS label, CASE WHEN conv_id % 4 = 3 THEN '' ELSE 'opus' END AS model, length(text) AS prompt_chars,
   CASE WHEN turn % 4 = 3 THEN 'no json ' || role ELSE '{"result":"' || role || '","usage":{"input_tokens":' || CAST(length(text) AS STRING)
@@ -177,7 +181,7 @@ def credit_sessions(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     size_gate, fingerprints, cache_split, cache_misses, cache_store, combined_report, remaining_files, known_requests, resume_state,
-    next_state, text_chunks, human_sizes, reference_ids, valid_regions, call_costs, session_usage, context_use, run_usage, output_usage,
+    next_state, text_chunks, human_sizes, reference_ids, valid_regions, call_costs, session_usage, context_use, run_usage, usage_lines, output_usage,
     credit_sessions,
 ]}
 
@@ -237,6 +241,12 @@ ORACLES = {
     "run_usage": oracle(f"""WITH {ON_CALLS} SELECT model, label, count(*) AS sessions, CAST(round(sum(cost), 2) AS DOUBLE) AS credits,
         CAST(sum(total_time_secs) AS BIGINT) AS seconds, CAST(sum(turns) AS BIGINT) AS turns, CAST(grouping(model, label) AS BIGINT) AS level
         FROM sessions GROUP BY ROLLUP (model, label)""", "usage_v"),
+    "usage_lines": oracle(f"""WITH {ON_CALLS} SELECT CAST(p AS BIGINT) AS part, '' AS label, '' AS model, line FROM (SELECT
+          ['  Total sessions: ' || count(*), printf('  Total cost:     $%.4f', CAST(sum(cost) AS DOUBLE)),
+           '  Total time:     ' || CAST(sum(total_time_secs) AS BIGINT) || 's', '  Total turns:    ' || CAST(sum(turns) AS BIGINT)] AS ls FROM sessions),
+          LATERAL (SELECT unnest(ls) AS line, unnest([0, 1, 2, 3]) AS p)
+        UNION ALL SELECT 9, label, model, printf('  %s (%s): $%.4f, %d turns, %ds, %din/%dout tokens', label, model, CAST(cost AS DOUBLE), turns,
+          total_time_secs, input_tokens, output_tokens) FROM sessions""", "usage_v"),
     "output_usage": f"""WITH raw AS (SELECT conv_id, turn, 'session-' || conv_id AS label, CASE WHEN conv_id % 4 = 3 THEN '' ELSE 'opus' END AS model, length(text) AS input_chars,
           turn % 4 <> 3 AS ok, length(text) AS n, role FROM conversations),
         o AS (SELECT label, model, input_chars, CASE WHEN ok THEN n ELSE 0 END AS input_tokens, CASE WHEN ok THEN turn ELSE 0 END AS output_tokens,

@@ -25,29 +25,31 @@ def suffix(path: Column) -> Column:
 
 
 def is_log(path: Column, suffixes: list[str] = LOG_SUFFIXES) -> Column:
+    """Whether a path names a log, for listings that come as a table."""
     return suffix(path).isin(suffixes) & ~file_name(path).startswith(".")
 
 
-def _binary(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def any_case(suffixes: list[str]) -> str:
+    """File name pattern of the suffixes in upper and lower case, so that listing already leaves others out."""
+    names = ["".join(f"[{c.lower()}{c.upper()}]" for c in s[1:]) for s in suffixes]
+    return "*.{" + ",".join(names) + "}"
+
+
+def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    return reader.option("pathGlobFilter", glob).load(root).where(~file_name(F.col("path")).startswith("."))
 
 
 def scan_files(spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, glob: str | None = None) -> DataFrame:
     """Metadata of the logs under a folder: path, modificationTime, length. No content is read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select("path", "modificationTime", "length")
-    return files.where(~file_name(F.col("path")).startswith(".") if glob else is_log(F.col("path"), suffixes))
+    return _binary(spark, root, glob or any_case(suffixes)).select("path", "modificationTime", "length")
 
 
 def scan_content(
     spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, limit: int = FILE_SIZE_LIMIT
 ) -> DataFrame:
     """Logs with their bytes. The size gate is pushed into the scan, so larger files are never read."""
-    return _binary(spark, root).where((F.col("length") > 0) & (F.col("length") <= limit)).where(
-        is_log(F.col("path"), suffixes)
-    )
+    return _binary(spark, root, any_case(suffixes)).where((F.col("length") > 0) & (F.col("length") <= limit))
 
 
 def modified_since(files: DataFrame, since: Column) -> DataFrame:

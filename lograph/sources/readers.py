@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS
+from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS, FILE_SIZE_LIMIT
 from lograph.functions.tabular import cells, key_values
 from lograph.functions.text import printable_runs
-from lograph.sources.files import suffix
+from lograph.sources.files import any_case, scan_content
 
 LINE_BREAK = r"\r\n|\n|\r"
 TEXT_SUFFIXES = [".log", ".txt", ".json", ".xml", ".rpt"]
@@ -30,15 +30,10 @@ def decoded(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def _any_case(suffixes: list[str]) -> str:
-    names = ["".join(f"[{c.lower()}{c.upper()}]" for c in s[1:]) for s in suffixes]
-    return "*.{" + ",".join(names) + "}"
-
-
 def scan_lines(spark: SparkSession, root: str, suffixes: list[str] = TEXT_SUFFIXES) -> DataFrame:
     """Lines of plain logs, large files split over tasks; without line numbers."""
     lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", _any_case(suffixes)).text(root)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(suffixes)).text(root)
     )
     return lines.select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("line"))
 
@@ -223,14 +218,19 @@ def document_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, line_no int, line string")
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """Lines of every supported format, one reader per suffix. Files that give no line are in :func:`unreadable`."""
-    kind = suffix(F.col("path"))
+def file_lines(spark: SparkSession, root: str, limit: int = FILE_SIZE_LIMIT) -> DataFrame:
+    """Lines of every supported format under a folder: one scan and one reader per kind of file.
+
+    Files that give no line are in :func:`unreadable`.
+    """
+    def files(*suffixes: str) -> DataFrame:
+        return scan_content(spark, root, list(suffixes), limit)
+
     return (
-        text_lines(files.where(kind.isin(TEXT_SUFFIXES)))
-        .unionByName(csv_lines(files.where(kind == ".csv"), quoted_breaks=True))
-        .unionByName(event_file_lines(files.where(kind == ".xel")))
-        .unionByName(document_lines(files.where(kind == ".docx")))
+        text_lines(files(*TEXT_SUFFIXES))
+        .unionByName(csv_lines(files(".csv"), quoted_breaks=True))
+        .unionByName(event_file_lines(files(".xel")))
+        .unionByName(document_lines(files(".docx")))
     )
 
 

@@ -96,7 +96,7 @@ def test_discovery_survives_a_missing_source(spark, folder):
 
 def test_all_formats_as_lines(spark, folder):
     found = S.scan_content(spark, folder)
-    lines = R.file_lines(found).cache()
+    lines = R.file_lines(spark, folder).cache()
     assert lines_of(lines.where(~F.col("path").contains("/sub/")), "/a.log") == ["one", "two�", "", "last"]
     assert lines_of(lines, "/UP.LOG") == ["upper"]
     assert lines_of(lines, "rows.csv") == ["h1 | h2", "-------", "h1=1 | h2=2", "h1=3", "h1=4 | h2=5 | 6", "h1=x, y | h2=line\nbreak"]
