@@ -7,7 +7,8 @@ blocks of a bounded number of positions, so a task sees at most one block of one
 2. a window over that small table gives each block what came before it;
 3. a window inside (key, block) adds what came before the row.
 
-The order column is a list position: unique per input row and without large gaps.
+The order column is a list position, unique per input row. :func:`positioned` makes one; positions
+that are given (a sequence number, an event id) should be dense, so that blocks are well filled.
 """
 
 from __future__ import annotations
@@ -16,10 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lograph.session import written
+
 BLOCK = "__block"
 BLOCK_ROWS = 1 << 20
 
 
+def positioned(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Rows with a position that follows ``order``, from a range sort over all tasks.
+
+    The position grows from task to task and counts rows inside a task, so blocks are full. It is
+    written once, since a second run of the sort might cut the ranges elsewhere.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ordered.withColumn(name, F.monotonically_increasing_id()), "positioned")
+
+
 def with_block(rows: DataFrame, seq: str = "seq", block_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.withColumn(BLOCK, F.expr(f"cast(floor({seq} / {block_rows}) as bigint)"))
 

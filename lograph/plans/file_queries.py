@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from lograph.functions.tabular import cells, key_values
 from lograph.operators import graph as G
 from lograph.operators import health as H
+from lograph.plans import jobs
+from lograph.plans.event_queries import SEVERE
 from lograph.plans.graph_queries import MENTIONS_CTE, NODES_CTE, SIGNALS_CTE, findings, fresh_nodes
 from lograph.plans.views import oracle, table, view
 from lograph.session import scratch_path
 from lograph.sinks import graph_text as X
+from lograph.sinks.tables import read_audit
 from lograph.sources import files as S
 from lograph.sources import readers as R
 from lograph.sources import snapshots as V
@@ -102,6 +105,17 @@ def snapshot_round_trip(spark, sf_dir):
         F.col("metadata")["region"].alias("region"), F.coalesce("calls", F.lit(0)).alias("calls"), version.scalar().alias("version"))
 
 
+def topology_job(spark, sf_dir):
+    """The whole update: log files are written, read, turned into findings and merged into a stored topology."""
+    root = scratch_path(spark, "topology_job")
+    view(spark, sf_dir, "loglines_v").select("file_name", F.col("line").alias("value")).write.partitionBy("file_name").text(f"{root}/logs")
+    jobs.update_topology(spark, f"{root}/logs", f"{root}/state", "b1", F.expr("timestamp_ntz '2024-02-01 00:00:00'"))
+    nodes, _ = V.read_snapshot(spark, f"{root}/state/topology")
+    steps = read_audit(spark, f"{root}/state/audit").groupBy(F.col("resource_arn").alias("arn")).agg(F.count(F.lit(1)).alias("audit_rows"))
+    return nodes.join(steps, "arn", "left").select(
+        "arn", "name", F.col("health.status").alias("status"), F.col("health.error_count").alias("error_count"), "audit_rows")
+
+
 def _graph(spark, sf_dir):
     found = findings(spark, sf_dir)
     weights = G.edge_weights(found)
@@ -121,7 +135,7 @@ def graphml_lines(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    printable_strings, csv_kv, csv_files, xml_events, xml_files, log_files, file_scan, snapshot_round_trip, dot_lines, graphml_lines,
+    printable_strings, csv_kv, csv_files, xml_events, xml_files, log_files, file_scan, snapshot_round_trip, topology_job, dot_lines, graphml_lines,
 ]}
 
 SAFE = "replace(replace({}, ':', '_'), '/', '_')"
@@ -161,6 +175,11 @@ ORACLES = {
     "snapshot_round_trip": oracle("WITH " + NODES_CTE + "," + MENTIONS_CTE + "," + SIGNALS_CTE + """
         SELECT arn, name, status, error_count, region, coalesce((SELECT CAST(sum(request_count) AS BIGINT) FROM edges WHERE source_arn = arn), 0) AS calls,
           2 AS version FROM nodes JOIN state USING (arn)""", "findings_v"),
+    "topology_job": oracle(f"""WITH {SEVERE}, a AS (SELECT *, regexp_extract(line, 'arn:aws:[^ ]*') AS arn FROM l),
+        n AS (SELECT arn, count(*) FILTER (severity IN ('error', 'critical')) AS errors, count(*) FILTER (severity = 'warning') AS warnings,
+          arg_min(severity, file_name || lpad(CAST(line_no AS VARCHAR), 12, '0')) FILTER (severity <> 'info') AS first_bad FROM a GROUP BY arn)
+        SELECT arn, string_split(arn, ':')[-1] AS name, CASE WHEN errors > 0 THEN 'error' WHEN warnings > 0 THEN 'warning' ELSE 'unknown' END AS status,
+          errors AS error_count, 1 + errors + CASE WHEN first_bad = 'warning' THEN 1 ELSE 0 END AS audit_rows FROM n""", "loglines_v"),
     "dot_lines": oracle("WITH " + NODES_CTE + "," + MENTIONS_CTE + "," + EDGES + " "
         + fixed(0, X.DOT_HEAD) + " UNION ALL " + fixed(2, [""]) + " UNION ALL " + fixed(4, ["}"]) + " UNION ALL "
         + exploded(1, "nodes", "arn", "0", f"""['    "' || {SAFE.format('arn')} || '" [label="' || name || '\\n' || resource_type || '", fillcolor='

@@ -110,3 +110,13 @@ def test_actions(replies):
 def test_triggers(spark, event, kind, tool):
     row = T.route_triggers(spark.createDataFrame([(1, event)], "id int, event string")).first()
     assert (row["trigger_type"], row["tool"]) == (kind, tool)
+
+
+def test_file_overview_counts_lines_once_and_resources_closely(spark):
+    from lograph.operators import findings as N
+    arn = "arn:aws:ec2:us-east-1:1:instance/i-"
+    rows = [("f", f"ERROR {arn}{i} and {arn}{i + 1000}") for i in range(300)] + [("f", "FATAL none"), ("g", "fine")]
+    got = {r["file_name"]: r for r in N.file_overview(spark.createDataFrame(rows, "file_name string, line string")).collect()}
+    assert (got["f"]["lines"], got["f"]["error_lines"], got["f"]["critical_lines"]) == (301, 300, 1)
+    assert abs(got["f"]["resources"] - 600) < 60
+    assert (got["g"]["lines"], got["g"]["resources"]) == (1, 0)
