@@ -58,8 +58,9 @@ def resource_edges(findings: DataFrame, existing: DataFrame | None = None) -> Da
 
 
 def edge_weights(findings: DataFrame) -> DataFrame:
-    """How often an edge is mentioned, and how often by an error."""
+    """Where an edge is first mentioned, how often it is, and how often by an error."""
     return edge_mentions(findings).groupBy(*EDGE_KEY).agg(
+        F.min("seq").alias("first_seq"),
         F.count(F.lit(1)).alias("request_count"),
         F.count_if(F.col("severity").isin("error", "critical")).alias("error_count"),
     )

@@ -94,6 +94,10 @@ def health_audit(
     }).where("before < rank or (rank = 2 and before = 2)")
     status_before = F.when(F.col("before") == 2, "error").when(F.col("before") == 1, "warning").otherwise(F.col("status0"))
     again, fails = F.col("before") == 2, F.col("rank") == 2
+
+    def counted(n: Column) -> Column:
+        return F.concat(F.lit('{"error_count":'), n.cast("string"), F.lit("}"))
+
     moved = F.concat(F.lit("Health changed from '"), status_before)
     return steps.select(
         "seq", "pos", "ts",
@@ -105,9 +109,9 @@ def health_audit(
         F.when(again, F.concat(F.lit("Additional error recorded: "), "message"))
         .when(fails, F.concat(moved, F.lit("' to 'error': "), "message"))
         .otherwise(F.concat(moved, F.lit("' to 'warning'"))).alias("description"),
-        F.when(again, F.to_json(F.struct(F.col("count_before").alias("error_count"))))
+        F.when(again, counted(F.col("count_before")))
         .otherwise(F.to_json(F.struct(status_before.alias("status")))).alias("previous_value"),
-        F.when(again, F.to_json(F.struct((F.col("count_before") + 1).alias("error_count"))))
+        F.when(again, counted(F.col("count_before") + 1))
         .when(fails, F.to_json(F.struct(F.lit("error").alias("status"), F.col("message").alias("last_error"))))
         .otherwise(F.to_json(F.struct(F.lit("warning").alias("status")))).alias("new_value"),
     )

@@ -34,7 +34,7 @@ def positioned(rows: DataFrame, order: list[str], name: str = "seq") -> DataFram
 
 
 def with_block(rows: DataFrame, seq: str = "seq", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    return rows.withColumn(BLOCK, F.expr(f"cast(floor({seq} / {block_rows}) as bigint)"))
+    return rows.withColumn(BLOCK, F.expr(f"{seq} div {block_rows}"))
 
 
 def latest(value: Column, order: Column) -> Column:
@@ -84,16 +84,17 @@ def with_running(
         extra = [c for c in base.columns if c not in keys]
         carried = carried.join(base, keys)
     before_row = earlier(*keys, BLOCK, order=order)
-    joined = blocked.join(carried, [*keys, BLOCK])
+    # The window comes first: its sort order also serves the join by (key, block).
+    inside = blocked.select("*", *[fold[how](expr).over(before_row).alias(f"__in_{name}") for name, (how, expr) in values.items()])
 
-    def combined(name: str, how: str, expr: Column) -> Column:
-        here, carry = fold[how](expr).over(before_row), F.col(f"__{name}")
+    def combined(name: str, how: str) -> Column:
+        here, carry = F.col(f"__in_{name}"), F.col(f"__{name}")
         if how == "sum":
             return F.coalesce(here, F.lit(0)) + F.coalesce(carry, F.lit(0))
         return F.greatest(here, carry) if how == "max" else F.coalesce(here, carry)
 
-    return joined.select(
-        *[F.col(c) for c in [*rows.columns, *extra]], *[combined(n, how, e).alias(n) for n, (how, e) in values.items()]
+    return inside.join(carried, [*keys, BLOCK]).select(
+        *[F.col(c) for c in [*rows.columns, *extra]], *[combined(name, how).alias(name) for name, (how, _) in values.items()]
     )
 
 

@@ -93,7 +93,7 @@ def snapshot_round_trip(spark, sf_dir):
     nodes = H.health_state(found, fresh).select(
         "arn", "resource_type", "name", F.struct("status", "last_error", "error_count", "last_seen").alias("health"),
         F.create_map(F.lit("region"), F.col("region")).alias("metadata"))
-    edges = G.edge_weights(found)
+    edges = G.edge_weights(found).drop("first_seq")
     at = F.expr("timestamp_ntz '2024-02-01 00:00:00'")
     V.write_snapshot(nodes.where("health.status = 'unknown'"), edges.limit(0), path, at)
     V.write_snapshot(nodes, edges, path, at)
@@ -118,8 +118,7 @@ def topology_job(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     found = findings(spark, sf_dir)
-    weights = G.edge_weights(found)
-    return G.resource_nodes(found), G.resource_edges(found).join(weights, G.EDGE_KEY)
+    return G.resource_nodes(found), G.edge_weights(found)
 
 
 def _wide(lines):

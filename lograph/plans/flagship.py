@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograph.operators import graph, health
-from lograph.plans.graph_queries import findings
+from lograph.plans.graph_queries import MENTIONS_CTE, NODES_CTE, SIGNALS_CTE, findings
+from lograph.plans.views import oracle
 
 
 def unhealthy_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,3 +21,13 @@ def unhealthy_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.join(dependencies, "arn", "left").select(
         "arn", "name", "resource_type", "status", "error_count", "last_error", "last_seen",
         F.coalesce("dependencies", F.lit(0)).alias("dependencies"), "last_dependency")
+
+
+QUERIES = {"unhealthy_resources": unhealthy_resources}
+ORACLES = {
+    "unhealthy_resources": oracle(f"""WITH {NODES_CTE}, {MENTIONS_CTE}, {SIGNALS_CTE},
+        d AS (SELECT source_arn AS arn, count(DISTINCT target_arn) AS dependencies, max(name) AS last_dependency
+          FROM edges JOIN nodes ON nodes.arn = target_arn GROUP BY 1)
+        SELECT arn, name, resource_type, status, error_count, last_error, last_seen, coalesce(dependencies, 0) AS dependencies, last_dependency
+        FROM nodes JOIN state USING (arn) LEFT JOIN d USING (arn) WHERE status IN ('error', 'warning')""", "findings_v"),
+}

@@ -261,7 +261,7 @@ ORACLES = {
     "graph_edges": on_findings(MENTIONS_CTE, "SELECT source_arn, target_arn, relationship, first_seq FROM edges"),
     "relationship_counts": on_findings(MENTIONS_CTE, """SELECT relationship,
         count(DISTINCT source_arn || '|' || target_arn) AS edges, count(*) AS mentions FROM mentions GROUP BY 1"""),
-    "edge_weights": on_findings(MENTIONS_CTE, "SELECT source_arn, target_arn, relationship, request_count, error_count FROM edges"),
+    "edge_weights": on_findings(MENTIONS_CTE, "SELECT source_arn, target_arn, relationship, first_seq, request_count, error_count FROM edges"),
     "health_state": on_findings(SIGNALS_CTE, "SELECT * FROM state"),
     "labelled_edges": on_findings(NODES_CTE + "," + MENTIONS_CTE, """SELECT s.name AS source_label, relationship,
         t.name AS target_label, source_arn, target_arn FROM edges JOIN nodes s ON s.arn = source_arn

@@ -104,7 +104,7 @@ UNION SELECT DISTINCT 'nation-' || CAST(n_nationkey AS STRING), 'region-' || CAS
 UNION SELECT DISTINCT 'region-' || CAST(r_regionkey AS STRING), 'nation-' || CAST(r_regionkey AS STRING), 'reads_from' FROM region
 """,
     "graph_health_v": """
-SELECT arn, CASE WHEN arn LIKE '%3' OR arn LIKE '%0' THEN 'error' ELSE 'healthy' END AS status
+SELECT arn, CASE WHEN arn NOT LIKE 'region-%' AND (arn LIKE '%3' OR arn LIKE '%0') THEN 'error' ELSE 'healthy' END AS status
 FROM (SELECT source_arn AS arn FROM graph_v UNION SELECT target_arn FROM graph_v) n
 """,
     "triggers_v": """

@@ -13,6 +13,7 @@ from lograph.operators import incremental, ledger
 from lograph.operators.findings import line_severity
 from lograph.operators.health import fold_aggregates, health_signals
 from lograph.operators.triggers import route_triggers
+from lograph.session import written
 from lograph.streaming.sinks import start_batches
 
 
@@ -51,9 +52,12 @@ def ingest_stream(references: DataFrame, target: str, checkpoint: str, order: li
     rest = [c for c in references.columns if c != "unique_id"]
 
     def unseen(batch: DataFrame, batch_id: int) -> DataFrame:
-        known = _earlier_batches(batch.sparkSession, target, batch_id, "unique_id string, batch int")
         firsts = batch.groupBy("unique_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
-        return ledger.new_references(firsts, known).select("unique_id", *[F.col("row")[c].alias(c) for c in rest])
+        # Written, so that its size is known: a small batch is broadcast to the ledger, which then needs no shuffle.
+        firsts = written(firsts, "arrivals")
+        known = _earlier_batches(batch.sparkSession, target, batch_id, "unique_id string, batch int")
+        seen = known.join(firsts.select("unique_id"), "unique_id", "left_semi")
+        return ledger.new_references(firsts, seen).select("unique_id", *[F.col("row")[c].alias(c) for c in rest])
 
     return start_batches(references, target, checkpoint, "append", unseen, once)
 
