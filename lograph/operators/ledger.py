@@ -78,7 +78,16 @@ def expired(ledger: DataFrame, before: Column) -> DataFrame:
 
 def mark_purged(ledger: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
     """Ledger with the given ids purged: no path, a purge time, the row stays."""
-    return _purge_where(ledger, ids, F.lit(True), at)
+    hits = ids.select("unique_id").distinct().withColumn("__hit", F.lit(True))
+    return _rewrite_purged(ledger.join(hits, "unique_id", "left"), F.col("__hit").isNotNull(), at)
+
+
+def due_for_purge(
+    ledger: DataFrame, as_of: Column, failed_deletes: DataFrame | None = None, days: int = RETENTION_DAYS
+) -> DataFrame:
+    """Expired rows at ``as_of``, without those whose file could not be deleted."""
+    due = expired(ledger, as_of - F.expr(f"interval {days} days"))
+    return due if failed_deletes is None else due.join(failed_deletes.select("unique_id"), "unique_id", "left_anti")
 
 
 def enforce_retention(
@@ -89,13 +98,7 @@ def enforce_retention(
     if failed_deletes is None:
         return _rewrite_purged(ledger, due, as_of)
     kept = failed_deletes.select("unique_id").distinct().withColumn("__failed", F.lit(True))
-    marked = ledger.join(kept, "unique_id", "left")
-    return _rewrite_purged(marked, due & F.col("__failed").isNull(), as_of)
-
-
-def _purge_where(ledger: DataFrame, ids: DataFrame, condition: Column, at: Column) -> DataFrame:
-    hits = ids.select("unique_id").distinct().withColumn("__hit", F.lit(True))
-    return _rewrite_purged(ledger.join(hits, "unique_id", "left"), F.col("__hit").isNotNull() & condition, at)
+    return _rewrite_purged(ledger.join(kept, "unique_id", "left"), due & F.col("__failed").isNull(), as_of)
 
 
 def _rewrite_purged(rows: DataFrame, condition: Column, at: Column) -> DataFrame:

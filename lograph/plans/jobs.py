@@ -1,4 +1,4 @@
-"""The two jobs from end to end: bring the topology up to date from a folder of logs, and look into an error."""
+"""The jobs from end to end: take in new logs, bring the topology up to date, look into an error, retire old logs."""
 
 from __future__ import annotations
 
@@ -6,24 +6,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lograph.fixed_values import RETENTION_DAYS
 from lograph.operators import findings as N
 from lograph.operators import graph as G
 from lograph.operators import health as H
+from lograph.operators import ledger as L
 from lograph.operators import reports as S
 from lograph.operators import trace as R
 from lograph.operators.running import positioned
+from lograph.schemas import LEDGER
 from lograph.session import configure, written
 from lograph.sinks.tables import append_audit
 from lograph.sources import readers, snapshots
+from lograph.sources.files import log_references, scan_files
+from lograph.sources.snapshots import read_table, write_tables
 
 AUDIT_COLUMNS = [
     "change_id", "timestamp", "resource_arn", "change_type", "source", "triggered_by", "description", "previous_value", "new_value",
 ]
 
 
-def log_findings(spark: SparkSession, log_root: str, as_of: Column) -> DataFrame:
-    """Findings of all logs under a folder, in the order of path and line. Lines without resource or problem stay out."""
-    lines = readers.file_lines(spark, log_root)
+def take_in(spark: SparkSession, log_root: str, state_root: str, as_of: Column, source_type: str = "local_file") -> DataFrame:
+    """Enter the logs that the ledger does not know yet; returns them (unique_id, path). They stay where they are."""
+    configure(spark)
+    files = scan_files(spark, log_root)
+    references = log_references(files, source_type, log_root).select(
+        "unique_id", "source_type", F.col("identifier").alias("source_identifier"), "key",
+        F.col("path").alias("local_path"), as_of.alias("downloaded_at"))
+    ledger = read_table(spark, f"{state_root}/ledger", "ledger", LEDGER)
+    new = written(L.new_references(references, ledger), "new_references")
+    write_tables(spark, {"ledger": L.mark_downloaded(ledger, new, ["unique_id"])}, f"{state_root}/ledger", as_of)
+    return new.select("unique_id", F.col("local_path").alias("path"))
+
+
+def retire(
+    spark: SparkSession, state_root: str, as_of: Column, failed_deletes: DataFrame | None = None, days: int = RETENTION_DAYS
+) -> DataFrame:
+    """Mark logs past their retention as purged; returns the ids. Deleting the files is the storage's lifecycle rule."""
+    configure(spark)
+    ledger = read_table(spark, f"{state_root}/ledger", "ledger", LEDGER)
+    due = written(L.due_for_purge(ledger, as_of, failed_deletes, days).select("unique_id"), "due")
+    write_tables(spark, {"ledger": L.mark_purged(ledger, due, as_of)}, f"{state_root}/ledger", as_of)
+    return due
+
+
+def log_findings(
+    spark: SparkSession, log_root: str, as_of: Column, after: str | None = None, only: DataFrame | None = None
+) -> DataFrame:
+    """Findings of the logs under a folder, in the order of path and line. Lines without resource or problem stay out."""
+    lines = readers.file_lines(spark, log_root, after=after, only=only)
     found = N.line_findings(lines).where("severity <> 'info' or size(resource_arns) > 0").select(
         F.col("path").alias("source_file"), "line_no", "severity", F.col("line").alias("message"), "resource_arns",
         F.coalesce(F.try_to_timestamp("written_time").cast("timestamp_ntz"), as_of).alias("ts"),
@@ -31,13 +62,17 @@ def log_findings(spark: SparkSession, log_root: str, as_of: Column) -> DataFrame
     return positioned(found, ["source_file", "line_no"])
 
 
-def update_topology(spark: SparkSession, log_root: str, state_root: str, batch: str, as_of: Column) -> int:
+def update_topology(
+    spark: SparkSession, log_root: str, state_root: str, batch: str, as_of: Column, after: str | None = None,
+    only: DataFrame | None = None,
+) -> int:
     """Merge what the logs tell into the stored topology; returns the new version.
 
-    Health counters add up, so each set of logs must come once: select files with the ledger first.
+    Health counters add up, so each log must come once: ``only`` takes the result of :func:`take_in`,
+    ``after`` spares the listing files that are older anyway.
     """
     configure(spark)
-    found = log_findings(spark, log_root, as_of)
+    found = log_findings(spark, log_root, as_of, after, only)
     old_nodes, old_edges = snapshots.read_snapshot(spark, f"{state_root}/topology")
     resources = G.resource_nodes(found).withColumn("properties", F.create_map(F.lit("region"), F.col("region")))
     merged = written(G.merge_nodes(old_nodes, resources), "merged_nodes")

@@ -2,7 +2,7 @@
 
 LOG_REFS = (
     "source_type string, identifier string, region string, prefix string, key string, "
-    "timestamp timestamp_ntz, size_bytes bigint, unique_id string"
+    "timestamp timestamp_ntz, size_bytes bigint, unique_id string, path string"
 )
 LEDGER = (
     "unique_id string, source_type string, source_identifier string, key string, local_path string, "

@@ -35,8 +35,10 @@ def any_case(suffixes: list[str]) -> str:
     return "*.{" + ",".join(names) + "}"
 
 
-def _binary(spark: SparkSession, root: str, glob: str) -> DataFrame:
+def _binary(spark: SparkSession, root: str, glob: str, after: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    if after:
+        reader = reader.option("modifiedAfter", after)
     return reader.option("pathGlobFilter", glob).load(root).where(~file_name(F.col("path")).startswith("."))
 
 
@@ -46,10 +48,13 @@ def scan_files(spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXE
 
 
 def scan_content(
-    spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, limit: int = FILE_SIZE_LIMIT
+    spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, limit: int = FILE_SIZE_LIMIT, after: str | None = None
 ) -> DataFrame:
-    """Logs with their bytes. The size gate is pushed into the scan, so larger files are never read."""
-    return _binary(spark, root, any_case(suffixes)).where((F.col("length") > 0) & (F.col("length") <= limit))
+    """Logs with their bytes. The size gate is pushed into the scan, so larger files are never read.
+
+    ``after`` (``2024-01-31T00:00:00``) lets the listing leave out files that did not change since.
+    """
+    return _binary(spark, root, any_case(suffixes), after).where((F.col("length") > 0) & (F.col("length") <= limit))
 
 
 def modified_since(files: DataFrame, since: Column) -> DataFrame:
@@ -73,7 +78,7 @@ def log_references(files: DataFrame, source_type: str, identifier: str, region:
         F.lit(source_type).alias("source_type"), F.lit(identifier).alias("identifier"), F.lit(region).alias("region"),
         F.lit(prefix).cast("string").alias("prefix"), key.alias("key"),
         F.col("modificationTime").cast("timestamp_ntz").alias("timestamp"), F.col("length").alias("size_bytes"),
-        reference_id(F.lit(source_type), F.lit(identifier), key).alias("unique_id"),
+        reference_id(F.lit(source_type), F.lit(identifier), key).alias("unique_id"), "path",
     )
 
 

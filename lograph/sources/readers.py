@@ -218,13 +218,16 @@ def document_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, line_no int, line string")
 
 
-def file_lines(spark: SparkSession, root: str, limit: int = FILE_SIZE_LIMIT) -> DataFrame:
+def file_lines(
+    spark: SparkSession, root: str, limit: int = FILE_SIZE_LIMIT, after: str | None = None, only: DataFrame | None = None
+) -> DataFrame:
     """Lines of every supported format under a folder: one scan and one reader per kind of file.
 
-    Files that give no line are in :func:`unreadable`.
+    ``only`` (path) keeps the named files. Files that give no line are in :func:`unreadable`.
     """
     def files(*suffixes: str) -> DataFrame:
-        return scan_content(spark, root, list(suffixes), limit)
+        found = scan_content(spark, root, list(suffixes), limit, after)
+        return found if only is None else found.join(only.select("path"), "path", "left_semi")
 
     return (
         text_lines(files(*TEXT_SUFFIXES))

@@ -1,4 +1,4 @@
-"""Topology snapshots: node and edge tables per version, a header row that makes a version valid.
+"""Versioned tables (topology, ledger): a folder per version, a header row that makes a version valid.
 
 A version is written to a folder of its own; its header row comes last. A reader takes the highest
 version that has a header, so a lost job leaves nothing half-read behind.
@@ -27,27 +27,23 @@ def latest_version(spark: SparkSession, root: str) -> int:
     return read_header(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
 
-def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a version, the latest by default; empty tables when there is none."""
+def read_table(spark: SparkSession, root: str, name: str, schema: str, version: int | None = None) -> DataFrame:
+    """One table of a version, the latest by default; empty when there is none."""
     version = latest_version(spark, root) if version is None else version
     if version == 0:
-        return spark.createDataFrame([], TOPOLOGY_NODES), spark.createDataFrame([], TOPOLOGY_EDGES)
-    folder = f"{root}/version={version}"
-    return (
-        spark.read.schema(TOPOLOGY_NODES).parquet(f"{folder}/nodes"),
-        spark.read.schema(TOPOLOGY_EDGES).parquet(f"{folder}/edges"),
-    )
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/version={version}/{name}")
 
 
-def write_snapshot(nodes: DataFrame, edges: DataFrame, root: str, as_of: Column) -> int:
-    """Write the next version and return its number. Every call makes a new version."""
-    spark = nodes.sparkSession
-    header = read_header(spark, root)
-    known = header.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"), F.min("generated_at").alias("g")).first()
+def write_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str, as_of: Column) -> int:
+    """Write the tables as the next version and return its number. Every call makes a new version.
+
+    The tables may come from an earlier version: it is read while the new one is written elsewhere.
+    """
+    known = read_header(spark, root).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v"), F.min("generated_at").alias("g")).first()
     version = known["v"] + 1
-    folder = f"{root}/version={version}"
-    nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
-    edges.write.mode("overwrite").parquet(f"{folder}/edges")
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
     born = as_of if known["g"] is None else F.lit(known["g"])
     spark.range(1).select(
         F.lit(version).cast("bigint").alias("version"), born.cast("timestamp_ntz").alias("generated_at"),
@@ -56,6 +52,18 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, root: str, as_of: Column)
     return version
 
 
+def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a topology version."""
+    version = latest_version(spark, root) if version is None else version
+    return (
+        read_table(spark, root, "nodes", TOPOLOGY_NODES, version), read_table(spark, root, "edges", TOPOLOGY_EDGES, version),
+    )
+
+
+def write_snapshot(nodes: DataFrame, edges: DataFrame, root: str, as_of: Column) -> int:
+    return write_tables(nodes.sparkSession, {"nodes": nodes, "edges": edges}, root, as_of)
+
+
 def _document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("data"))
 

@@ -41,3 +41,23 @@ def test_positions_follow_the_order_over_several_tasks(spark):
     assert [r["k"] for r in rows.orderBy("seq").collect()] == list(range(5000))
     got = with_running(rows, ["g"], ["seq"], {"n": ("sum", F.lit(1))}, 64)
     assert got.where("n <> k").count() == 0
+
+
+def test_logs_come_in_once_and_retire(spark, tmp_path):
+    logs, state = tmp_path / "logs", str(tmp_path / "state")
+    logs.mkdir()
+    (logs / "a.log").write_text(f"ERROR {WEB} one\n")
+    day = "timestamp_ntz '2024-02-{} 00:00:00'"
+    first = jobs.take_in(spark, str(logs), state, F.expr(day.format("01")))
+    assert [r["path"] for r in first.collect()] == [f"file:{logs}/a.log"]
+    jobs.update_topology(spark, str(logs), state, "b1", F.expr(day.format("01")), only=first)
+    (logs / "b.log").write_text(f"ERROR {WEB} two\n")
+    second = jobs.take_in(spark, str(logs), state, F.expr(day.format("05")))
+    assert [r["path"] for r in second.collect()] == [f"file:{logs}/b.log"]
+    jobs.update_topology(spark, str(logs), state, "b2", F.expr(day.format("05")), after="2020-01-01T00:00:00", only=second)
+    nodes, _ = snapshots.read_snapshot(spark, f"{state}/topology")
+    assert [r["health"]["error_count"] for r in nodes.collect()] == [2]  # each log counted once
+    assert jobs.take_in(spark, str(logs), state, F.expr(day.format("06"))).count() == 0
+    assert [r["unique_id"] for r in jobs.retire(spark, state, F.expr(day.format("09"))).collect()] == [f"local_file:{logs}:a.log"]
+    assert jobs.retire(spark, state, F.expr(day.format("09"))).count() == 0
+    assert jobs.take_in(spark, str(logs), state, F.expr(day.format("10"))).count() == 0  # purged logs stay known
