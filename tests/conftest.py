@@ -2,6 +2,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -24,8 +25,8 @@ def spark():
 def one(spark):
     """Value of a column expression over one row of named values."""
     def value(expression, **columns):
-        types = ", ".join(f"{name} {'string' if not isinstance(v, int) else 'bigint'}" for name, v in columns.items())
-        frame = spark.createDataFrame([tuple(columns.values())], types) if columns else spark.range(1)
+        given = [F.lit(v).cast("bigint" if isinstance(v, int) else "string").alias(name) for name, v in columns.items()]
+        frame = spark.range(1).select(*given) if given else spark.range(1)
         return frame.select(expression.alias("v")).first()["v"]
 
     return value
