@@ -14,7 +14,7 @@ def strip_ansi(text: Column) -> Column:
 
 def strip_text(text: Column) -> Column:
     """Without white space of any kind at both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def credits_in(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS, FILE_SIZE_LIMIT
 from lograph.functions.tabular import cells, key_values
-from lograph.functions.text import printable_runs
+from lograph.functions.text import printable_runs, strip_text
 from lograph.sources.files import any_case, scan_content
 
 LINE_BREAK = r"\r\n|\n|\r"
@@ -141,7 +141,7 @@ def xml_elements(blobs: DataFrame) -> DataFrame:
     measured = rows.withColumns({"step": step, "opens": opens}).withColumns({
         "depth": depth, "total": F.sum("step").over(here), "elements": F.count_if("opens").over(here)
     })
-    value = F.trim(F.regexp_replace(_unescape(F.col("after")), r"^\s+|\s+$", ""))
+    value = strip_text(_unescape(F.col("after")))
     return measured.where("opens or coalesce(n, 0) = 0").select(
         "path", "event_no", "n", "depth", "opens", ((F.col("total") == 0) & (F.col("elements") > 0)).alias("sound"), "start",
         F.regexp_extract("inner", r"^([^\s/]+)", 1).alias("tag"), _attributes(inner).alias("attributes"),
