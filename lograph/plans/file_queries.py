@@ -36,7 +36,8 @@ def csv_kv(spark, sf_dir):
     """Rows shorter and longer than the header, with quotes."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     header = cells(F.lit("key,status,priority"))
-    return spark.sql(CSV_SQL).select("o_orderkey", key_values(header, cells(F.col("record"))).alias("line"))
+    rows = spark.sql(CSV_SQL).select("o_orderkey", cells(F.col("record")).alias("row"))
+    return rows.select("o_orderkey", key_values(header, F.col("row")).alias("line"))
 
 
 def csv_files(spark, sf_dir):

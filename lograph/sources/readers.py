@@ -64,13 +64,13 @@ def csv_lines(files: DataFrame, quoted_breaks: bool = False) -> DataFrame:
             "path", cells(F.regexp_extract(text, r"^[^\r\n]*", 0)).alias("header"), _split_lines(text).alias("lines"))
         rows = whole.select("path", "header", F.posexplode("lines").alias("n", "record"))
     title = F.array_join("header", " | ")
-    return rows.select("path", "n", F.explode(
+    return rows.withColumn("row", cells(F.col("record"))).select("path", "n", F.explode(
         F.when(F.col("n") == 0, F.array(
             F.struct(F.lit(1).alias("line_no"), title.alias("line")),
             F.struct(F.lit(2).alias("line_no"), F.repeat(F.lit("-"), F.length(title)).alias("line")),
         )).otherwise(F.array(F.struct(
             (F.col("n") + 2).cast("int").alias("line_no"),
-            key_values(F.col("header"), cells(F.col("record"))).alias("line"))))
+            key_values(F.col("header"), F.col("row")).alias("line"))))
     ).alias("out")).select("path", "out.line_no", "out.line")
 
 
