@@ -101,17 +101,21 @@ def run_usage(sessions: DataFrame) -> DataFrame:
 
 def usage_lines(sessions: DataFrame) -> DataFrame:
     """Usage report as lines, to be read in the order (part, label, model): totals, then one line per session."""
+    def shown(cost: Column) -> Column:
+        """Four decimals, rounded by the exact binary value, as C and Python print a double."""
+        return F.replace(F.format_number(cost.cast("double"), 4), F.lit(","), F.lit(""))
+
     counted = sessions.where("turns > 0")
     total = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("cost"), F.lit(0)).cast("double").alias("cost"),
+        F.count(F.lit(1)).alias("n"), shown(F.coalesce(F.sum("cost"), F.lit(0))).alias("cost"),
         F.coalesce(F.sum("total_time_secs"), F.lit(0)).alias("secs"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"))
     head = total.select(F.posexplode(F.array(
-        F.format_string("  Total sessions: %d", "n"), F.format_string("  Total cost:     $%.4f", "cost"),
+        F.format_string("  Total sessions: %d", "n"), F.format_string("  Total cost:     $%s", "cost"),
         F.format_string("  Total time:     %ds", "secs"), F.format_string("  Total turns:    %d", "turns"),
     )).alias("part", "line")).select("part", F.lit("").alias("label"), F.lit("").alias("model"), "line")
     each = counted.select(
         F.lit(9).alias("part"), "label", "model",
-        F.format_string("  %s (%s): $%.4f, %d turns, %ds, %din/%dout tokens", "label", "model", F.col("cost").cast("double"),
+        F.format_string("  %s (%s): $%s, %d turns, %ds, %din/%dout tokens", "label", "model", shown(F.col("cost")),
                         "turns", "total_time_secs", "input_tokens", "output_tokens").alias("line"))
     return head.unionByName(each)
 
