@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, mixing, warc
-from lograph.session import configure, scratch_path
+from lograph.llm import bpe, mixing, quality, warc
+from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,6 +40,61 @@ from p left join f on d = payload_digest and payload_bytes >= 100
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base checks and the rules whose cutoffs the labels certify, over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = written(quality.features(docs).drop("text"), "quality")
+    cuts = written(quality.cutoffs(measured, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.judged(measured, cuts).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    )
+
+
+def quality_sql() -> str:
+    """Features, exact binomial tests along each grid, and the verdict."""
+    grids = ", ".join(
+        f"('{rule}', {quality.RISK * share!r}, {i}, {cut!r})" for rule, (share, grid) in quality.RULES.items() for i, cut in enumerate(grid)
+    )
+    values = " union all ".join(
+        f"select doc_id, lang, base_failed, '{rule}' as rule, {value} as v from feats" for rule, value in {
+            "symbols": "coalesce(n_symbols / nullif(word_chars, 0), 0.0)", "dup_lines": "coalesce(n_dup_lines / nullif(n_lines, 0), 0.0)",
+            "repeats": "coalesce(n_repeat_words / nullif(n_words, 0), 0.0)", "word_length": "coalesce(word_chars / nullif(n_words, 0), 0.0)",
+        }.items()
+    )
+    return rf"""
+with d as (select doc_id, lang, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)),
+hit as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from win) where n > 1),
+covered as (select doc_id, count(*) as n_repeat_words from (select distinct doc_id, i + unnest([0, 1, 2]) as p from hit) group by doc_id),
+lines as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+feats as (
+  select d.doc_id, lang, len(w) as n_words, coalesce(length(array_to_string(w, '')), 0) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, len(l) as n_lines,
+    len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    len(w) < {quality.LEAST_WORDS} or 100 * coalesce(n_repeat_words, 0) > 50 * len(w) as base_failed
+  from d join lines using (doc_id) left join covered using (doc_id)
+),
+vals as ({values}),
+good as (select doc_id from labels where quality is not null and doc_id is not null group by doc_id having min(quality) = 1),
+held as (select vals.* from vals join good using (doc_id) where not base_failed),
+grid(rule, p, i, cut) as (values {grids}),
+strata as (select lang as stratum, count(*) as n from held where rule = 'symbols' group by lang),
+ks as (
+  select stratum, grid.rule, grid.i, any_value(cut) as cut, any_value(p) as p, any_value(n) as n, sum((v > cut)::int)::bigint as k
+  from strata join held on lang is not distinct from stratum join grid on grid.rule = held.rule group by stratum, grid.rule, grid.i
+),
+tests as (
+  select *, coalesce(k < p * n and list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1.0) - case when j = 0 then 0 else lgamma(j + 1.0) end
+    - lgamma(n - j + 1.0) + j * ln(p) + (n - j) * ln(1 - p)))) <= {quality.DELTA} / ((select count(*) from strata) * {len(quality.RULES)}), false) as ok from ks
+),
+runs as (select *, bool_and(ok) over (partition by stratum, rule order by i) as certified from tests),
+cuts as (select stratum, rule, min(cut) as cut from runs where certified group by stratum, rule),
+bad as (select distinct doc_id from vals join cuts on vals.rule = cuts.rule and lang is not distinct from stratum where v > cut)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and bad.doc_id is null as kept
+from feats left join bad using (doc_id)
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as tokens, and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,7 +112,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op1_warc": op1_warc, "op2_quality": op2_quality, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}

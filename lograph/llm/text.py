@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Array elements per step of :func:`sums_before`; a step copies what came before it.
 STEP = 256
+SPANS = "array<struct<start:bigint,end:bigint,value:string>>"
 
 
 def words(text: Column) -> Column:
@@ -21,24 +24,28 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it inside another lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def sums_before(values: Column) -> Column:
-    """For each element of an array of integers the sum of all before it.
+    """For each element of an array of bigint the sum of all before it.
 
-    Summed in steps of ``STEP`` elements, so that the cost stays near linear for long arrays.
+    Summed in steps of ``STEP`` elements, so that the cost stays near linear for long arrays. ``values``
+    should be a bound value (see :func:`let`).
     """
-    def step(done: Column, part: Column) -> Column:
+    def step(done: Column, k: Column) -> Column:
         inside = F.aggregate(
-            part, F.struct(done["total"].alias("total"), F.array().cast("array<bigint>").alias("sums")),
+            F.slice(values, k * STEP + 1, STEP),
+            F.struct(done["total"].alias("total"), F.array().cast("array<bigint>").alias("sums")),
             lambda a, v: F.struct((a["total"] + v).alias("total"), F.concat(a["sums"], F.array(a["total"])).alias("sums")),
         )
-        return F.struct(inside["total"].alias("total"), F.concat(done["sums"], inside["sums"]).alias("sums"))
+        return let(inside, lambda i: F.struct(i["total"].alias("total"), F.concat(done["sums"], i["sums"]).alias("sums")))
 
-    parts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int"))),
-        lambda k: F.slice(values, k * STEP + 1, STEP),
-    )
+    steps = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")))
     start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("sums"))
-    return F.aggregate(parts, start, step, lambda a: a["sums"])
+    return F.aggregate(steps, start, step, lambda a: a["sums"])
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -47,13 +54,15 @@ def matches(text: Column, pattern: str) -> Column:
     The pattern must not match the empty string. The pieces between matches give the positions:
     splitting and extracting walk the text in the same way.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    widths = F.zip_with(
-        F.slice(pieces, 1, F.size(found)), found, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"),
-    )
-    ends = F.zip_with(sums_before(widths), widths, lambda before, w: before + w)
-    spans = F.zip_with(
-        found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")),
+    def spans(found: Column) -> Column:
+        pieces = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length)
+        widths = F.zip_with(pieces, found, lambda p, m: (p + F.length(m)).cast("bigint"))
+        ends = let(widths, lambda w: F.zip_with(sums_before(w), w, lambda before, width: before + width))
+        return F.zip_with(
+            found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")),
+        )
+
+    none = F.array().cast(SPANS)
+    return F.coalesce(
+        let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, spans(m)).otherwise(none)), none,
     )
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>"))
