@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, mixing, quality, warc
+from lograph.llm import bpe, mixing, quality, toxicity, warc
 from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,6 +95,16 @@ from feats left join bad using (doc_id)
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the labels that are not held out, score all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as tokens, and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,7 +122,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc, "op2_quality": op2_quality, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op1_warc": op1_warc, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}
