@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, mixing, quality, toxicity, warc
+from lograph.llm import bpe, jaccard, mixing, quality, toxicity, warc
 from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -105,6 +105,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents."""
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as tokens, and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -122,7 +127,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op1_warc": op1_warc, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}
