@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, jaccard, mixing, quality, toxicity, warc
+from lograph.llm import bpe, jaccard, mixing, pii, quality, toxicity, warc
 from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -95,6 +95,16 @@ from feats left join bad using (doc_id)
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities and disclosing terms of all documents."""
+    marked = pii.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return marked.select(
+        "doc_id", *[count(kind) for kind in pii.PATTERNS], F.sha2(pii.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the labels that are not held out, score all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -127,7 +137,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc, "op2_quality": op2_quality, "op4_toxicity": op4_toxicity, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op1_warc": op1_warc, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}
