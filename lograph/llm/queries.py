@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, html_diff, jaccard, mixing, pii, quality, toxicity, warc
+from lograph.llm import bpe, hnsw, html_diff, jaccard, mixing, pii, quality, toxicity, warc
 from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -121,6 +121,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_shared")
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings."""
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents."""
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
@@ -143,7 +148,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op1_warc": op1_warc, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_vectors": op6_vectors, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}
