@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, hnsw, html_diff, jaccard, mixing, pii, quality, toxicity, warc
+from lograph.llm import bpe, hnsw, html_diff, jaccard, mixing, pii, quality, suffixes, toxicity, warc
 from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -131,6 +131,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 100 bytes that start earlier."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as tokens, and back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -148,7 +153,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_vectors": op6_vectors, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op1_warc": op1_warc, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_vectors": op6_vectors, "op7_jaccard": op7_jaccard, "op8_repeats": op8_repeats, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}
