@@ -18,6 +18,9 @@ CRITICAL = r"(?i)\b(fatal|critical|panic|outofmemory|emergency)\b"
 ERROR = r"(?i)\b(error|exception|failed|failure|denied|refused)\b"
 WARNING = r"(?i)\b(warn|warning|timeout|timed out|retry|throttl\w*|slow)\b"
 IP_PATTERN = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+ARN_MASK = r"arn:aws[\w-]*:\S+"
+UUID_MASK = r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b"
+HEX_MASK = r"\b(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{8,}\b"
 TIME_PATTERN = r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}\b"
 
 
@@ -40,12 +43,14 @@ def line_findings(lines: DataFrame) -> DataFrame:
 
 
 def template(line: Column) -> Column:
-    """Line with resource ids and digits masked, so that like lines fall together."""
-    return F.regexp_replace(line, r"\d+", "#")
+    """Line with resource ids, UUIDs, long hexadecimal runs and numbers masked, so that like lines fall together."""
+    for pattern, mark in ((ARN_MASK, "<arn>"), (UUID_MASK, "<uuid>"), (HEX_MASK, "<hex>"), (r"\d+", "#")):
+        line = F.regexp_replace(line, pattern, mark)
+    return line
 
 
-def file_digest(lines: DataFrame, top: int = 5) -> DataFrame:
-    """Most frequent templates per file and severity rank, with how many lines they cover.
+def file_digest(lines: DataFrame, top: int | None = None) -> DataFrame:
+    """Templates per file by falling number of lines, with their rank; with ``top`` only the best.
 
     Lines fold to templates before any of them meet, and only the best ``top`` of each task go on.
     """
@@ -55,28 +60,34 @@ def file_digest(lines: DataFrame, top: int = 5) -> DataFrame:
         .groupBy("file_name", "severity", "template").agg(F.count(F.lit(1)).alias("lines"))
     )
     rank = F.row_number().over(Window.partitionBy("file_name").orderBy(F.desc("lines"), "severity", "template"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= top)
+    ranked = counted.withColumn("rank", rank)
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def file_overview(lines: DataFrame) -> DataFrame:
-    """Lines per severity and the approximate number of resources per file."""
+    """Lines per severity and the number of different resources per file.
+
+    Lines fold per file and resource first: what meets per file is one row per resource.
+    """
     rows = lines.select(
         "file_name", line_severity(F.col("line")).alias("severity"), F.posexplode_outer(find_arns(F.col("line"))).alias("pos", "arn"))
     first = F.coalesce("pos", F.lit(0)) == 0  # a line counts once, however many resources it names
-    return rows.groupBy("file_name").agg(
+    per_resource = rows.groupBy("file_name", "arn").agg(
         F.count_if(first).alias("lines"),
         F.count_if(first & (F.col("severity") == "critical")).alias("critical_lines"),
         F.count_if(first & (F.col("severity") == "error")).alias("error_lines"),
-        F.approx_count_distinct("arn").alias("resources"),
+    )
+    return per_resource.groupBy("file_name").agg(
+        F.sum("lines").alias("lines"), F.sum("critical_lines").alias("critical_lines"), F.sum("error_lines").alias("error_lines"),
+        F.count("arn").alias("resources"),
     )
 
 
-def rank_files(lines: DataFrame, pattern: str, top: int, literal: bool = True) -> DataFrame:
-    """Files with the most lines that hold the pattern."""
+def rank_files(lines: DataFrame, pattern: str, top: int | None = None, literal: bool = True) -> DataFrame:
+    """Files by falling number of lines that hold the pattern; with ``top`` only the first."""
     fits = F.contains(F.lower("line"), F.lit(pattern.lower())) if literal else F.col("line").rlike(pattern)
-    return lines.where(fits).groupBy("file_name").agg(F.count(F.lit(1)).alias("hits")).orderBy(
-        F.desc("hits"), "file_name"
-    ).limit(top)
+    ranked = lines.where(fits).groupBy("file_name").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "file_name")
+    return ranked if top is None else ranked.limit(top)
 
 
 def recent_errors(lines: DataFrame, hours: int = 1) -> DataFrame:

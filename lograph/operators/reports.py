@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograph.fixed_values import EXCERPT_CHARS, SUMMARY_EXCERPT_CHARS, UNKNOWN, UNPARSED_CONFIDENCE
+from lograph.fixed_values import UNKNOWN, UNPARSED_CONFIDENCE
 from lograph.functions import replies as R
 from lograph.functions.arn import last_part
 from lograph.operators.replies import parsed
 
 
 def report_fields(replies: DataFrame) -> DataFrame:
-    """One report per reply. A reply that does not parse becomes the hypothesis, cut, with low confidence."""
+    """One report per reply. A reply that does not parse becomes the hypothesis, with low confidence."""
     data, missing = F.col("data"), F.col("data").isNull()
     no_texts = F.expr("cast(array() as array<string>)")
     remedy = F.try_variant_get(data, "$.suggested_remediation", "variant")
@@ -23,7 +23,7 @@ def report_fields(replies: DataFrame) -> DataFrame:
     return parsed(replies).select(
         "response_id", (~missing).alias("parsed"),
         F.when(missing, F.lit(UNPARSED_CONFIDENCE)).otherwise(R.confidence(data)).alias("confidence"),
-        F.when(missing, F.substring("response", 1, EXCERPT_CHARS))
+        F.when(missing, F.col("response"))
         .otherwise(F.coalesce(R.text_at(data, "$.hypothesis"), F.lit(""))).alias("hypothesis"),
         texts("$.root_cause_chain").alias("root_cause_chain"),
         texts("$.narrative").alias("narrative"),
@@ -54,41 +54,42 @@ def with_labels(rows: DataFrame, nodes: DataFrame, arn: str = "arn") -> DataFram
     )
 
 
-def _evidence(item: Column, excerpt_chars: int) -> Column:
+def shortened(text: Column, chars: int | None) -> Column:
+    """The text, cut for display if a length is given."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _evidence(item: Column, excerpt_chars: int | None) -> Column:
     """Fields of an evidence item, which may be a text (its excerpt) or an object."""
     plain = R.kind(item) == "STRING"
+    excerpt = F.when(plain, R.text_at(item, "$")).otherwise(F.coalesce(R.text_at(item, "$.excerpt"), F.lit("")))
     return F.struct(
         plain.alias("plain"),
         F.when(~plain, F.coalesce(R.text_at(item, "$.source_file"), F.lit(UNKNOWN))).alias("source_file"),
-        F.substring(F.when(plain, R.text_at(item, "$")).otherwise(F.coalesce(R.text_at(item, "$.excerpt"), F.lit(""))),
-                    1, excerpt_chars).alias("excerpt"),
+        shortened(excerpt, excerpt_chars).alias("excerpt"),
         F.when(~plain, F.coalesce(R.text_at(item, "$.relevance"), F.lit(""))).alias("relevance"),
         F.when(~plain, F.to_json(F.try_variant_get(item, "$.line_numbers", "variant"))).alias("line_numbers"),
         F.when(~plain, R.text_at(item, "$.links_to")).alias("links_to"),
     )
 
 
-def evidence_rows(reports: DataFrame, excerpt_chars: int = EXCERPT_CHARS) -> DataFrame:
-    """Evidence items in order."""
+def evidence_rows(reports: DataFrame, excerpt_chars: int | None = None) -> DataFrame:
+    """Evidence items in order. ``excerpt_chars`` cuts the excerpts for display."""
     items = reports.select("response_id", F.posexplode("source_evidence").alias("pos", "item"))
     return items.select("response_id", "pos", _evidence(F.col("item"), excerpt_chars).alias("e")).select("response_id", "pos", "e.*")
 
 
-def result_summary(reports: DataFrame) -> DataFrame:
-    """Short form of a report: chain joined by arrows, first five narrative entries, cut remedy."""
+def result_summary(reports: DataFrame, entries: int | None = None, chars: int | None = None) -> DataFrame:
+    """Report in one row: chain joined by arrows, narrative, remedy. For display ``entries`` of the narrative and ``chars`` of the remedy."""
+    narrative = F.col("narrative") if entries is None else F.slice("narrative", 1, entries)
     return reports.select(
         "response_id", "confidence", F.array_join("root_cause_chain", " → ").alias("chain"),
-        F.array_join(F.slice("narrative", 1, 5), "\n").alias("story"),
-        F.substring("suggested_remediation", 1, EXCERPT_CHARS).alias("remediation"),
+        F.array_join(narrative, "\n").alias("story"),
+        shortened(F.col("suggested_remediation"), chars).alias("remediation"),
         F.size("source_evidence").cast("bigint").alias("evidence_count"),
     )
 
 
-def summary_evidence(reports: DataFrame) -> DataFrame:
-    """Evidence of the short form: the excerpt is cut shorter."""
-    return evidence_rows(reports, SUMMARY_EXCERPT_CHARS)
-
-
 def _numbered(section: int, item: Column, lines: Column) -> Column:
     """Lines as structs that carry their place in the report."""
     return F.transform(lines, lambda line, i: F.struct(
@@ -100,8 +101,8 @@ def _block(*parts: Column | str) -> Column:
     return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def _evidence_lines(item: Column, pos: Column) -> Column:
-    proof = _evidence(item, EXCERPT_CHARS)
+def _evidence_lines(item: Column, pos: Column, excerpt_chars: int | None) -> Column:
+    proof = _evidence(item, excerpt_chars)
     title = F.concat(F.lit("### Evidence "), pos.cast("string"))
     nothing = F.expr("cast(array() as array<string>)")
     return F.when(proof["plain"], _block(title, "", proof["excerpt"], "")).otherwise(F.concat(
@@ -111,7 +112,7 @@ def _evidence_lines(item: Column, pos: Column) -> Column:
     ))
 
 
-def report_lines(reports: DataFrame, nodes: DataFrame) -> DataFrame:
+def report_lines(reports: DataFrame, nodes: DataFrame, excerpt_chars: int | None = None) -> DataFrame:
     """Report text as rows, to be read in the order (section_no, item_no, line_no) per report.
 
     ``reports`` as from :func:`report_fields`. One pass gives all lines but those that show a
@@ -136,7 +137,7 @@ def report_lines(reports: DataFrame, nodes: DataFrame) -> DataFrame:
             "## Recommended Action", "",
             F.coalesce(F.nullif("suggested_remediation", F.lit("")), F.lit("No specific remediation suggested.")), "")),
         _numbered(6, before, F.when(proven, _block("## Source Evidence", "")).otherwise(none)),
-        F.flatten(F.transform("source_evidence", lambda item, pos: _numbered(6, pos, _evidence_lines(item, pos)))),
+        F.flatten(F.transform("source_evidence", lambda item, pos: _numbered(6, pos, _evidence_lines(item, pos, excerpt_chars)))),
     )))
     length = F.size("root_cause_chain")
     mentions = reports.select("response_id", F.inline(F.concat(

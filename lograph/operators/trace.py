@@ -8,17 +8,18 @@ one is broadcast, so the edges stay where they are, a large one is shuffled.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lograph.operators.reports import role
 from lograph.session import scratch_path
 
-MAX_HOPS = 10
 SEEN = "arn string, via string, depth int"
 
 
-def _walk(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool) -> tuple[DataFrame, DataFrame]:
+def _walk(edges: DataFrame, starts: DataFrame, max_hops: int | None, reverse: bool) -> tuple[DataFrame, DataFrame]:
     """What was reached, one folder per depth, and the links (arn, next) in walking direction."""
     spark = edges.sparkSession
     root = scratch_path(spark, "trace")
@@ -30,7 +31,9 @@ def _walk(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool) ->
     def seen() -> DataFrame:
         return spark.read.schema(SEEN).parquet(f"{root}/seen")
 
-    for depth in range(1, max_hops + 1):
+    for depth in count(1):
+        if max_hops is not None and depth > max_hops:
+            break
         known = seen()
         frontier = known.where(F.col("depth") == depth - 1).select("arn")
         # One predecessor per resource is kept before the anti join: repeats fold in the aggregate.
@@ -45,15 +48,16 @@ def _walk(edges: DataFrame, starts: DataFrame, max_hops: int, reverse: bool) ->
     return seen(), links
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = MAX_HOPS, reverse: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None, reverse: bool = False) -> DataFrame:
     """Resources reached from the starts, with the fewest hops and, on such a path, the smallest predecessor.
 
-    ``starts``: arn. With ``reverse`` the edges are walked from dependency to caller.
+    ``starts``: arn. With ``reverse`` the edges are walked from dependency to caller. ``max_hops`` asks for the neighbourhood
+    only; without it the walk ends when a hop finds nothing new.
     """
     return _walk(edges, starts, max_hops, reverse)[0]
 
 
-def root_cause_trace(edges: DataFrame, health: DataFrame, surface: str, max_hops: int = MAX_HOPS) -> DataFrame:
+def root_cause_trace(edges: DataFrame, health: DataFrame, surface: str, max_hops: int | None = None) -> DataFrame:
     """Chain from the root cause to the surface error, root first.
 
     Candidates are the resources in error that the surface depends on, itself included. A root is a
@@ -75,12 +79,12 @@ def root_cause_trace(edges: DataFrame, health: DataFrame, surface: str, max_hops
     if best is None:
         return spark.createDataFrame([], "position bigint, arn string, hops_from_surface bigint, role string")
     deepest = best["depth"]
-    chain = step = spark.range(1).select(
-        F.lit(best["arn"]).alias("arn"), F.lit(best["via"]).alias("via"), F.lit(deepest).alias("depth"))
+    # The chain has one resource per hop: each is looked up in the one folder of its depth.
+    steps, via = [(best["arn"], deepest)], best["via"]
     for depth in range(deepest - 1, -1, -1):
-        here = seen.where(F.col("depth") == depth)
-        step = here.join(step.select(F.col("via").alias("arn")), "arn").select("arn", "via", "depth")
-        chain = chain.unionByName(step)
+        steps.append((via, depth))
+        via = seen.where((F.col("depth") == depth) & (F.col("arn") == via)).first()["via"]
+    chain = spark.createDataFrame(steps, "arn string, depth int")
     position = F.lit(deepest) - F.col("depth")
     return chain.select(
         position.cast("bigint").alias("position"), "arn", F.col("depth").cast("bigint").alias("hops_from_surface"),
@@ -88,7 +92,7 @@ def root_cause_trace(edges: DataFrame, health: DataFrame, surface: str, max_hops
     )
 
 
-def affected_resources(edges: DataFrame, root: str, max_hops: int = MAX_HOPS) -> DataFrame:
+def affected_resources(edges: DataFrame, root: str, max_hops: int | None = None) -> DataFrame:
     """Resources that depend on the root, directly or not, with their distance."""
     start = edges.sparkSession.range(1).select(F.lit(root).alias("arn"))
     return reachable(edges, start, max_hops, reverse=True).where("depth > 0").select(

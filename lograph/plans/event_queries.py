@@ -11,6 +11,7 @@ from lograph.plans.views import oracle, table, view
 from lograph.sources import records as S
 
 SURFACE = "order-3"
+CHAIN = 30
 ROOT = "nation-3"
 
 
@@ -37,7 +38,7 @@ def file_overview(spark, sf_dir):
 
 
 def rank_files(spark, sf_dir):
-    return N.rank_files(lines(spark, sf_dir), "OutOfMemory", 5)
+    return N.rank_files(lines(spark, sf_dir), "OutOfMemory")
 
 
 def recent_errors(spark, sf_dir):
@@ -58,6 +59,17 @@ def root_cause_trace(spark, sf_dir):
     return R.root_cause_trace(edges, health, SURFACE)
 
 
+def long_trace(spark, sf_dir):
+    """A chain of failing parts behind an order, longer than any graph of the tables."""
+    edges, health = graph_frames(spark, sf_dir)
+    parts = table(spark, sf_dir, "part").where(f"p_partkey <= {CHAIN}").select("p_partkey")
+    chain = parts.select(
+        F.when(F.col("p_partkey") == 1, SURFACE).otherwise(F.concat(F.lit("part-"), (F.col("p_partkey") - 1).cast("string"))).alias("source_arn"),
+        F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("target_arn"), F.lit("depends_on").alias("relationship"))
+    failing = chain.select(F.col("target_arn").alias("arn"), F.lit("error").alias("status"))
+    return R.root_cause_trace(edges.unionByName(chain), health.unionByName(failing), SURFACE)
+
+
 def affected_resources(spark, sf_dir):
     edges, _ = graph_frames(spark, sf_dir)
     return R.affected_resources(edges, ROOT)
@@ -86,7 +98,8 @@ def finding_rejects(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    finding_records, finding_rejects, trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace, affected_resources,
+    finding_records, finding_rejects, trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace,
+    long_trace, affected_resources,
 ]}
 
 # The lines hold one word for the severity and one for the cause.
@@ -94,9 +107,24 @@ SEVERITY = """CASE WHEN contains(line, 'FATAL') OR contains(line, 'OutOfMemory')
   WHEN contains(line, '[ERROR]') OR contains(line, 'denied') THEN 'error'
   WHEN contains(line, 'WARN:') OR contains(line, 'timeout') THEN 'warning' ELSE 'info' END"""
 SEVERE = f"l AS (SELECT *, {SEVERITY} AS severity FROM loglines_v)"
+# A node enters once: a later, longer way to it does not replace the first.
 BFS = """
-walk AS (SELECT '{start}' AS arn, 0 AS depth UNION SELECT e.{far}, w.depth + 1 FROM walk w JOIN graph_v e ON e.{near} = w.arn WHERE w.depth < 10),
-seen AS (SELECT arn, min(depth) AS depth FROM walk GROUP BY arn)"""
+seen(arn, depth) USING KEY (arn) AS (SELECT '{start}', 0 UNION SELECT e.{far}, min(w.depth) + 1 FROM seen w JOIN {graph} e ON e.{near} = w.arn
+  WHERE e.{far} NOT IN (SELECT arn FROM recurring.seen) GROUP BY e.{far})"""
+def trace_sql(graph: str, health: str) -> str:
+    return oracle("WITH RECURSIVE " + BFS.format(start=SURFACE, near="source_arn", far="target_arn", graph=graph) + f""",
+        g AS (SELECT * FROM {graph}), bad AS (SELECT arn FROM {health} WHERE status = 'error'),
+        cand AS (SELECT *, NOT EXISTS (SELECT 1 FROM g e JOIN bad b ON b.arn = e.target_arn WHERE e.source_arn = s.arn
+          AND e.target_arn <> s.arn) AS clean FROM seen s WHERE arn IN (SELECT arn FROM bad)),
+        root AS (SELECT arn, depth FROM cand ORDER BY clean DESC, depth DESC, arn LIMIT 1),
+        back AS (SELECT e.target_arn AS arn, min(e.source_arn) AS via FROM g e JOIN seen s ON s.arn = e.source_arn JOIN seen t ON t.arn = e.target_arn
+          WHERE s.depth = t.depth - 1 GROUP BY 1),
+        chain AS (SELECT arn, depth FROM root UNION ALL SELECT b.via, c.depth - 1 FROM chain c JOIN back b ON b.arn = c.arn WHERE c.depth > 0)
+        SELECT CAST((SELECT depth FROM root) - depth AS BIGINT) AS position, arn, CAST(depth AS BIGINT) AS hops_from_surface,
+          CASE WHEN depth = (SELECT depth FROM root) THEN 'ROOT CAUSE' WHEN depth = 0 THEN 'SURFACE' ELSE 'PROPAGATION' END AS role FROM chain""",
+        "graph_v", "graph_health_v")
+
+
 ORACLES = {
     "finding_records": """SELECT event_id AS seq, CASE event_type WHEN 'click' THEN user_id || '.log' ELSE 'b.log' END AS source_file,
         CASE event_type WHEN 'click' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-03-01 10:00:00' END AS ts,
@@ -117,25 +145,22 @@ ORACLES = {
         FROM c""", "triggers_v"),
     "line_findings": oracle(f"""WITH {SEVERE} SELECT line_no, ts, file_name, severity, regexp_extract(line, 'arn:aws:[^ ]*') AS arns,
         regexp_extract(line, '[0-9.]+$') AS addresses, CAST(NULL AS VARCHAR) AS written_time FROM l""", "loglines_v"),
-    "file_digest": oracle(f"""WITH {SEVERE}, t AS (SELECT file_name, severity, regexp_replace(line, '[0-9]+', '#', 'g') AS template, count(*) AS lines
+    "file_digest": oracle(f"""WITH {SEVERE}, t AS (SELECT file_name, severity, regexp_replace(regexp_replace(line, 'arn:aws[a-z0-9_-]*:[^ ]+', '<arn>', 'g'), '[0-9]+', '#', 'g') AS template, count(*) AS lines
         FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY lines DESC, severity, template) AS rank FROM t)
-        SELECT file_name, severity, template, lines, rank FROM r WHERE rank <= 5""", "loglines_v"),
+        SELECT file_name, severity, template, lines, rank FROM r""", "loglines_v"),
+    "file_overview": oracle(f"""WITH {SEVERE} SELECT file_name, count(*) AS lines, count(*) FILTER (severity = 'critical') AS critical_lines,
+        count(*) FILTER (severity = 'error') AS error_lines, count(DISTINCT regexp_extract(line, 'arn:aws:[^ ]*')) AS resources
+        FROM l GROUP BY 1""", "loglines_v"),
     "rank_files": oracle("""SELECT file_name, count(*) AS hits FROM loglines_v WHERE contains(line, 'OutOfMemory') GROUP BY 1
-        ORDER BY 2 DESC, 1 LIMIT 5""", "loglines_v"),
+        ORDER BY 2 DESC, 1""", "loglines_v"),
     "recent_errors": oracle(f"""WITH {SEVERE} SELECT line_no, ts, file_name, line, severity FROM l WHERE severity IN ('error', 'critical')
         AND ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM l)""", "loglines_v"),
     "timeline": oracle(f"""WITH {SEVERE} SELECT date_trunc('hour', ts) AS window_start, severity, count(*) AS lines, min(ts) AS first_ts,
         max(ts) AS last_ts FROM l GROUP BY ALL""", "loglines_v"),
-    "root_cause_trace": oracle("WITH RECURSIVE " + BFS.format(start=SURFACE, near="source_arn", far="target_arn") + """,
-        bad AS (SELECT arn FROM graph_health_v WHERE status = 'error'),
-        cand AS (SELECT *, NOT EXISTS (SELECT 1 FROM graph_v e JOIN bad b ON b.arn = e.target_arn WHERE e.source_arn = s.arn
-          AND e.target_arn <> s.arn) AS clean FROM seen s WHERE arn IN (SELECT arn FROM bad)),
-        root AS (SELECT arn, depth FROM cand ORDER BY clean DESC, depth DESC, arn LIMIT 1),
-        chain AS (SELECT arn, depth FROM root UNION ALL SELECT (SELECT min(e.source_arn) FROM graph_v e JOIN seen s ON s.arn = e.source_arn
-          WHERE e.target_arn = c.arn AND s.depth = c.depth - 1), c.depth - 1 FROM chain c WHERE c.depth > 0)
-        SELECT CAST((SELECT depth FROM root) - depth AS BIGINT) AS position, arn, CAST(depth AS BIGINT) AS hops_from_surface,
-          CASE WHEN depth = (SELECT depth FROM root) THEN 'ROOT CAUSE' WHEN depth = 0 THEN 'SURFACE' ELSE 'PROPAGATION' END AS role FROM chain""",
-        "graph_v", "graph_health_v"),
-    "affected_resources": oracle("WITH RECURSIVE " + BFS.format(start=ROOT, near="target_arn", far="source_arn") + """
+    "root_cause_trace": trace_sql("graph_v", "graph_health_v"),
+    "long_trace": trace_sql(f"""(SELECT * FROM graph_v UNION ALL SELECT CASE p_partkey WHEN 1 THEN '{SURFACE}' ELSE 'part-' || (p_partkey - 1) END,
+        'part-' || p_partkey, 'depends_on' FROM part WHERE p_partkey <= {CHAIN})""",
+        f"(SELECT * FROM graph_health_v UNION ALL SELECT 'part-' || p_partkey, 'error' FROM part WHERE p_partkey <= {CHAIN})"),
+    "affected_resources": oracle("WITH RECURSIVE " + BFS.format(start=ROOT, near="target_arn", far="source_arn", graph="graph_v") + """
         SELECT arn, CAST(depth AS BIGINT) AS hops FROM seen WHERE depth > 0""", "graph_v"),
 }

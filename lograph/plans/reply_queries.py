@@ -151,7 +151,7 @@ REPORT = NODES + r""",
 rep AS (SELECT response_id, response, j, j IS NOT NULL AS parsed,
   CASE WHEN j IS NULL THEN 0.3e0 ELSE coalesce(TRY_CAST(conf AS DOUBLE), CASE string_split(upper(trim(conf)), ' ')[1]
     WHEN 'HIGH' THEN 0.85e0 WHEN 'MEDIUM' THEN 0.6e0 WHEN 'LOW' THEN 0.3e0 WHEN 'VERY' THEN 0.9e0 END, 0.5e0) END AS confidence,
-  CASE WHEN j IS NULL THEN substr(response, 1, 500) ELSE coalesce(json_extract_string(j, '$.hypothesis'), '') END AS hypothesis,
+  CASE WHEN j IS NULL THEN response ELSE coalesce(json_extract_string(j, '$.hypothesis'), '') END AS hypothesis,
   coalesce(json_extract_string(j, '$.root_cause_chain[*]'), []) AS chain, coalesce(json_extract_string(j, '$.narrative'), '') AS narrative,
   nullif(array_to_string(json_extract_string(j, '$.suggested_remediation[*]'), chr(10)), '') AS suggested_remediation,
   coalesce(json_array_length(j, '$.source_evidence'), 0) AS evidence
@@ -166,7 +166,7 @@ items AS (SELECT response_id, pos, item, json_type(item) = 'VARCHAR' AS plain
       generate_subscripts(json_extract(j, '$.source_evidence[*]'), 1) - 1 AS pos FROM parsed WHERE j IS NOT NULL)),
 evid AS (SELECT response_id, CAST(pos AS BIGINT) AS pos, plain,
   CASE WHEN NOT plain THEN coalesce(json_extract_string(item, '$.source_file'), 'unknown') END AS source_file,
-  substr(CASE WHEN plain THEN json_extract_string(item, '$') ELSE coalesce(json_extract_string(item, '$.excerpt'), '') END, 1, 500) AS excerpt,
+  CASE WHEN plain THEN json_extract_string(item, '$') ELSE coalesce(json_extract_string(item, '$.excerpt'), '') END AS excerpt,
   CASE WHEN NOT plain THEN coalesce(json_extract_string(item, '$.relevance'), '') END AS relevance FROM items)"""
 
 

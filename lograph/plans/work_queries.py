@@ -31,8 +31,8 @@ def _results(spark, sf_dir):
     return cached.select("fingerprint", F.col("path").alias("abs_path"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("result"))
 
 
-def _gated(spark, sf_dir):
-    return I.with_fingerprint(I.size_gate(files(spark, sf_dir), 20000))
+def _marked(spark, sf_dir):
+    return I.with_fingerprint(files(spark, sf_dir))
 
 
 def size_gate(spark, sf_dir):
@@ -44,21 +44,21 @@ def fingerprints(spark, sf_dir):
 
 
 def cache_split(spark, sf_dir):
-    return I.cache_split(_gated(spark, sf_dir), _results(spark, sf_dir)).select("path", "cached_result", "hit")
+    return I.cache_split(_marked(spark, sf_dir), _results(spark, sf_dir)).select("path", "cached_result", "hit")
 
 
 def cache_misses(spark, sf_dir):
-    return I.cache_misses(_gated(spark, sf_dir), _results(spark, sf_dir)).select("path")
+    return I.cache_misses(_marked(spark, sf_dir), _results(spark, sf_dir)).select("path")
 
 
 def cache_store(spark, sf_dir):
-    done = _gated(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    done = _marked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     rows = I.cache_rows(done.withColumn("result", F.concat(F.lit(" \n"), F.col("text"), F.lit("\n "))))
     return rows.select("abs_path", "file_name", "file_size", F.length("result").cast("bigint").alias("chars"))
 
 
 def combined_report(spark, sf_dir):
-    split = I.cache_split(_gated(spark, sf_dir), _results(spark, sf_dir))
+    split = I.cache_split(_marked(spark, sf_dir), _results(spark, sf_dir))
     return I.combined_report(split.select(F.col("doc_id").alias("file_no"), "path", F.col("cached_result").alias("result")))
 
 
@@ -187,8 +187,7 @@ QUERIES = {f.__name__: f for f in [
 
 FILES = """
 files AS (SELECT doc_id, '/logs/' || source || '/doc-' || doc_id || '.log' AS path, n_chars AS length, doc_id * 1000 + n_chars AS modified_ms FROM documents),
-gated AS (SELECT * FROM files WHERE length > 0 AND length <= 20000),
-hits AS (SELECT g.*, 'quality ' || quality AS result FROM gated g LEFT JOIN labels l ON l.doc_id = g.doc_id AND toxic = 0)"""
+hits AS (SELECT g.*, 'quality ' || quality AS result FROM files g LEFT JOIN labels l ON l.doc_id = g.doc_id AND toxic = 0)"""
 COST = """
 costed AS (SELECT *, CASE WHEN total_cost_usd <> 0 THEN CAST(total_cost_usd AS DECIMAL(28,10)) ELSE CAST(
     (CAST(input_tokens AS DECIMAL(18,0)) * pin + CAST(output_tokens AS DECIMAL(18,0)) * pout) * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(28,10)) END AS cost
@@ -204,12 +203,12 @@ SESSION_COLUMNS = """label, model, turns, CAST(round(cost, 6) AS DOUBLE) AS cost
     input_chars, output_chars"""
 DOC = "'doc-' || doc_id || '.log'"
 ORACLES = {
-    "size_gate": f"WITH {FILES} SELECT path, length FROM gated",
+    "size_gate": f"WITH {FILES} SELECT path, length FROM files WHERE length > 0 AND length <= 20000",
     "fingerprints": f"WITH {FILES} SELECT path, substr(sha256(path || '|' || length || '|' || modified_ms), 1, 16) AS fingerprint FROM files",
     "cache_split": f"WITH {FILES} SELECT path, result AS cached_result, result IS NOT NULL AS hit FROM hits",
     "cache_misses": f"WITH {FILES} SELECT path FROM hits WHERE result IS NULL",
     "cache_store": rf"""WITH {FILES} SELECT path AS abs_path, {DOC} AS file_name, length AS file_size,
-        length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS chars FROM gated JOIN documents USING (doc_id)
+        length(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS chars FROM files JOIN documents USING (doc_id)
         WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0""",
     "combined_report": f"WITH {FILES} SELECT doc_id AS file_no, '=== ' || {DOC} || ' ===' || chr(10) || result AS block FROM hits WHERE result IS NOT NULL",
     "remaining_files": f"SELECT {DOC} AS file_name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
