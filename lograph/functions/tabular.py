@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CELL = r',("(?:[^"]|"")*"[^,]*|[^,]*)'
+# Possessive runs: a cell of any length is read without recursion.
+_CELL = r',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
 
 
 def cells(line: Column) -> Column:

@@ -31,17 +31,18 @@ def _node_events(nodes: DataFrame, edits: DataFrame) -> DataFrame:
     """Stored nodes as adds before the batch, and the node edits, with what each would set."""
     stored = nodes.select(
         F.lit(INITIAL).cast("bigint").alias("seq"), F.lit("add_node").alias("action"), "arn", "status", "last_error",
-        F.lit(None).cast("string").alias("text"), "resource_type", "name", "metadata",
+        F.lit(None).cast("string").alias("text"), "resource_type", "name", "metadata", "error_count", "last_seen",
     )
     asked = edits.where(F.col("action").isin(NODE_ACTIONS)).select(
-        "seq", "action", "arn", "status", "last_error", "text", "resource_type", "name", "metadata"
+        "seq", "action", "arn", "status", "last_error", "text", "resource_type", "name", "metadata",
+        F.lit(0).cast("bigint").alias("error_count"), F.lit(None).cast("timestamp_ntz").alias("last_seen"),
     )
     is_add, is_stored = F.col("action") == "add_node", F.col("seq") == INITIAL
     sets_health, sets_note = F.col("action") == "update_health", F.col("action") == "annotate"
     return stored.unionByName(asked).withColumns({
         "is_add": F.when(is_add, True).when(F.col("action") == "remove_node", False),
         # One-field structs, so that a value reset to null still counts as set.
-        "set_birth": F.when(is_add, F.struct("resource_type", "name", "metadata")),
+        "set_birth": F.when(is_add, F.struct("resource_type", "name", "metadata", "error_count", "last_seen")),
         "set_status": F.when(is_stored, F.struct(F.col("status").alias("v")))
         .when(is_add, F.struct(F.lit(UNKNOWN).alias("v"))).when(sets_health, F.struct(F.col("status").alias("v"))),
         "set_last_error": F.when(is_stored, F.struct(F.col("last_error").alias("v")))
@@ -101,7 +102,7 @@ def _blocks(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 def node_steps(nodes: DataFrame, edits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Node edits that take effect, each with the node as it was before the step.
 
-    ``nodes``: arn, resource_type, name, status, last_error, metadata. ``edits``: see ``schemas.EDITS``.
+    ``nodes``: arn, resource_type, name, status, last_error, error_count, last_seen, metadata. ``edits``: see ``schemas.EDITS``.
     """
     here, ended = _blocks(with_block(_node_events(nodes, edits), "seq", block_rows))
     present = F.coalesce("present_here", "present_start")
@@ -122,13 +123,14 @@ def node_steps(nodes: DataFrame, edits: DataFrame, block_rows: int = BLOCK_ROWS)
     return rows.where(F.col("works") & (F.col("seq") != INITIAL)).select(
         "seq", "action", "arn", "incarnation", "status", "last_error", "text", "resource_type", "name", "metadata",
         F.col("old_birth.resource_type").alias("old_resource_type"), F.col("old_birth.name").alias("old_name"),
-        F.col("old_birth.metadata").alias("old_metadata"), F.col("old_status.v").alias("old_status"),
+        F.col("old_birth.metadata").alias("old_metadata"), F.col("old_birth.error_count").alias("old_error_count"),
+        F.col("old_birth.last_seen").alias("old_last_seen"), F.col("old_status.v").alias("old_status"),
         F.col("old_last_error.v").alias("old_last_error"), F.col("old_note.v").alias("old_note"),
     )
 
 
 def edited_nodes(nodes: DataFrame, edits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Nodes after the batch, from the block summaries alone."""
+    """Nodes after the batch, from the block summaries alone. No edit touches the error counter and the last error's time."""
     _, ended = _blocks(with_block(_node_events(nodes, edits), "seq", block_rows))
     block = F.col(BLOCK)
     final = ended.groupBy("arn").agg(
@@ -137,6 +139,7 @@ def edited_nodes(nodes: DataFrame, edits: DataFrame, block_rows: int = BLOCK_ROW
     return final.where("present").select(
         "arn", F.col("birth.resource_type").alias("resource_type"), F.col("birth.name").alias("name"),
         F.col("status.v").alias("status"), F.col("last_error.v").alias("last_error"),
+        F.col("birth.error_count").alias("error_count"), F.col("birth.last_seen").alias("last_seen"),
         with_note(F.col("birth.metadata"), F.col("note.v")).alias("metadata"),
     )
 
@@ -179,15 +182,26 @@ def edge_steps(edges: DataFrame, edits: DataFrame, removals: DataFrame, block_ro
 
 
 def edited_edges(edges: DataFrame, edits: DataFrame, removals: DataFrame) -> DataFrame:
-    """Edges after the batch: last own edit an add, and no end removed since."""
-    last = _edge_events(edges, edits).groupBy(*EDGE_KEY).agg(
-        F.max_by("is_add", "seq").alias("is_add"), F.max("seq").alias("seq")
+    """Edges after the batch: last own edit an add, and no end removed since.
+
+    A stored edge that no edit and no removed end cut keeps its counters and position. An edge that was added
+    starts its counters at 0; ``added_seq`` tells where in the batch.
+    """
+    kept = [c for c in ("request_count", "error_count", "position") if c in edges.columns]
+    events = _edge_events(edges, edits).join(
+        edges.select(*EDGE_KEY, F.lit(INITIAL).cast("bigint").alias("seq"), F.struct(F.lit(True).alias("there"), *kept).alias("stored")), [*EDGE_KEY, "seq"], "left")
+    last = events.groupBy(*EDGE_KEY).agg(
+        F.max_by("is_add", "seq").alias("is_add"), F.max("seq").alias("seq"), F.max("stored").alias("stored"),
+        F.bool_or(~F.col("is_add")).alias("cut"),
     ).where("is_add")
     gone = removals.groupBy("arn").agg(F.max("seq").alias("gone_at"))
     for end in ("source_arn", "target_arn"):
         here = gone.select(F.col("arn").alias(end), F.col("gone_at").alias("__gone"))
-        last = last.join(here, end, "left").where("__gone is null or __gone < seq").drop("__gone")
-    return last.select(*EDGE_KEY)
+        last = last.join(here, end, "left").where("__gone is null or __gone < seq").withColumn(
+            "cut", F.col("cut") | F.col("__gone").isNotNull()).drop("__gone")
+    same = F.col("stored").isNotNull() & ~F.col("cut")
+    counters = [F.when(same, F.col(f"stored.{c}")).otherwise(F.lit(None if c == "position" else 0).cast("bigint")).alias(c) for c in kept]
+    return last.select(*EDGE_KEY, *counters, F.when(~same, F.col("seq")).alias("added_seq"))
 
 
 def node_removals(steps: DataFrame) -> DataFrame:
@@ -200,6 +214,7 @@ def edit_audit(node_rows: DataFrame, edge_rows: DataFrame, operator_id: str, bat
     old_node = F.to_json(F.struct(
         "arn", F.col("old_resource_type").alias("resource_type"), F.col("old_name").alias("name"),
         F.col("old_status").alias("status"), F.col("old_last_error").alias("last_error"),
+        F.col("old_error_count").alias("error_count"), F.col("old_last_seen").alias("last_seen"),
         with_note(F.col("old_metadata"), F.col("old_note")).alias("metadata"),
     ))
     nodes = node_rows.select(

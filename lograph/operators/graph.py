@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lograph.fixed_values import CALLED_SERVICES
 from lograph.functions import arn as A
 from lograph.functions.text import change_id
+from lograph.operators.running import numbered
 
 EDGE_KEY = ["source_arn", "target_arn", "relationship"]
 
@@ -92,14 +93,22 @@ def merge_nodes(topology: DataFrame, resources: DataFrame) -> DataFrame:
 
 
 def merge_edges(topology: DataFrame, resources: DataFrame) -> DataFrame:
-    """Topology edges after a merge: known ones keep their counters, new ones start at 0."""
+    """Topology edges after a merge: known ones keep their counters, new ones start at 0.
+
+    Where the topology has list positions, new edges follow in the order of their first mention.
+    """
     fresh = (
         resources.groupBy(*EDGE_KEY).agg(F.min("first_seq").alias("first_seq"))
         .join(topology.select(*EDGE_KEY), EDGE_KEY, "left_anti")
-        .select(*EDGE_KEY, F.lit(0).cast("bigint").alias("request_count"), F.lit(0).cast("bigint").alias("error_count"),
-                F.lit(True).alias("added"))
     )
-    kept = topology.select(*EDGE_KEY, "request_count", "error_count", F.lit(False).alias("added"))
+    placed = ["position"] if "position" in topology.columns else []
+    if placed:
+        free = topology.agg((F.coalesce(F.max("position"), F.lit(-1)) + 1).alias("free"))
+        fresh = numbered(fresh, ["first_seq", *EDGE_KEY], "place").withColumn("position", F.col("place") + free.scalar())
+    fresh = fresh.select(
+        *EDGE_KEY, F.lit(0).cast("bigint").alias("request_count"), F.lit(0).cast("bigint").alias("error_count"), *placed,
+        F.lit(True).alias("added"))
+    kept = topology.select(*EDGE_KEY, "request_count", "error_count", *placed, F.lit(False).alias("added"))
     return kept.unionByName(fresh)
 
 

@@ -133,13 +133,16 @@ def change_history(
     source: str | None = None,
     order: tuple[str, ...] = ("seq", "pos"),
 ) -> DataFrame:
-    """Audit rows that meet every given filter, oldest first, ties in list order."""
+    """Audit rows that meet every given filter, oldest first, ties in list order. Reads fresh and stored audit rows."""
+    time = "timestamp" if "timestamp" in audit.columns else "ts"
     if resource_arn:
         audit = audit.where(F.col("resource_arn") == resource_arn)
     if since is not None:
-        audit = audit.where(F.col("ts") >= since)
+        audit = audit.where(F.col(time) >= since)
+        if "day" in audit.columns:  # the stored audit has a folder per day
+            audit = audit.where(F.col("day") >= F.to_date(since))
     if change_type:
         audit = audit.where(F.col("change_type") == change_type)
     if source:
         audit = audit.where(F.col("source") == source)
-    return audit.orderBy("ts", *order)
+    return audit.orderBy(time, *order)

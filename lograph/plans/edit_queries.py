@@ -22,12 +22,14 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "edit_nodes_v").withColumns({
         "status": F.lit("unknown"), "last_error": F.lit(None).cast("string"),
-        "metadata": F.create_map(F.lit("origin"), F.lit("stored")),
+        "metadata": F.create_map(F.lit("origin"), F.lit("stored")), "error_count": F.length("arn").cast("bigint"),
+        "last_seen": F.expr("timestamp_ntz '2024-01-15 12:30:00'"),
     })
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "edit_edges_v")
+    return view(spark, sf_dir, "edit_edges_v").withColumns({
+        "request_count": (10 * F.length("source_arn")).cast("bigint"), "error_count": F.length("target_arn").cast("bigint")})
 
 
 def edit_nodes(spark, sf_dir):
@@ -37,7 +39,7 @@ def edit_nodes(spark, sf_dir):
 def edit_edges(spark, sf_dir):
     batch = edits(spark, sf_dir)
     removals = E.node_removals(E.node_steps(nodes(spark, sf_dir), batch))
-    return E.edited_edges(edges(spark, sf_dir), batch, removals)
+    return E.edited_edges(edges(spark, sf_dir), batch, removals).drop("added_seq")
 
 
 def edit_audit(spark, sf_dir):
@@ -51,16 +53,16 @@ QUERIES = {f.__name__: f for f in [edit_nodes, edit_edges, edit_audit]}
 
 NODE_CTE = """
 ev AS (SELECT -1 AS seq, 'add_node' AS action, arn, 'unknown' AS status, NULL AS last_error, NULL AS note, resource_type, name,
-    'stored' AS origin FROM edit_nodes_v
+    'stored' AS origin, length(arn) AS errors, TIMESTAMP '2024-01-15 12:30:00' AS seen FROM edit_nodes_v
   UNION ALL SELECT seq, action, arn, status, CASE WHEN status = 'error' THEN note END, note, resource_type, 'name ' || arn,
-    resource_type FROM edits_v WHERE action IN ('add_node', 'remove_node', 'update_health', 'annotate')),
+    resource_type, 0, NULL FROM edits_v WHERE action IN ('add_node', 'remove_node', 'update_health', 'annotate')),
 ex AS (SELECT *, coalesce(last_value(CASE action WHEN 'add_node' THEN true WHEN 'remove_node' THEN false END IGNORE NULLS) OVER
     (PARTITION BY arn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ex FROM ev),
 eff AS (SELECT *, count(*) FILTER (action = 'add_node') OVER (PARTITION BY arn ORDER BY seq) AS inc FROM ex
     WHERE ex <> (action = 'add_node')),
 sets AS (SELECT *, CASE WHEN action = 'update_health' OR seq = -1 THEN status WHEN action = 'add_node' THEN 'unknown' END AS set_status,
     CASE WHEN action = 'update_health' THEN last_error END AS set_error, CASE WHEN action = 'annotate' THEN note END AS set_note,
-    first_value(resource_type) OVER i AS btype, first_value(name) OVER i AS bname, first_value(origin) OVER i AS borigin
+    first_value(resource_type) OVER i AS btype, first_value(name) OVER i AS bname, first_value(origin) OVER i AS borigin, first_value(errors) OVER i AS berrors, first_value(seen) OVER i AS bseen
     FROM eff WINDOW i AS (PARTITION BY arn, inc ORDER BY seq)),
 old AS (SELECT *, last_value(set_status IGNORE NULLS) OVER w AS old_status, last_value(set_error IGNORE NULLS) OVER w AS old_error,
     last_value(set_note IGNORE NULLS) OVER w AS old_note FROM sets
@@ -77,12 +79,15 @@ FINAL = ("coalesce({m} || ',', '') || 'origin=' || borigin").format(m="'human_an
 ORACLES = {
     "edit_nodes": oracle(f"""WITH {NODE_CTE},
         fin AS (SELECT arn, inc, any_value(btype) AS resource_type, any_value(bname) AS name, any_value(borigin) AS borigin,
+            any_value(berrors) AS error_count, any_value(bseen) AS last_seen,
             arg_max(set_status, seq) AS status, arg_max(set_error, seq) AS last_error, arg_max(set_note, seq) AS fnote,
             bool_or(action = 'remove_node') AS gone FROM sets GROUP BY arn, inc)
-        SELECT arn, resource_type, name, status, last_error, {FINAL} AS metadata FROM fin f
+        SELECT arn, resource_type, name, status, last_error, error_count, last_seen, {FINAL} AS metadata FROM fin f
         WHERE NOT gone AND inc = (SELECT max(inc) FROM fin g WHERE g.arn = f.arn)""", "edits_v", "edit_nodes_v"),
-    "edit_edges": oracle(f"""WITH {EDGE_CTE} SELECT source_arn, target_arn, relationship FROM tl
-        GROUP BY ALL HAVING arg_max(up, seq)""", "edits_v", "edit_nodes_v", "edit_edges_v"),
+    "edit_edges": oracle(f"""WITH {EDGE_CTE} SELECT source_arn, target_arn, relationship,
+          CAST(CASE WHEN bool_and(up) AND bool_or(kind = 'stored') THEN 10 * length(source_arn) ELSE 0 END AS BIGINT) AS request_count,
+          CAST(CASE WHEN bool_and(up) AND bool_or(kind = 'stored') THEN length(target_arn) ELSE 0 END AS BIGINT) AS error_count FROM tl
+        GROUP BY source_arn, target_arn, relationship HAVING arg_max(up, seq)""", "edits_v", "edit_nodes_v", "edit_edges_v"),
     "edit_audit": oracle(f"""WITH {EDGE_CTE},
         rows AS (SELECT seq, arn AS resource_arn,
           CASE action WHEN 'add_node' THEN 'node_added' WHEN 'remove_node' THEN 'node_removed'
@@ -93,6 +98,7 @@ ORACLES = {
             ELSE 'Human annotation: ' || note END AS description,
           CASE action WHEN 'remove_node' THEN '{{"arn":"' || arn || '","resource_type":"' || btype || '","name":"' || bname
               || '","status":"' || old_status || '"' || coalesce(',"last_error":"' || old_error || '"', '')
+              || ',"error_count":' || berrors || coalesce(',"last_seen":"' || strftime(bseen, '%Y-%m-%dT%H:%M:%S.%g') || '"', '')
               || ',"metadata":{{"origin":"' || borigin || '"' || coalesce(',"human_annotation":"' || old_note || '"', '') || '}}}}'
             WHEN 'update_health' THEN '{{"status":"' || old_status || '"}}' END AS previous_value,
           CASE action WHEN 'add_node' THEN '{{"resource_type":"' || resource_type || '","name":"' || name

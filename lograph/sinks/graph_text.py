@@ -51,8 +51,14 @@ def _numbered_edges(edges: DataFrame, order: str) -> DataFrame:
     return numbered(edges, [order, *EDGE_KEY], "edge_no")
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame, order: str = "first_seq") -> DataFrame:
-    """Graphviz text. ``edges`` carry their list position in ``order``."""
+def list_order(edges: DataFrame) -> str:
+    """The list position: stored edges have one, fresh ones their first mention."""
+    return "position" if "position" in edges.columns else "first_seq"
+
+
+def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Graphviz text."""
+    order = list_order(edges)
     colour = F.try_element_at(
         F.create_map(*[F.lit(x) for pair in SERVICE_COLOURS.items() for x in pair]), F.substring_index("resource_type", ":", 1)
     )
@@ -84,8 +90,9 @@ def _data(key: str, value: Column) -> Column:
     return F.concat(F.lit(f'      <data key="{key}">'), escaped(value.cast("string")), F.lit("</data>"))
 
 
-def graphml_lines(nodes: DataFrame, edges: DataFrame, order: str = "first_seq") -> DataFrame:
+def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GraphML text with escaped values; edges are numbered in list order."""
+    order = list_order(edges)
     def attribute(name: str) -> Column:
         return escaped(safe_name(F.col(name)))
 

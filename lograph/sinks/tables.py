@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lograph.fixed_values import CHANGE_SOURCES, CHANGE_TYPES
 from lograph.functions import checks
 from lograph.schemas import AUDIT
-from lograph.sinks.graph_text import dot_lines, write_lines
+from lograph.sinks.graph_text import dot_lines, graphml_lines, write_lines
 
 
 def append_audit(audit: DataFrame, root: str, batch: str) -> None:
@@ -44,8 +44,9 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 
 def write_artifacts(nodes: DataFrame, edges: DataFrame, audit: DataFrame, root: str) -> None:
-    """Graph tables, Graphviz text and audit side by side in one folder."""
+    """Graph tables, Graphviz and GraphML text and audit side by side in one folder."""
     nodes.write.mode("overwrite").json(f"{root}/nodes")
     edges.write.mode("overwrite").json(f"{root}/edges")
     write_lines(dot_lines(nodes, edges), f"{root}/dot")
+    write_lines(graphml_lines(nodes, edges), f"{root}/graphml")
     audit.write.mode("overwrite").json(f"{root}/audit")

@@ -7,11 +7,14 @@ folders.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.fixed_values import FILE_SIZE_LIMIT, LOG_SUFFIXES
+from lograph.fixed_values import LOG_SUFFIXES
 from lograph.functions.arn import reference_id
 
 
@@ -35,26 +38,52 @@ def any_case(suffixes: list[str]) -> str:
     return "*.{" + ",".join(names) + "}"
 
 
-def _binary(spark: SparkSession, root: str, glob: str, after: str | None = None) -> DataFrame:
+def _binary(spark: SparkSession, root: str | list[str], glob: str, after: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
     if after:
         reader = reader.option("modifiedAfter", after)
     return reader.option("pathGlobFilter", glob).load(root).where(~file_name(F.col("path")).startswith("."))
 
 
-def scan_files(spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, glob: str | None = None) -> DataFrame:
+def scan_files(
+    spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, glob: str | None = None, after: str | None = None
+) -> DataFrame:
     """Metadata of the logs under a folder: path, modificationTime, length. No content is read."""
-    return _binary(spark, root, glob or any_case(suffixes)).select("path", "modificationTime", "length")
+    return _binary(spark, root, glob or any_case(suffixes), after).select("path", "modificationTime", "length")
 
 
 def scan_content(
-    spark: SparkSession, root: str, suffixes: list[str] = LOG_SUFFIXES, limit: int = FILE_SIZE_LIMIT, after: str | None = None
+    spark: SparkSession, root: str | list[str], suffixes: list[str] = LOG_SUFFIXES, limit: int | None = None, after: str | None = None
 ) -> DataFrame:
-    """Logs with their bytes. The size gate is pushed into the scan, so larger files are never read.
+    """Logs with their bytes. A ``limit``, if asked for, is pushed into the scan, so larger files are never read.
 
     ``after`` (``2024-01-31T00:00:00``) lets the listing leave out files that did not change since.
     """
-    return _binary(spark, root, any_case(suffixes), after).where((F.col("length") > 0) & (F.col("length") <= limit))
+    found = _binary(spark, root, any_case(suffixes), after).where("length > 0")
+    return found if limit is None else found.where(F.col("length") <= limit)
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """The root as the file system spells it in listings."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def plain_path(path: Column) -> Column:
+    """A path as listings spell it, out of the encoded form that file metadata has."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def path_groups(files: DataFrame, size: int = 10_000) -> Iterator[list[str]]:
+    """Paths of files in groups, for readers that take a list. The driver lists files in any case; it holds no content."""
+    group: list[str] = []
+    for row in files.select("path").toLocalIterator():
+        group.append(row["path"])
+        if len(group) == size:
+            yield group
+            group = []
+    if group:
+        yield group
 
 
 def modified_since(files: DataFrame, since: Column) -> DataFrame:
@@ -71,10 +100,14 @@ def first_per_name(files: DataFrame) -> DataFrame:
 
 
 def log_references(files: DataFrame, source_type: str, identifier: str, region: str = "", prefix: str | None = None) -> DataFrame:
-    """References of the files of one source; the key is the path below the source folder."""
-    root = identifier.rstrip("/") + "/"
-    key = F.expr("substring(path, locate(root, path) + length(root))")
-    return files.withColumn("root", F.lit(root)).select(
+    """References of the files of one source; the key is the path below the source folder.
+
+    A file that does not lie below the folder is an error, since its key would be wrong.
+    """
+    root = F.lit(qualified(files.sparkSession, identifier) + "/")
+    key = F.when(F.startswith("path", root), F.substring(F.col("path"), F.length(root) + 1, F.length("path"))).otherwise(
+        F.raise_error(F.concat(F.lit("not below the source folder: "), "path")))
+    return files.select(
         F.lit(source_type).alias("source_type"), F.lit(identifier).alias("identifier"), F.lit(region).alias("region"),
         F.lit(prefix).cast("string").alias("prefix"), key.alias("key"),
         F.col("modificationTime").cast("timestamp_ntz").alias("timestamp"), F.col("length").alias("size_bytes"),
@@ -91,8 +124,10 @@ def discover(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame, DataF
             found.append(log_references(
                 files, source["source_type"], source["identifier"], source.get("region", ""), source.get("prefix")))
             status.append((source["identifier"], True, None))
-        except AnalysisException as problem:
-            status.append((source["identifier"], False, problem.getCondition()))
+        except PySparkException as problem:
+            status.append((source["identifier"], False, problem.getCondition() or type(problem).__name__))
+        except Py4JJavaError as problem:  # what the file system reports: access denied, no answer
+            status.append((source["identifier"], False, problem.java_exception.getClass().getName()))
     refs = found[0] if found else None
     for more in found[1:]:
         refs = refs.unionByName(more)

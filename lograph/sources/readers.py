@@ -1,7 +1,7 @@
 """Readers: every log format as rows (path, line_no, line).
 
-Files come as (path, content) from :func:`lograph.sources.files.scan_content`, behind the size gate.
-For plain logs of any size use :func:`scan_lines`, which splits files over tasks.
+Plain logs of any size are split over tasks. Formats that need the whole file come as (path, content) from
+:func:`lograph.sources.files.scan_content`.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS, FILE_SIZE_LIMIT
+from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS
 from lograph.functions.tabular import cells, key_values
 from lograph.functions.text import printable_runs, strip_text
-from lograph.sources.files import any_case, scan_content
+from lograph.sources.files import any_case, path_groups, plain_path, scan_content, scan_files, suffix
 
 LINE_BREAK = r"\r\n|\n|\r"
 TEXT_SUFFIXES = [".log", ".txt", ".json", ".xml", ".rpt"]
@@ -35,7 +35,15 @@ def scan_lines(spark: SparkSession, root: str, suffixes: list[str] = TEXT_SUFFIX
     lines = (
         spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", any_case(suffixes)).text(root)
     )
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.make_valid_utf8("value").alias("line"))
+    return lines.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.make_valid_utf8("value").alias("line"))
+
+
+def split_text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines of plain logs of any size, with their place: where their stretch of the file begins, and a number that grows inside it."""
+    lines = spark.read.text(paths)
+    return lines.select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"), F.make_valid_utf8("value").alias("line"))
 
 
 def _split_lines(text: Column) -> Column:
@@ -218,23 +226,45 @@ def document_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, line_no int, line string")
 
 
-def file_lines(
-    spark: SparkSession, root: str, limit: int = FILE_SIZE_LIMIT, after: str | None = None, only: DataFrame | None = None
-) -> DataFrame:
-    """Lines of every supported format under a folder: one scan and one reader per kind of file.
+#: What one row can hold.
+WHOLE_BYTES = (1 << 31) - (1 << 16)
+WHOLE_SUFFIXES = [".csv", ".xel", ".docx"]
+LINES = "path string, block bigint, line_no bigint, line string"
+
+
+def unread_reason(files: DataFrame) -> DataFrame:
+    """Files that no reader takes, with the reason: path, reason. ``files``: path, length."""
+    kind = suffix(F.col("path"))
+    reason = F.when(~kind.isin(TEXT_SUFFIXES + WHOLE_SUFFIXES), "format not read").when(
+        kind.isin(WHOLE_SUFFIXES) & (F.col("length") > WHOLE_BYTES), "too large for a format that is read whole")
+    return files.select("path", reason.alias("reason")).where("reason is not null")
 
-    ``only`` (path) keeps the named files. Files that give no line are in :func:`unreadable`.
+
+def lines_of(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Lines of the named files (path, length) of every format, with their place (path, block, line_no).
+
+    The files are chosen on their metadata, then only they are read: plain text split over tasks, other
+    formats file by file.
     """
-    def files(*suffixes: str) -> DataFrame:
-        found = scan_content(spark, root, list(suffixes), limit, after)
-        return found if only is None else found.join(only.select("path"), "path", "left_semi")
-
-    return (
-        text_lines(files(*TEXT_SUFFIXES))
-        .unionByName(csv_lines(files(".csv"), quoted_breaks=True))
-        .unionByName(event_file_lines(files(".xel")))
-        .unionByName(document_lines(files(".docx")))
-    )
+    kind = suffix(F.col("path"))
+    readers = {".csv": lambda f: csv_lines(f, quoted_breaks=True), ".xel": event_file_lines, ".docx": document_lines}
+    out = spark.createDataFrame([], LINES)
+    for paths in path_groups(files.where(kind.isin(TEXT_SUFFIXES) & (F.col("length") > 0))):
+        out = out.unionByName(split_text_lines(spark, paths))
+    for name, read in readers.items():
+        for paths in path_groups(files.where((kind == name) & F.col("length").between(1, WHOLE_BYTES))):
+            found = read(scan_content(spark, paths, [name]))
+            out = out.unionByName(found.select("path", F.lit(0).cast("bigint").alias("block"), F.col("line_no").cast("bigint"), "line"))
+    return out
+
+
+def file_lines(spark: SparkSession, root: str, after: str | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Lines of every supported format under a folder.
+
+    ``only`` (path) keeps the named files, ``after`` those modified since.
+    """
+    files = scan_files(spark, root, after=after)
+    return lines_of(spark, files if only is None else files.join(only.select("path"), "path", "left_semi"))
 
 
 def unreadable(files: DataFrame, lines: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from lograph.operators.health import fold_aggregates, health_signals
 from lograph.operators.triggers import route_triggers
 from lograph.session import written
 from lograph.streaming.sinks import start_batches
+from lograph.sources.snapshots import absent
 
 
 def health_stream(findings: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -42,7 +43,9 @@ def _earlier_batches(spark: SparkSession, target: str, batch_id: int, columns: s
     """Rows of the batches before this one; a batch that runs again does not see itself."""
     try:
         rows = spark.read.option("basePath", target).parquet(target)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not absent(problem):
+            raise
         return spark.createDataFrame([], columns)
     return rows.where(F.col("batch") < batch_id)
 
