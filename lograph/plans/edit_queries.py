@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograph.operators import edits as E
+from lograph.plans import jobs
 from lograph.plans.graph_queries import as_text, uuid_of
 from lograph.plans.views import oracle, view
-from lograph.session import written
+from lograph.session import scratch_path, written
+from lograph.sources import snapshots
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,21 @@ def edit_audit(spark, sf_dir):
     return E.edit_audit(steps, edge_rows, "op-7", "edits-1")
 
 
-QUERIES = {f.__name__: f for f in [edit_nodes, edit_edges, edit_audit]}
+def edit_job(spark, sf_dir):
+    """The same batch applied to a stored topology, twice: the second time changes nothing."""
+    root = scratch_path(spark, "edit_job")
+    at = F.expr("timestamp_ntz '2024-02-01 00:00:00'")
+    stored = nodes(spark, sf_dir).select(
+        "arn", "resource_type", "name", F.struct("status", "last_error", "error_count", "last_seen").alias("health"), "metadata")
+    placed = edges(spark, sf_dir).withColumn("position", F.monotonically_increasing_id())
+    snapshots.write_snapshot(stored, placed, f"{root}/topology", at)
+    for _ in range(2):
+        jobs.apply_edits(spark, root, edits(spark, sf_dir), "op-7", "edits-1", at)
+    after, _ = snapshots.read_snapshot(spark, f"{root}/topology")
+    return after.select("arn", "resource_type", "name", "health.*", as_text(F.col("metadata")).alias("metadata"))
+
+
+QUERIES = {f.__name__: f for f in [edit_nodes, edit_edges, edit_audit, edit_job]}
 
 NODE_CTE = """
 ev AS (SELECT -1 AS seq, 'add_node' AS action, arn, 'unknown' AS status, NULL AS last_error, NULL AS note, resource_type, name,
@@ -114,3 +130,4 @@ ORACLES = {
         SELECT *, {uuid_of("'edits-1'", 'seq')} AS change_id, 'human_input' AS source, 'operator:op-7' AS triggered_by FROM rows""",
         "edits_v", "edit_nodes_v", "edit_edges_v"),
 }
+ORACLES["edit_job"] = ORACLES["edit_nodes"]

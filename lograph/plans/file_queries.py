@@ -11,6 +11,7 @@ from lograph.plans import jobs
 from lograph.plans.event_queries import SEVERE
 from lograph.plans.graph_queries import MENTIONS_CTE, NODES_CTE, SIGNALS_CTE, findings, fresh_nodes
 from lograph.plans.views import oracle, table, view
+from lograph.schemas import LEDGER
 from lograph.session import scratch_path
 from lograph.sinks import graph_text as X
 from lograph.sinks.tables import read_audit
@@ -60,7 +61,7 @@ def xml_events(spark, sf_dir):
 
 
 def xml_files(spark, sf_dir):
-    """Nations written as XML files and read back with known fields."""
+    """Suppliers written as XML files and read back with known fields."""
     path = scratch_path(spark, "xml_files")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     rows.write.format("xml").option("rootTag", "events").option("rowTag", "event").save(path)
@@ -117,6 +118,54 @@ def topology_job(spark, sf_dir):
         "arn", "name", F.col("health.status").alias("status"), F.col("health.error_count").alias("error_count"), "audit_rows")
 
 
+def _state(spark, sf_dir, name, times=1):
+    """A state folder into which the log lines were brought by one batch, run so many times; logs, state, outcome."""
+    root = scratch_path(spark, name)
+    view(spark, sf_dir, "loglines_v").select("file_name", F.col("line").alias("value")).write.partitionBy("file_name").text(f"{root}/logs")
+    table(spark, sf_dir, "nation").select("n_name").coalesce(1).write.option("extension", "pdf").csv(f"{root}/logs/scans")
+    for _ in range(times):
+        outcome = jobs.ingest(spark, f"{root}/logs", f"{root}/state", "b1", F.expr("timestamp_ntz '2024-02-01 00:00:00'"))
+    return root, outcome
+
+
+def topology_replay(spark, sf_dir):
+    """A batch that runs twice counts once."""
+    root, _ = _state(spark, sf_dir, "replay", 2)
+    nodes, _ = V.read_snapshot(spark, f"{root}/state/topology")
+    steps = read_audit(spark, f"{root}/state/audit").groupBy(F.col("resource_arn").alias("arn")).agg(F.count(F.lit(1)).alias("audit_rows"))
+    return nodes.join(steps, "arn", "left").select(
+        "arn", "name", F.col("health.status").alias("status"), F.col("health.error_count").alias("error_count"), "audit_rows")
+
+
+def ingest_outcome(spark, sf_dir):
+    """What became of each kind of file, and what the ledger holds."""
+    root, outcome = _state(spark, sf_dir, "outcome")
+    known = V.read_table(spark, f"{root}/state/ledger", "ledger", LEDGER).select("unique_id", F.lit(True).alias("known"))
+    kind = F.when(F.col("path").endswith(".pdf"), "pdf").otherwise(F.regexp_extract("path", "file_name=([^/]+)/", 1))
+    return outcome.join(known, "unique_id", "left").groupBy(kind.alias("file_name"), "outcome").agg(
+        F.bool_and(F.coalesce("known", F.lit(False))).alias("in_ledger"))
+
+
+def stored_history(spark, sf_dir):
+    """Health changes of the stored audit, in the order of the log lines."""
+    root, _ = _state(spark, sf_dir, "history")
+    audit = H.change_history(read_audit(spark, f"{root}/state/audit"), change_type="health_error_recorded",
+                             since=F.expr("timestamp_ntz '2024-01-31 00:00:00'"))
+    return audit.groupBy("resource_arn").agg(F.count(F.lit(1)).alias("steps"), F.max_by("new_value", F.struct("timestamp", "seq", "pos")).alias("last_value"))
+
+
+def stored_dot(spark, sf_dir):
+    root, _ = _state(spark, sf_dir, "dot")
+    lines = X.dot_lines(*V.read_snapshot(spark, f"{root}/state/topology"))
+    return lines.where("part in (1, 3)").groupBy("part").agg(F.count(F.lit(1)).alias("lines")).withColumn("part", F.col("part").cast("bigint"))
+
+
+def stored_graphml(spark, sf_dir):
+    root, _ = _state(spark, sf_dir, "graphml")
+    lines = X.graphml_lines(*V.read_snapshot(spark, f"{root}/state/topology"))
+    return lines.where("part in (1, 3)").groupBy("part").agg(F.count(F.lit(1)).alias("lines")).withColumn("part", F.col("part").cast("bigint"))
+
+
 def _graph(spark, sf_dir):
     found = findings(spark, sf_dir)
     return G.resource_nodes(found), G.edge_weights(found)
@@ -135,7 +184,8 @@ def graphml_lines(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    printable_strings, csv_kv, csv_files, xml_events, xml_files, log_files, file_scan, snapshot_round_trip, topology_job, dot_lines, graphml_lines,
+    printable_strings, csv_kv, csv_files, xml_events, xml_files, log_files, file_scan, snapshot_round_trip, topology_job, topology_replay,
+    ingest_outcome, stored_history, stored_dot, stored_graphml, dot_lines, graphml_lines,
 ]}
 
 SAFE = "replace(replace({}, ':', '_'), '/', '_')"
@@ -197,3 +247,12 @@ ORACLES = {
             '      <data key="request_count">' || request_count || '</data>', '      <data key="error_count">' || error_count || '</data>', '    </edge>']"""),
         "findings_v"),
 }
+ORACLES["topology_replay"] = ORACLES["topology_job"]
+ORACLES["ingest_outcome"] = oracle("""SELECT DISTINCT file_name, 'ingested' AS outcome, true AS in_ledger FROM loglines_v
+    UNION ALL SELECT 'pdf', 'format not read', false""", "loglines_v")
+ORACLES["stored_history"] = oracle(f"""WITH {SEVERE}, a AS (SELECT regexp_extract(line, 'arn:aws:[^ ]*') AS resource_arn, count(*) AS n FROM l
+    WHERE severity IN ('error', 'critical') GROUP BY 1)
+    SELECT resource_arn, n - 1 AS steps, '{{"error_count":' || n || '}}' AS last_value FROM a WHERE n > 1""", "loglines_v")
+ORACLES["stored_dot"] = oracle("SELECT CAST(1 AS BIGINT) AS part, count(DISTINCT regexp_extract(line, 'arn:aws:[^ ]*')) AS lines FROM loglines_v", "loglines_v")
+ORACLES["stored_graphml"] = oracle(
+    "SELECT CAST(1 AS BIGINT) AS part, 5 * count(DISTINCT regexp_extract(line, 'arn:aws:[^ ]*')) AS lines FROM loglines_v", "loglines_v")

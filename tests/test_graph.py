@@ -145,7 +145,7 @@ def test_topology_document_gets_defaults(spark, tmp_path):
     nodes, edges = V.read_topology_json(spark, str(tmp_path / "t.json"))
     got = {r["arn"]: (r["resource_type"], r["name"], r["health"]["status"], r["health"]["error_count"]) for r in nodes.collect()}
     assert got == {"a": ("t", "n", "error", 2), "b": ("unknown", "b", "unknown", 0)}
-    assert [tuple(r) for r in edges.collect()] == [("a", "b", "r", 0, 0)]
+    assert [tuple(r) for r in edges.collect()] == [("a", "b", "r", 0, 0, 0)]
 
 
 def test_resource_tables_round_trip(spark, tmp_path):
@@ -160,7 +160,7 @@ def test_resource_tables_round_trip(spark, tmp_path):
 
 def test_audit_batches_replace_themselves(spark, tmp_path):
     import datetime as dt
-    rows = [("12345678-1234-5678-1234-567812345678", dt.datetime(2024, 1, 1, 5), "a", "node_added", "human_input", "operator:x", "d", None, None)]
+    rows = [("12345678-1234-5678-1234-567812345678", dt.datetime(2024, 1, 1, 5), "a", "node_added", "human_input", "operator:x", "d", None, None, 1, 0)]
     audit = spark.createDataFrame(rows, B.AUDIT)
     for _ in range(2):
         B.append_audit(audit, str(tmp_path / "audit"), "b1")

@@ -61,3 +61,53 @@ def test_logs_come_in_once_and_retire(spark, tmp_path):
     assert [r["unique_id"] for r in jobs.retire(spark, state, F.expr(day.format("09"))).collect()] == [f"local_file:{logs}:a.log"]
     assert jobs.retire(spark, state, F.expr(day.format("09"))).count() == 0
     assert jobs.take_in(spark, str(logs), state, F.expr(day.format("10"))).count() == 0  # purged logs stay known
+
+
+def test_ingest_brings_every_log_once_and_names_what_it_cannot_read(spark, tmp_path, monkeypatch):
+    logs, state = tmp_path / "lo gs", str(tmp_path / "state")
+    logs.mkdir()
+    (logs / "a b+c.log").write_text(f"ERROR {WEB} one\nERROR {WEB} two\n")
+    (logs / "x.pdf").write_bytes(b"%PDF")
+    (logs / "bad.docx").write_bytes(b"no archive")
+    at = F.expr("timestamp_ntz '2024-02-01 00:00:00'")
+
+    def fail(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(jobs.L, "mark_downloaded", fail)  # between topology and ledger
+        try:
+            jobs.ingest(spark, str(logs), state, "b1", at)
+            raise AssertionError("did not fail")
+        except RuntimeError:
+            pass
+    (logs / "late.log").write_text(f"ERROR {DB} three\n")
+    outcome = {r["path"].rsplit("/", 1)[1]: r["outcome"] for r in jobs.ingest(spark, str(logs), state, "b1", at).collect()}
+    assert outcome == {"a b+c.log": "ingested", "x.pdf": "format not read", "bad.docx": "damaged"}
+    assert jobs.ingest(spark, str(logs), state, "b1", at).count() == 3  # again: nothing changes
+    jobs.ingest(spark, str(logs), state, "b2", at)
+    nodes, _ = snapshots.read_snapshot(spark, f"{state}/topology")
+    assert {r["arn"]: r["health"]["error_count"] for r in nodes.collect()} == {WEB: 2, DB: 1}
+    known = snapshots.read_table(spark, f"{state}/ledger", "ledger", jobs.LEDGER)
+    assert sorted(r["key"] for r in known.collect()) == ["a b+c.log", "late.log"]
+
+
+def test_edits_of_a_stored_topology(spark, tmp_path):
+    logs, state = tmp_path / "logs", str(tmp_path / "state")
+    logs.mkdir()
+    (logs / "web.log").write_text(f"ERROR {WEB} timeout on {DB}\nERROR {WEB} writes {DISK}\n")
+    at = F.expr("timestamp_ntz '2024-02-01 00:00:00'")
+    jobs.ingest(spark, str(logs), state, "b1", at)
+    base = "cast(null as string) target_arn, cast(null as string) relationship, 'healthy' status, cast(null as string) last_error, 'checked' text, "
+    rest = "'t' resource_type, 'n' name, map('k', 'v') metadata"
+    edits = spark.sql(f"select 0L seq, 'update_health' action, '{WEB}' arn, {base} {rest} union all select 1L, 'remove_node', '{DISK}', {base} {rest}")
+    assert jobs.apply_edits(spark, state, edits, "o", "e1", at) == 2 and jobs.apply_edits(spark, state, edits, "o", "e1", at) == 2
+    nodes, edges = snapshots.read_snapshot(spark, f"{state}/topology")
+    assert {r["arn"]: (r["health"]["status"], r["health"]["error_count"]) for r in nodes.collect()} == {WEB: ("healthy", 2), DB: ("error", 1)}
+    assert [(r["target_arn"], r["position"]) for r in edges.collect()] == [(DB, 0)]
+    from lograph.operators.health import change_history
+    kinds = [r["change_type"] for r in change_history(read_audit(spark, f"{state}/audit"), source="human_input").collect()]
+    assert kinds == ["health_status_changed", "node_removed"]
+    from lograph.sinks.tables import write_artifacts
+    write_artifacts(nodes, edges, read_audit(spark, f"{state}/audit"), str(tmp_path / "out"))
+    assert spark.read.text(str(tmp_path / "out" / "graphml")).where("value like '%<edge %'").count() == 1

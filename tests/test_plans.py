@@ -8,12 +8,17 @@ from conftest import SF_DIR
 from lograph.plans.catalog import QUERIES
 
 # These run jobs of their own while they build the result.
-EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"topology_job", "snapshot_round_trip", "root_cause_trace", "affected_resources"}
+EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"topology_job", "snapshot_round_trip", "root_cause_trace", "long_trace", "affected_resources",
+    "topology_replay", "ingest_outcome", "edit_job", "stored_history", "stored_dot", "stored_graphml"}
 
 
 def plan(spark, name):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
-    return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    return explained(QUERIES[name](spark, SF_DIR))
+
+
+def explained(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
@@ -24,7 +29,12 @@ def test_no_cross_join_and_no_python(spark, name):
 
 
 def test_top_rows_per_file_are_cut_before_the_shuffle(spark):
-    text = plan(spark, "file_digest")
+    from lograph.operators import findings
+    from lograph.plans import event_queries
+    from lograph.plans.views import view
+
+    assert event_queries.lines(spark, SF_DIR).columns == view(spark, SF_DIR, "loglines_v").columns
+    text = explained(findings.file_digest(event_queries.lines(spark, SF_DIR), top=5))
     assert text.count("WindowGroupLimit") == 2
 
 

@@ -64,7 +64,7 @@ def test_bad_reply_keeps_the_graph(replies, spark):
 
 def test_report_of_a_broken_reply(replies):
     row = S.report_fields(replies("x" * 600)).first()
-    assert (row["confidence"], row["hypothesis"], row["root_cause_chain"], row["parsed"]) == (0.3, "x" * 500, [], False)
+    assert (row["confidence"], row["hypothesis"], row["root_cause_chain"], row["parsed"]) == (0.3, "x" * 600, [], False)
 
 
 def test_chain_roles(replies):
@@ -84,7 +84,7 @@ def test_report_text(replies, spark):
         "# Incident Report", "", "Confidence: 0.85", "", "## Incident Timeline", "", "n1", "n2", "", "## Root Cause Chain", "",
         "### 1. a — ROOT CAUSE", "- ID: `svc:a`", "", "### 2. Bee — SURFACE", "- ID: `b`", "", "## Affected Resources", "", "- Bee — `b`", "",
         "## Recommended Action", "", "r1\nr2", "", "## Source Evidence", "", "### Evidence 0", "", "plain", "",
-        "### Evidence 1: `unknown`", "", "**Relevance:** why", "", "```", "e" * 500, "```", ""]
+        "### Evidence 1: `unknown`", "", "**Relevance:** why", "", "```", "e" * 600, "```", ""]
 
 
 def test_actions(replies):
