@@ -253,8 +253,9 @@ def compare(rows: list[tuple]) -> pa.RecordBatch:
         equal[some] = (table[symbol_at[some]] == table[symbol_at[k - 1:some.stop - 1]]).all(axis=1)
     run = np.cumsum(~equal)
     by_place = np.lexsort((place, doc, run))
-    later = np.append(False, run[by_place][1:] == run[by_place][:-1])
-    gone = by_place[later]
+    doc, place, run = doc[by_place], place[by_place], run[by_place]
+    head = np.maximum.accumulate(np.where(np.append(True, run[1:] != run[:-1]), np.arange(len(run)), 0))
+    gone = (doc != doc[head]) | (place != place[head])  # the same place twice is a repeated row
     return rows_of(tuple(np.empty(0, dtype=np.int64) for _ in range(6)), merged(doc[gone], place[gone], place[gone] + LENGTH))
 
 
