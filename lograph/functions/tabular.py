@@ -20,6 +20,17 @@ def cells(line: Column) -> Column:
     return F.when(line == "", F.expr("cast(array() as array<string>)")).otherwise(plain)
 
 
+_WHOLE = r'(?:"(?:[^"]++|"")*+"[^,]*+|(?!")[^,]*+)'
+
+
+def open_after(line: Column) -> tuple[Column, Column]:
+    """Whether a quote is open after the line, if none was open before it, and if one was.
+
+    A quote opens only at the start of a cell; inside an unquoted cell it is a character like others.
+    """
+    return ~line.rlike(f"^{_WHOLE}(?:,{_WHOLE})*+$"), ~line.rlike(f'^(?:[^"]++|"")*+"[^,]*+(?:,{_WHOLE})*+$')
+
+
 def key_values(header: Column, row: Column) -> Column:
     """``h1=v1 | h2=v2``: a short row stops early, cells beyond the header stand bare."""
     pairs = F.zip_with(header, row, lambda h, v: F.coalesce(F.concat(h, F.lit("="), v), v))

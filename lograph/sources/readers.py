@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS
-from lograph.functions.tabular import cells, key_values
+from lograph.functions.tabular import cells, key_values, open_after
 from lograph.functions.text import printable_runs, strip_text
 from lograph.sources.files import any_case, path_groups, plain_path, scan_content, scan_files, suffix
 
@@ -83,11 +83,20 @@ def csv_lines(files: DataFrame, quoted_breaks: bool = False) -> DataFrame:
 
 
 def _csv_records(files: DataFrame) -> DataFrame:
-    """Lines put together to records where the number of quotes so far is odd."""
+    """Lines put together to records where a quote is open.
+
+    A line keeps the state, turns it, or sets it whatever it was: the state after a line is that of the last line that set it,
+    turned by the lines since.
+    """
     lines = files.select("path", F.posexplode(_split_lines(decoded(F.col("content")))).alias("i", "line"))
     before = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    odd = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    closed = lines.withColumn("open", F.coalesce(F.sum(odd).over(before), F.lit(0)) % 2)
+    from_closed, from_open = open_after(F.col("line"))
+    moved = lines.withColumns({"from_closed": from_closed.cast("int"), "from_open": from_open.cast("int")})
+    turned = moved.withColumn("turns", F.sum(F.when(F.col("from_closed") > F.col("from_open"), 1).otherwise(0)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.last(F.when(F.col("from_closed") == F.col("from_open"), F.struct(F.col("from_closed").alias("state"), "turns")), ignorenulls=True).over(before)
+    so_far = F.lag("turns", 1, 0).over(Window.partitionBy("path").orderBy("i"))
+    state = F.coalesce(last["state"], F.lit(0)) + so_far - F.coalesce(last["turns"], F.lit(0))
+    closed = turned.withColumn("open", state % 2).drop("from_closed", "from_open", "turns")
     upto = Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     keyed = closed.withColumn("n", F.sum(1 - F.col("open")).over(upto) - 1)
     records = keyed.groupBy("path", "n").agg(
@@ -103,10 +112,38 @@ _ATTRIBUTE = r"""([\w:.\-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 def _unescape(text: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        if char == "&":  # last, so that no new entity comes up
+            text = _numbered_characters(text)
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
+def _numbered_characters(text: Column) -> Column:
+    """``&#65;`` and ``&#x41;`` as the characters they name."""
+    def character(entity: Column) -> Column:
+        code = F.when(entity.rlike("^&#[xX]"), F.conv(F.regexp_extract(entity, "([0-9a-fA-F]+);", 1), 16, 10)).otherwise(
+            F.regexp_extract(entity, "([0-9]+);", 1)).try_cast("bigint")
+        known = (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(entity)
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,8});"), F.lit(0)))
+    return F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, lambda t, e: F.replace(t, e, character(e)))).otherwise(text)
+
+
+def _without_sections(xml: Column) -> Column:
+    """Character sections as escaped text."""
+    parts = F.split(xml, r"<!\[CDATA\[|\]\]>")
+    plain = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(
+        F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))), "")
+    return F.when(F.contains(xml, F.lit("<![CDATA[")), plain).otherwise(xml)
+
+
+def _sound(xml: Column) -> Column:
+    """Whether Spark's XML parser takes the text as one document."""
+    parsed = F.from_xml(xml, "_corrupt_record string", {"mode": "PERMISSIVE"})
+    return parsed["_corrupt_record"].isNull()
+
+
 def _attributes(tag: Column) -> Column:
     names = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1))
     double = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
@@ -122,8 +159,8 @@ def _attributes(tag: Column) -> Column:
 def xml_elements(blobs: DataFrame) -> DataFrame:
     """Elements of the event blocks inside each blob: path, event_no, n, depth, tag, attributes, value.
 
-    Blobs without an event block count as one document with event_no 0. ``sound`` is false where the
-    tags do not balance; ``start`` then holds the start of the block. ``blobs``: path, text.
+    Blobs without an event block count as one document with event_no 0. ``sound`` is false where the text is no
+    well-formed XML; ``start`` then holds the start of the block. ``blobs``: path, text.
     """
     blocks = F.regexp_extract_all("text", F.lit(EVENT_BLOCK_PATTERN), F.lit(0))
     numbered = F.when(F.size(blocks) > 0, F.transform(blocks, lambda b, i: F.struct((i + 1).alias("no"), b.alias("xml")))).otherwise(
@@ -131,12 +168,12 @@ def xml_elements(blobs: DataFrame) -> DataFrame:
     )
     events = blobs.select("path", F.explode(numbered).alias("e")).select(
         "path", F.col("e.no").alias("event_no"), F.substring("e.xml", 1, EXCERPT_CHARS).alias("start"),
-        F.regexp_extract_all("e.xml", F.lit(_TAG), F.lit(0)).alias("tokens"),
+        F.regexp_extract_all(_without_sections(F.col("e.xml")), F.lit(_TAG), F.lit(0)).alias("tokens"), _sound(F.col("e.xml")).alias("whole"),
     )
-    tokens = events.select("path", "event_no", "start", F.posexplode_outer("tokens").alias("n", "token"))
+    tokens = events.select("path", "event_no", "start", "whole", F.posexplode_outer("tokens").alias("n", "token"))
     tag = F.regexp_extract("token", r"""(?s)^<((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>""", 1)
     rows = tokens.select(
-        "path", "event_no", "n", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("start")).alias("start"), tag.alias("inner"),
+        "path", "event_no", "n", "whole", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("start")).alias("start"), tag.alias("inner"),
         F.regexp_extract("token", r"(?s)>([^<]*)$", 1).alias("after"),
     )
     inner = F.col("inner")
@@ -151,7 +188,7 @@ def xml_elements(blobs: DataFrame) -> DataFrame:
     })
     value = strip_text(_unescape(F.col("after")))
     return measured.where("opens or coalesce(n, 0) = 0").select(
-        "path", "event_no", "n", "depth", "opens", ((F.col("total") == 0) & (F.col("elements") > 0)).alias("sound"), "start",
+        "path", "event_no", "n", "depth", "opens", (F.col("whole") & (F.col("total") == 0) & (F.col("elements") > 0)).alias("sound"), "start",
         F.regexp_extract("inner", r"^([^\s/]+)", 1).alias("tag"), _attributes(inner).alias("attributes"),
         F.when(~ends_itself, value).otherwise("").alias("value"),
     )

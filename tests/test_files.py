@@ -130,3 +130,23 @@ def test_typed_events(spark, tmp_path):
     (tmp_path / "e.xml").write_text("<r><event><id>1</id><n>a</n></event><event><id>2</id></event></r>")
     rows = R.typed_events(spark, str(tmp_path), "id bigint, n string").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, "a"), (2, None)]
+
+
+def test_quotes_open_at_the_start_of_a_cell_only(spark, tmp_path):
+    long = "x" * 100_000
+    (tmp_path / "a.csv").write_text(f'h1,h2\n5" disk,ok\n1,2\n"a\n""b"", c\nd",3\n"{long}",4\n6,"7\n8" tail\n9,"" \n')
+    lines = R.csv_lines(S.scan_content(spark, str(tmp_path), [".csv"]), quoted_breaks=True)
+    got = [r["line"] for r in lines.orderBy("line_no").collect()][2:]
+    assert got == ['h1=5" disk | h2=ok', "h1=1 | h2=2", 'h1=a\n"b", c\nd | h2=3', f"h1={long} | h2=4", "h1=6 | h2=7\n8 tail", "h1=9 | h2= "]
+
+
+def test_xml_sections_entities_and_unsound_text(spark):
+    blobs = spark.createDataFrame([
+        ("a", "<event><data><![CDATA[x < <y> & z]]></data><n>&#65;&#x42;&#128512;&amp;#67;</n></event>"), ("b", "<event><a>1</b></event>"),
+        ("c", "\x01login failed <b>x</b> and more"), ("d", "<doc><k v='1'>t</k></doc>")], "path string, text string")
+    got = {}
+    for row in R.xml_event_lines(blobs).orderBy("path", "event_no", "line_no").collect():
+        got.setdefault(row["path"], []).append(row["line"])
+    assert got == {"a": ["[Event 1] event {}", "  data: x < <y> & z", "  n: AB\U0001f600&#67;"], "b": ["[Event 1] <event><a>1</b></event>"],
+                   "d": ["doc", "  k {'v': '1'}: t"]}
+
