@@ -11,7 +11,7 @@ needs the file. Texts are encoded whole, the file's added tokens inside a text c
 Decoding maps ids to bytes, joins them and reads them as UTF-8 (bytes that are none become U+FFFD).
 
 Cases: a null or empty text has no tokens and decodes to the empty text. Equal rows give equal rows.
-Further columns come along with :func:`with_tokens`.
+Further columns come along, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -218,8 +218,8 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns but the text, plus ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` (the text decoded from the ids)."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+    """All other columns but the text, plus ``n_tokens``, ``ids`` (decimal, joined by commas) and ``decoded`` (the text decoded from the ids)."""
+    kept = [f for f in docs.schema.fields if f.name not in (text, "n_tokens", "ids", "decoded")]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.StringType()), T.StructField("decoded", T.StringType())])
 

@@ -13,7 +13,7 @@ the rules. A stratum with too few labels, or one with labels but no certified cu
 Cases: a null or empty text has no words and fails the base check. A null language is a stratum of its own. Labels
 that repeat count once, a document labelled both good and bad counts as bad, null labels and labels of
 documents that are not there count nowhere. Without labels nothing but the base check rejects. Repeated rows
-are judged alike. Extra columns come along with :func:`judged`.
+are judged alike. Extra columns come along with :func:`judged`, but for those named like a result or a column in between (``HELPERS``, ``cut_*``).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from lograph.llm.text import WORD, let, words
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Good documents of a stratum that all rules together may reject, and the chance that any stratum exceeds it.
 RISK, DELTA = 0.01, 0.05
-SYMBOLS = "#*$%&|<>"
+HELPERS = frozenset("n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words base_failed kept stratum good labelled q __m __l".split())
 #: By rule: its share of the risk, and the grid of cutoffs from lenient to strict.
 RULES: dict[str, tuple[float, tuple[float, ...]]] = {
     "symbols": (0.7, (0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02)),
@@ -59,6 +59,7 @@ def repeated_words(of: Column) -> Column:
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns, and ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``."""
+    docs = docs.drop(*[c for c in docs.columns if c in HELPERS or c.startswith("cut_")])
     whole = F.coalesce(F.col(text), F.lit(""))
     symbols = F.length(F.regexp_replace(whole, "[^#*$%&|<>]+", "")).cast("bigint")
     lines = F.filter(F.split(whole, "\\n"), lambda x: x.rlike(WORD))

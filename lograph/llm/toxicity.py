@@ -11,7 +11,7 @@ The score of a document is the fitted probability.
 Cases: a null or empty text has the two spaces only and gets the score of what its (few) features say. Null labels
 and null ids of labels do not train; a label repeated counts once, contradicting ones count as toxic. With no toxic or no other
 training row the score is the smoothed share of toxic rows for all documents. Equal texts get equal
-scores. Very long texts are read whole. Extra columns are kept by :func:`scored`.
+scores. Very long texts are read whole. Extra columns are kept by :func:`scored`, but for one named ``score``.
 """
 
 from __future__ import annotations
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns but the text, and ``score``. The model is ``BUCKETS`` numbers, sent to every executor once."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+    kept = [f for f in docs.schema.fields if f.name not in (text, "score")]
     names = [f.name for f in kept]
     sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.intercept))
 

@@ -141,10 +141,10 @@ class Bundle:
 
 
 def as_uri(folder: str) -> str:
-    """An address that names its file system; plain paths are local ones."""
+    """An address as pyarrow's file systems spell it; plain paths are local ones."""
     if folder.startswith("file:") and not folder.startswith("file://"):
         return "file://" + folder.removeprefix("file:")
-    return folder if "://" in folder else f"file://{folder}"
+    return folder.replace("s3a://", "s3://", 1) if "://" in folder else f"file://{folder}"
 
 
 def with_types(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> DataFrame:
