@@ -15,7 +15,7 @@ Blocks of ``BLOCK`` neighbouring pages are one group each, so a host with any nu
 
 Cases: null or empty html gives the empty text. A null address has no neighbour. Equal rows are one page in the order
 and get the same text. Unclosed tags end with the element around them, an unclosed comment or script hides
-the rest, as in browsers. Long texts are read whole. Extra columns are kept.
+the rest, as in browsers. Long texts are read whole. Extra columns are kept, but for those named like a result or a column in between (``HELPERS``).
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ from lograph.operators.running import numbered, positioned
 from lograph.session import written
 
 BLOCK = 1024
+HELPERS = frozenset("html text n_shared k1 k2 host path packed shared".split())
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.DOTALL,
@@ -151,9 +153,8 @@ def visible_lines(page: str | None) -> list[tuple[str, int]]:
     return [(line, kind) for line, kind in page_lines(page) if kind != DROPPED]
 
 
-def main_text(page: str | None, shared: list[int]) -> str:
+def main_text(lines: list[tuple[str, int]], shared: list[int]) -> str:
     """The main text: the lines that stay, with the places of the lines deleted as shared with the nearest page."""
-    lines = visible_lines(page)
     gone = set(shared)
     if any(kind == ARTICLE for _, kind in lines):
         kept = [line for line, kind in lines if kind == ARTICLE]
@@ -272,17 +273,32 @@ def extracted(pages: DataFrame) -> DataFrame:
     host, path = address(F.col("url"))
     keyed = pages.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64("html", "url", F.lit(1), "page_id"), "host": host, "path": path})
     shared = shared_lines(keyed)
-    kept = [f for f in pages.schema.fields if f.name != "html"]
+    kept = [f for f in pages.schema.fields if f.name not in HELPERS]
     names = [f.name for f in kept]
-    joined = keyed.drop("host", "path").join(shared, ["k1", "k2"], "left").select(*names, "html", "shared")
+    packed = T.StructType([*kept, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("packed", T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            lines = ["\n".join(f"{kind}{line}" for line, kind in visible_lines(page.as_py())) for page in batch.column("html")]
+            blobs = [zstd.compress(x.encode("utf-8", "surrogatepass")) for x in lines]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(batch.schema.get_field_index(n)) for n in [*names, "k1", "k2"]], pa.array(blobs, pa.binary())], names=[*names, "k1", "k2", "packed"],
+            )
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = zstandard.ZstdDecompressor()
         for batch in batches:
             shared = batch.column("shared").to_pylist()
-            texts = [main_text(page.as_py(), gone or []) for page, gone in zip(batch.column("html"), shared)]
+            lines = [zstd.decompress(x.as_py()).decode("utf-8", "surrogatepass") for x in batch.column("packed")]
+            texts = [
+                main_text([(line[1:], int(line[0])) for line in own.split("\n")] if own else [], gone or []) for own, gone in zip(lines, shared)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(texts, pa.string()), pa.array([len(s or []) for s in shared], pa.int64())],
                 names=[*names, "text", "n_shared"],
             )
 
-    return joined.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())]))
+    # Pages meet their shared lines as packed lines, a fraction of the html.
+    joined = keyed.drop("host", "path").mapInArrow(pack, packed).join(shared, ["k1", "k2"], "left").select(*names, "packed", "shared")
+    return joined.mapInArrow(assemble, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())]))

@@ -66,7 +66,7 @@ def test_longest_common_subsequence():
     ("<div class='with-sidebar content'><p>z</p></div>", "z"), ("1 < 2 <p>3", "1 < 2 3"),
 ])
 def test_main_text(page, want):
-    assert html_diff.main_text(page, []) == want
+    assert html_diff.main_text(html_diff.visible_lines(page), []) == want
 
 
 def test_shared_lines_of_near_addresses_go(spark):
