@@ -37,3 +37,19 @@ def test_numbers_are_dense_and_ordered(spark, block_rows):
     got = numbered(spark.createDataFrame(rows, "seq bigint, name string"), ["seq", "name"], "n", block_rows)
     assert [(r["seq"], r["name"]) for r in got.orderBy("n").collect()] == sorted(rows)
     assert [r["n"] for r in got.orderBy("n").collect()] == list(range(50))
+
+
+def test_scratch_is_the_applications_own_and_can_be_cleared(spark):
+    from lograph import session
+
+    path = session.scratch_path(spark, "t")
+    assert spark.sparkContext.applicationId in path and path != session.scratch_path(spark, "t")
+    kept = session.scratch_root
+    session.scratch_root = lambda s: path
+    try:
+        spark.range(3).write.parquet(f"{path}/rows")
+        session.clear_scratch(spark)
+    finally:
+        session.scratch_root = kept
+    from lograph.sources.snapshots import read_or_empty
+    assert read_or_empty(spark, f"{path}/rows", "id bigint").count() == 0
