@@ -8,7 +8,7 @@ same one). All strings with the same anchor content (:mod:`lograph.llm.anchors`)
 2. Spark brings equal anchors together. Of equal contexts all but the first are repeats. Anchors whose contexts all
    agree are settled.
 3. Where contexts of an anchor differ, their strings are compared through a suffix array over these contexts, in
-   which the anchor's own bytes are one symbol. Suffixes are grouped by Lyndon prefixes from the largest group down along
+   which the anchor and what all contexts share around it are one symbol. Suffixes are grouped by Lyndon prefixes from the largest group down along
    pointers to the previous smaller suffix, and then put in order group by group, without renaming. Equal strings are
    neighbours in the array.
 4. An anchor with more than ``HOT`` different contexts is not held in one task: its strings are grouped by
@@ -24,6 +24,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -225,32 +228,47 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare(rows: list[tuple]) -> pa.RecordBatch:
-    """Spans of strings in these contexts that another context, of an earlier place, holds too. ``rows`` has whole anchors."""
+    """Spans of strings in these contexts that another context, of an earlier place, holds too. ``rows`` has whole anchors.
+
+    What all contexts of an anchor have in common on both sides of it is one symbol of the suffix array's text. A string that
+    starts inside it is compared from that symbol on.
+    """
     text: list[int] = []
-    starts: list[tuple[int, int, int]] = []  # document, place in it, symbol at which the string starts
-    symbol, known = 258, None
-    for h, doc, at, low, high, content in rows:
-        if h != known:
-            known, symbol = h, symbol + 1
-        lead = at - low
-        begin = len(text)
-        text += [b + 2 for b in content[:lead]]
-        text.append(symbol)
-        text += [b + 2 for b in content[lead + GRAM:]]
-        text.append(1)
-        starts += [(doc, s, begin + s - low) for s in range(low, high + 1)]
+    columns: list[np.ndarray] = []
+    for number, (_, group) in enumerate(groupby(rows, key=itemgetter(0))):
+        contexts = list(group)
+        lefts = [c[5][:c[2] - c[3]][::-1] for c in contexts]
+        rights = [c[5][c[2] - c[3] + GRAM:] for c in contexts]
+        left, right = (len(commonprefix([min(x), max(x)])) for x in (lefts, rights))
+        for _, doc, at, low, high, content in contexts:
+            lead = at - low
+            begin = len(text)
+            text += [b + 2 for b in content[:lead - left]]
+            core = len(text)
+            text.append(number + 258)
+            text += [b + 2 for b in content[lead + GRAM + right:]]
+            text.append(1)
+            place = np.arange(low, high + 1)
+            before = at - place  # bytes of the string before the anchor
+            after = np.maximum(0, LENGTH - GRAM - before - right)
+            outside = before > left
+            columns.append(np.stack([
+                np.full(len(place), number), before, np.where(outside, begin + place - low, core),
+                np.where(outside, before - left, 0) + 1 + after, np.full(len(place), doc), place,
+            ]))
     text.append(0)
     rank = np.empty(len(text), dtype=np.int64)
     rank[suffix_array(text)] = np.arange(len(text))
-    doc, place, symbol_at = (np.array(x, dtype=np.int64) for x in zip(*starts))
-    order = np.argsort(rank[symbol_at])
-    doc, place, symbol_at = doc[order], place[order], symbol_at[order]
+    strings = np.concatenate(columns, axis=1)
+    strings = strings[:, np.lexsort((rank[strings[2]], strings[1], strings[0]))]
+    anchor, before, symbol, need, doc, place = strings
     width = LENGTH - GRAM + 1
-    table = np.lib.stride_tricks.sliding_window_view(np.array(text, dtype=np.int32), width)
-    equal = np.zeros(len(order), dtype=bool)
-    for k in range(1, len(order), 1 << 16):
-        some = slice(k, min(len(order), k + (1 << 16)))
-        equal[some] = (table[symbol_at[some]] == table[symbol_at[k - 1:some.stop - 1]]).all(axis=1)
+    table = np.lib.stride_tricks.sliding_window_view(np.array(text + [0] * width, dtype=np.int32), width)
+    equal = np.zeros(strings.shape[1], dtype=bool)
+    for k in range(1, len(equal), 1 << 16):
+        some, last = slice(k, min(len(equal), k + (1 << 16))), slice(k - 1, min(len(equal), k + (1 << 16)) - 1)
+        same = (table[symbol[some]] == table[symbol[last]]) | (np.arange(width) >= need[some, None])
+        equal[some] = same.all(axis=1) & (anchor[some] == anchor[last]) & (before[some] == before[last])
     run = np.cumsum(~equal)
     by_place = np.lexsort((place, doc, run))
     doc, place, run = doc[by_place], place[by_place], run[by_place]
