@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the splitting pattern of the byte-level tokenizer family.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Chunks kept from batch to batch in a worker; when there are more, the worker starts anew.
+#: Chunks kept from batch to batch in a task; when there are more, the task starts anew.
 CACHE = 400_000
 #: Texts encoded together hold about this many characters (one text may hold more).
 TOGETHER = 8_000_000
@@ -136,6 +136,9 @@ class Codec:
         self.first: dict[str, tuple | None] = {}
         self.rest: dict[str, tuple | None] = {}
 
+    def forget(self) -> None:
+        self.first, self.rest = {}, {}
+
     def encode_pieces(self, pieces: list[str]) -> dict[str, list[int]]:
         """The ids of distinct pieces, all encoded together through one pair index."""
         if not pieces:
@@ -225,6 +228,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        own.forget()  # a worker lives on between tasks; what it learned must not pile up beside other work
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             for at, some in blocks(texts):
@@ -240,5 +244,6 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     [*[part.column(part.schema.get_field_index(n)) for n in names], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                     names=[*names, "n_tokens", "ids", "decoded"],
                 )
+        own.forget()
 
     return docs.mapInArrow(run, schema)
