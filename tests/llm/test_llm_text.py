@@ -119,6 +119,14 @@ def test_terms_that_disclose_an_entity_are_found_and_replaced(spark):
     assert pii.sanitised(frame).columns == frame.columns and pii.sanitised(frame.limit(0)).count() == 0
 
 
+def test_rare_entities_have_disclosing_terms(spark):
+    texts = ["plain words of Zebulon reach him at zeb@mail.org", "plain words of Quentin at q@mail.org", "plain Quentin, q@mail.org"]
+    texts += [f"plain words of him at reach or {i}" for i in range(400)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts)).collect()}
+    assert clean[0] == "plain words of [TERM] reach him at [EMAIL]"
+    assert clean[1] == "plain words of [TERM] at [EMAIL]" and clean[2] == "plain [TERM], [EMAIL]" and clean[9] == texts[9]
+
+
 def test_long_texts_are_replaced_piece_by_piece(spark):
     text = "é" * 4090 + " a@b.co " + "x" * 5000 + " 1.2.3.4 " * 700
     got = pii.sanitised(docs(spark, [text])).first()["text"]
