@@ -127,6 +127,15 @@ def test_rare_entities_have_disclosing_terms(spark):
     assert clean[1] == "plain words of [TERM] at [EMAIL]" and clean[2] == "plain [TERM], [EMAIL]" and clean[9] == texts[9]
 
 
+def test_terms_disclose_at_any_distance(spark):
+    plain = "plain words of him at reach or so " * 20
+    texts = [f"Zebulon {plain} zeb@mail.org {plain} said zebulon", f"{plain} but {plain} Zebulon of zeb@mail.org", plain + "zeb@mail.org"]
+    texts += [f"{plain} said but {i}" for i in range(400)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs(spark, texts)).collect()}
+    assert clean[0] == f"[TERM] {plain} [EMAIL] {plain} said [TERM]"
+    assert clean[1] == f"{plain} but {plain} [TERM] of [EMAIL]" and clean[2] == plain + "[EMAIL]" and clean[9] == texts[9]
+
+
 def test_long_texts_are_replaced_piece_by_piece(spark):
     text = "é" * 4090 + " a@b.co " + "x" * 5000 + " 1.2.3.4 " * 700
     got = pii.sanitised(docs(spark, [text])).first()["text"]
