@@ -26,6 +26,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,17 @@ from lograph.llm.components import components
 from lograph.llm.shingles import ODD, mix, shingle_sets
 from lograph.session import written
 
-#: A link: PART * intersection >= SHARE * union.
-SHARE, PART = 85, 100
-WIDTH = 4
+
+class Rule(NamedTuple):
+    """Shingles of ``width`` words; a link: ``part * intersection >= share * union``."""
+
+    width: int
+    share: int
+    part: int
+
+
+#: The contract of the operator, and what other uses take.
+OPERATOR, STAGE = Rule(4, 85, 100), Rule(5, 80, 100)
 DIMS = 256
 #: Points per leaf, documents per block of a large tile.
 LEAF, BLOCK = 16, 4096
@@ -59,32 +68,32 @@ def edges() -> list[int]:
 EDGES = edges()
 
 
-def differing(total: int) -> int:
+def differing(total: int, rule: Rule = OPERATOR) -> int:
     """The most elements in which two linked sets differ whose sizes add up to ``total``."""
-    return (PART - SHARE) * total // (PART + SHARE)
+    return (rule.part - rule.share) * total // (rule.part + rule.share)
 
 
 @lru_cache(maxsize=256)
-def class_bands(kind: int) -> tuple[int, np.ndarray]:
+def class_bands(kind: int, rule: Rule = OPERATOR) -> tuple[int, np.ndarray]:
     """Empty bands that may be left out, and the upper ends (inclusive) of the bands of a class."""
-    most = differing(2 * (EDGES[kind + 1] - 1))
+    most = differing(2 * (EDGES[kind + 1] - 1), rule)
     spare = max(2, most // 16)
     n = most + 1 + spare
     return spare, np.array([((k + 1) << 64) // n - 1 for k in range(n)], dtype=np.uint64)
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
+def band_keys(shingles: np.ndarray, rule: Rule = OPERATOR) -> np.ndarray:
     """A key per band (class, band and contents) of a sorted set, for its own class and the next if partners may lie there."""
     n = len(shingles)
     kind = bisect.bisect_right(EDGES, n) - 1
     kinds = [kind]
-    if bisect.bisect_right(EDGES, n * PART // SHARE) - 1 > kind:
+    if bisect.bisect_right(EDGES, n * rule.part // rule.share) - 1 > kind:
         kinds.append(kind + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(mix(shingles * ODD[3] + ODD[4]), out=sums[1:])
     found = []
     for kind in kinds:
-        spare, ends = class_bands(kind)
+        spare, ends = class_bands(kind, rule)
         cut = np.searchsorted(shingles, ends, side="right")
         before = np.concatenate([[0], cut[:-1]])
         own = sums[cut] - sums[before]
@@ -96,14 +105,14 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def list_sets(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
     """Size, fingerprint and bands per document; bands only where a set is met for the first time in the task."""
     met: set[tuple[int, int, int]] = set()
     none = np.empty(0, dtype=np.int64)
     for batch in batches:
         ids = batch.column(0).to_pylist()
         sizes, his, los, bands = [], [], [], []
-        for doc_id, s in zip(ids, shingle_sets(batch.column(1), WIDTH)):
+        for doc_id, s in zip(ids, shingle_sets(batch.column(1), rule.width)):
             hi, lo = int(s.sum(dtype=np.uint64)), int(mix(s * ODD[4]).sum(dtype=np.uint64))
             mark = (len(s), hi, lo)
             sizes.append(len(s))
@@ -111,7 +120,7 @@ def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             los.append(lo)
             if len(s) and doc_id is not None and mark not in met:
                 met.add(mark)
-                bands.append(band_keys(s).view(np.int64))
+                bands.append(band_keys(s, rule).view(np.int64))
             else:
                 bands.append(none)
         yield pa.RecordBatch.from_arrays([
@@ -120,9 +129,9 @@ def list_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["doc_id", "n", "hi", "lo", "bands"])
 
 
-def list_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def list_points(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1), WIDTH))
+        sets = list(shingle_sets(batch.column(1), rule.width))
         counts = [np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32) for s in sets]
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(counts, pa.list_(pa.int32())),
@@ -167,19 +176,19 @@ class Tree:
             self.parts = (Tree(counts, sizes, order[:half]), Tree(counts, sizes, order[half:]))
 
 
-def may_link(bound: np.ndarray | int, sizes: np.ndarray | int) -> np.ndarray | bool:
+def may_link(bound: np.ndarray | int, sizes: np.ndarray | int, rule: Rule = OPERATOR) -> np.ndarray | bool:
     """Whether an overlap of ``bound`` can make a link at this sum of sizes."""
-    return bound * (PART + SHARE) >= SHARE * sizes
+    return bound * (rule.part + rule.share) >= rule.share * sizes
 
 
-def tree_join(counts: np.ndarray, sizes: np.ndarray, left: Tree, right: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_join(counts: np.ndarray, sizes: np.ndarray, left: Tree, right: Tree, rule: Rule = OPERATOR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows whose summed minima allow a link; with ``left is right`` each pair once."""
     open_ = [(left, right)]
     while open_:
         a, b = open_.pop()
-        if SHARE * a.low_size > PART * b.high_size or SHARE * b.low_size > PART * a.high_size:
+        if rule.share * a.low_size > rule.part * b.high_size or rule.share * b.low_size > rule.part * a.high_size:
             continue
-        if not may_link(np.minimum(a.high, b.high).sum(), a.low_size + b.low_size):
+        if not may_link(np.minimum(a.high, b.high).sum(), a.low_size + b.low_size, rule):
             continue
         if a.parts and (a is b or len(a.rows) >= len(b.rows) or not b.parts):
             if a is b:
@@ -190,14 +199,14 @@ def tree_join(counts: np.ndarray, sizes: np.ndarray, left: Tree, right: Tree) ->
             open_ += [(a, p) for p in b.parts]
         else:
             bound = np.minimum(counts[a.rows][:, None, :], counts[b.rows][None, :, :]).sum(axis=2)
-            good = may_link(bound, sizes[a.rows][:, None] + sizes[b.rows][None, :])
+            good = may_link(bound, sizes[a.rows][:, None] + sizes[b.rows][None, :], rule)
             if a is b:
                 good = np.triu(good, 1)
             i, j = np.nonzero(good)
             yield a.rows[i], b.rows[j]
 
 
-def join_tile(left: pa.Table) -> pa.Table:
+def join_tile(left: pa.Table, rule: Rule = OPERATOR) -> pa.Table:
     """One pair of blocks of a tile: pairs that may link and are not in one component yet."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     reps, sides, stars = (left.column(c).to_numpy() for c in ("rep", "side", "star"))
@@ -208,32 +217,32 @@ def join_tile(left: pa.Table) -> pa.Table:
     if len(first):
         tree = Tree(counts, sizes, first)
         other = Tree(counts, sizes, second) if len(second) else tree
-        for i, j in tree_join(counts, sizes, tree, other):
+        for i, j in tree_join(counts, sizes, tree, other, rule):
             apart = stars[i] != stars[j]
             out_a.append(reps[i[apart]])
             out_b.append(reps[j[apart]])
     return pa.table([np.concatenate(out_a) if out_a else np.empty(0, np.int64), np.concatenate(out_b) if out_b else np.empty(0, np.int64)], schema=kind)
 
 
-def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, points: DataFrame, rule: Rule = OPERATOR) -> DataFrame:
     """Of pairs ``a``, ``b`` those that link: bounded by their counts, then by their sets."""
     one = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     two = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = pairs.join(one, "a").join(two, "b").filter(may_link(bound, F.col("na") + F.col("nb"))).select("a", "b")
+    left = pairs.join(one, "a").join(two, "b").filter(may_link(bound, F.col("na") + F.col("nb"), rule)).select("a", "b")
     left = written(left, "bounded")
     one = points.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     two = points.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = left.join(one, "a").join(two, "b")
     return written(
-        both.filter(may_link(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"))).select("a", "b"), "links",
+        both.filter(may_link(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"), rule)).select("a", "b"), "links",
     )
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = OPERATOR) -> DataFrame:
     """Per document ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that its links reach."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets = written(texts.mapInArrow(list_sets, SETS), "sets")
+    sets = written(texts.mapInArrow(lambda batches: list_sets(batches, rule), SETS), "sets")
     narrow = sets.drop("bands")
     filled = narrow.filter("n > 0 and doc_id is not null")
     classes = filled.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
@@ -253,9 +262,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     tiles = written(tiles.join(kept, "key"), "tiles")
 
     reps = tiles.select("rep").distinct()
-    points = written(texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(list_points, POINTS), "points")
+    points = written(texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda batches: list_points(batches, rule), POINTS), "points")
     stars = tiles.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(stars, points)
+    links = verified(stars, points, rule)
     connected = written(components(links), "connected")
 
     # Tiles that are not connected through stars: tree joins.
@@ -267,9 +276,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "key", "rep", "star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
     held = placed.join(points.select("rep", "n", "counts"), "rep")
-    found = held.groupBy("key", "i", "j").applyInArrow(join_tile, "a bigint, b bigint")
+    found = held.groupBy("key", "i", "j").applyInArrow(lambda tile: join_tile(tile, rule), "a bigint, b bigint")
     more = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = links.union(verified(more, points))
+    links = links.union(verified(more, points, rule))
     joined = components(links)
     ids = member.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     # An id with several texts joins their components.

@@ -128,7 +128,7 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents."""
-    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+    return jaccard.near_copies(table(spark, sf_dir, "documents"), rule=jaccard.OPERATOR)
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

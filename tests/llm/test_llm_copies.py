@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lograph.llm import hnsw, jaccard, suffixes
 from lograph.llm.components import components
 
@@ -75,6 +76,22 @@ def test_near_copies_match_brute_force(spark, monkeypatch, block):
     assert len(set(want.values())) < len(want) - 20
 
 
+def test_stage_takes_five_words_and_four_fifths(spark):
+    rng, rows = random.Random(8), []
+    for k in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(500)]
+        other = list(words)
+        for place in range(20, 20 + 40 * (11 + k % 2), 40):
+            other[place] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    five = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    links = [(2 * k, 2 * k + 1) for k in range(12) if 100 * len(five[2 * k] & five[2 * k + 1]) >= 80 * len(five[2 * k] | five[2 * k + 1])]
+    assert len(links) == 6 and not any(100 * len(shingles(a) & shingles(b)) >= 85 * len(shingles(a) | shingles(b)) for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.without_copies(spark, frame, "").collect()}
+    assert kept == set(range(24)) - {b for _, b in links}
+
+
 def test_empty_table_has_no_copies(spark):
     assert jaccard.near_copies(docs(spark, [])).count() == 0
     assert jaccard.near_copies(docs(spark, [(1, "alone in the world"), (2, None)])).count() == 2
