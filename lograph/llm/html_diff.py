@@ -6,8 +6,9 @@
    same host whose path shares the longer start (of equals the one before). Only hashes of lines travel.
 3. The lines of the two pages are aligned by their longest common subsequence, and shared lines are deleted.
 
-Markup decides where differencing must not: lines inside a declared article (or main) element stay although shared,
-since articles are copied and quote each other, and lines of a page that declares one count only inside it. Lines of
+Inside a declared article (or main) element a shared line goes only if all pages around it on the host have it (``AROUND`` before
+and after, ``LEAST`` in all at least), since articles quote each other; none goes from an article half of whose lines would, a copy among
+copies. Lines of a page that declares an article count only inside it. Lines of
 menus, forms, adverts and so on go although not shared. A page without a declared article all of whose
 lines are shared is a copy of its neighbour and keeps them.
 
@@ -35,7 +36,9 @@ from lograph.operators.running import numbered, positioned
 from lograph.session import written
 
 BLOCK = 1024
-HELPERS = frozenset("html text n_shared k1 k2 host path packed shared".split())
+#: Pages on either side that must have a shared line of an article, and the least number of them.
+AROUND, LEAST = 2, 3
+HELPERS = frozenset("html text n_shared k1 k2 host path packed shared often".split())
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|(?P<text>[^<]++|<)",
     re.DOTALL,
@@ -153,11 +156,13 @@ def visible_lines(page: str | None) -> list[tuple[str, int]]:
     return [(line, kind) for line, kind in page_lines(page) if kind != DROPPED]
 
 
-def main_text(lines: list[tuple[str, int]], shared: list[int]) -> str:
-    """The main text: the lines that stay, with the places of the lines deleted as shared with the nearest page."""
+def main_text(lines: list[tuple[str, int]], shared: list[int], often: list[int] | None = None) -> str:
+    """The main text: the lines that stay, with the places of the lines shared with the nearest page, and of those all pages around have."""
     gone = set(shared)
-    if any(kind == ARTICLE for _, kind in lines):
-        kept = [line for line, kind in lines if kind == ARTICLE]
+    article = [place for place, (_, kind) in enumerate(lines) if kind == ARTICLE]
+    if article:
+        gone = set(often or ()).intersection(article)
+        kept = [lines[place][0] for place in article if place not in gone or 2 * len(gone) >= len(article)]
     else:
         kept = [line for place, (line, _) in enumerate(lines) if place not in gone] or [line for line, _ in lines]
     return " ".join(kept)
@@ -235,15 +240,19 @@ def compare_block(rows: pa.Table) -> pa.Table:
         n = min(len(a), len(b))
         return next((k for k in range(n) if a[k] != b[k]), n)
 
-    out = []
+    held = [set(x) for x in lines]
+    out, often = [], []
     for i in range(len(hosts)):
         if own[i]:
             before, after = near(i, i - 1), near(i, i + 1)
             partner = i - 1 if before >= after else i + 1
             out.append(common(lines[i], lines[partner]) if max(before, after) >= 0 else [])
+            around = [j for j in range(i - AROUND, i + AROUND + 1) if j != i and near(i, j) >= 0]
+            often.append([k for k in out[-1] if all(lines[i][k] in held[j] for j in around)] if len(around) >= LEAST else [])
     there = np.flatnonzero(np.array(own, dtype=bool))
     keys = rows.select(["k1", "k2"]).take(pa.array(there))
-    return keys.append_column("shared", pa.array(out, pa.list_(pa.int32())))
+    kind = pa.list_(pa.int32())
+    return keys.append_column("shared", pa.array(out, kind)).append_column("often", pa.array(often, kind))
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
@@ -252,14 +261,14 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     placed = numbered(positioned(hashes, ["host", "path", "k1", "k2"], "seq"), ["seq"], "pos").drop("seq")
     block = F.floor(F.col("pos") / BLOCK)
     at = F.col("pos") % BLOCK
-    # A page at the edge of a block is also context of the block next to it.
+    # Pages at the edge of a block are also context of the block next to it.
     copies = F.array_compact(F.array(
         F.struct(block.alias("block"), F.lit(True).alias("own")),
-        F.when((at == 0) & (F.col("pos") > 0), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
-        F.when(at == BLOCK - 1, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
+        F.when((at < AROUND) & (block > 0), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
+        F.when(at >= BLOCK - AROUND, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
     ))
     grouped = placed.withColumn("c", F.explode(copies)).select("k1", "k2", "host", "path", "lines", "pos", "c.block", "c.own").groupBy("block")
-    return written(grouped.applyInArrow(compare_block, "k1 bigint, k2 bigint, shared array<int>"), "shared")
+    return written(grouped.applyInArrow(compare_block, "k1 bigint, k2 bigint, shared array<int>, often array<int>"), "shared")
 
 
 def address(url: Column) -> tuple[Column, Column]:
@@ -289,10 +298,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zstd = zstandard.ZstdDecompressor()
         for batch in batches:
-            shared = batch.column("shared").to_pylist()
+            shared, often = (batch.column(c).to_pylist() for c in ("shared", "often"))
             lines = [zstd.decompress(x.as_py()).decode("utf-8", "surrogatepass") for x in batch.column("packed")]
             texts = [
-                main_text([(line[1:], int(line[0])) for line in own.split("\n")] if own else [], gone or []) for own, gone in zip(lines, shared)
+                main_text([(line[1:], int(line[0])) for line in own.split("\n")] if own else [], gone or [], most or []) for own, gone, most in zip(lines, shared, often)
             ]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(texts, pa.string()), pa.array([len(s or []) for s in shared], pa.int64())],
@@ -300,5 +309,5 @@ def extracted(pages: DataFrame) -> DataFrame:
             )
 
     # Pages meet their shared lines as packed lines, a fraction of the html.
-    joined = keyed.drop("host", "path").mapInArrow(pack, packed).join(shared, ["k1", "k2"], "left").select(*names, "packed", "shared")
+    joined = keyed.drop("host", "path").mapInArrow(pack, packed).join(shared, ["k1", "k2"], "left").select(*names, "packed", "shared", "often")
     return joined.mapInArrow(assemble, T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())]))

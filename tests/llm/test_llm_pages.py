@@ -81,6 +81,19 @@ def test_shared_lines_of_near_addresses_go(spark):
     assert html_diff.extracted(frame.limit(0)).count() == 0
 
 
+def test_lines_that_all_pages_around_share_go_inside_an_article(spark, monkeypatch):
+    rows, quoted = [], {3: "a quote", 4: "a quote"}
+    for i in range(9):
+        own = [f"first {i}", quoted.get(i, f"second {i}"), "Subscribe now", f"third {i}"]
+        rows.append((i, f"http://h/a/{i}", "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>", "x"))
+    rows += [(20 + i, f"http://copies/{i}", "<article><p>one</p><p>two</p><p>three</p></article>", "x") for i in range(6)]
+    for block in (1024, 4):
+        monkeypatch.setattr(html_diff, "BLOCK", block)
+        got = {r["page_id"]: r["text"] for r in html_diff.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+        assert all(got[i] == f"first {i} {quoted.get(i, f'second {i}')} third {i}" for i in range(1, 8))
+        assert all(got[20 + i] == "one two three" for i in range(6))
+
+
 def test_toxicity_learns_and_scores_whole_texts(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
