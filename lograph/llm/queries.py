@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograph.llm import bpe, hnsw, html_diff, jaccard, mixing, pii, quality, suffixes, toxicity, warc
+from lograph.llm import bpe, hnsw, html_diff, jaccard, mixing, pii, quality, runs, secrets, suffixes, toxicity, trie, warc
+from lograph.llm.text import let, words
 from lograph.session import configure, scratch_path, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -152,8 +153,64 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rebuilt(lists: DataFrame) -> DataFrame:
+    """Each conversation with the first turns of the one whose id is its own without the rest by five."""
+    whole, own = F.col("conv_id"), F.col("path")
+    heads = lists.filter(whole % 5 == 0).select(whole.alias("of"), F.slice("path", 1, 8).alias("head"))
+    h = (F.crc32(whole.cast("string").cast("binary")) % 9).cast("int")
+    head = F.when(F.col("head").isNotNull(), F.slice("head", F.lit(1), h)).otherwise(F.slice(own, 1, 0))
+    joined = lists.join(heads, whole - whole % 5 == F.col("of"), "left")
+    return joined.select("conv_id", F.concat(head, F.slice(own, h + 1, F.greatest(F.size(own), F.lit(0)))).alias("path"))
+
+
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the rebuilt conversations."""
+    return trie.prefix_trie(rebuilt(written(trie.paths(table(spark, sf_dir, "conversations")), "turns")))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; a source is an owner, a document a repository of it."""
+    found = secrets.marked(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in secrets.PATTERNS], F.sha2(pii.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.span_list(F.col("spans")).alias("spans"), "n_live", "n_example",
+    )
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """Documents, in every tenth of which (by a hash of its id) the words from some place on repeat with one period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("bigint")
+
+    def repeated(own: Column) -> Column:
+        n = F.size(own)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(own, lambda w, i: F.when(i < a, w).otherwise(F.get(own, a + (i - a) % p))), " ")).otherwise("")
+
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words(F.col("text")), repeated)).otherwise(F.col("text")))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, some of which were given one."""
+    docs = with_period(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"),
+    )))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    start, length, period = (longest["start"] * -1, longest["length"], longest["period"] * -1)
+    return runs.with_runs(docs).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc, "op2_quality": op2_quality, "op3_pii": op3_pii, "op4_toxicity": op4_toxicity, "op5_html": op5_html, "op6_vectors": op6_vectors, "op7_jaccard": op7_jaccard, "op8_repeats": op8_repeats, "op9_bpe": op9_bpe, "op10_mix": op10_mix,
+    "op11_trie": op11_trie, "op12_secrets": op12_secrets, "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op2_quality": quality_sql()}
