@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,9 +76,41 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The same rows as a table in the shared folder: computed once for all that read it after."""
+#: Paths of the tables written in each open scope, the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def written(frame: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The same rows as a table in the shared folder: computed once for all that read it after.
+
+    Inside a :func:`scratch_scope` the table is deleted at the end of the scope; with ``keep`` at the end of the scope around that one.
+    """
     spark = frame.sparkSession
     path = scratch_path(spark, name)
+    scopes = _SCOPES.get()
+    if len(scopes) > keep:
+        scopes[-1 - keep].append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is written inside and not kept is deleted at the end: what still reads it must have been written by then."""
+    outer = _SCOPES.get()
+    paths: list[str] = []
+    token = _SCOPES.set((*outer, paths))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        free_shuffles(spark)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more; it waits for the garbage collector."""
+    gc.collect()
+    spark._jvm.System.gc()
