@@ -220,7 +220,8 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def end_hashes(lists: DataFrame, folds: DataFrame) -> DataFrame:
     """``end_of`` and ``ends_sha256`` of every path that several conversations have."""
-    members = lists.join(folds.filter("n > 1").select("path", "rep"), "path").select("rep", "conv_id")
+    several = folds.filter("n > 1").select(F.slice("path", F.lit(2), F.size("path")).alias("path"), "rep")
+    members = lists.join(several, "path").select("rep", "conv_id")
     packed = written(members, "members").repartitionByRange("rep", "conv_id").sortWithinPartitions("rep", "conv_id").mapInArrow(
         pack, "rep bigint, first bigint, ids string",
     )
@@ -234,13 +235,12 @@ def prefix_trie(lists: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``conv_id`` (smallest member), ``depth``, ``parent_conv_id``, ``n_convs``, ``n_children``, ``n_leaves``, ``saved_tokens``, ``ends_sha256``.
     """
     lists = written(lists.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("path").cast(f"array<{TURN}>").alias("path")), "paths")
-    folds = written(folded(lists), "folds")
     root = F.struct(F.lit(b"").alias("id"), F.lit(0).cast("bigint").alias("size"))
-    boxes = folds.select(
+    folds = written(folded(lists).select(
         F.lit(b"").alias("box"), F.lit(None).cast("binary").alias("above"), F.lit(None).cast("bigint").alias("above_conv"),
         F.lit(0).cast("bigint").alias("depth"), "rep", "n", F.concat(F.array(root), "path").alias("path"),
-    )
-    boxes, heads = burst(boxes, capacity)
+    ), "folds")
+    boxes, heads = burst(folds, capacity)
     dealt = boxes.select(*CONTAINER).repartition("box").sortWithinPartitions("box", "path")
     nodes = written(dealt.mapInArrow(sweep, NODES), "nodes")
     for head in reversed(heads):
