@@ -13,7 +13,8 @@ at most the sum over groups of the smaller count.
    at their sizes. Surviving pairs that are not connected yet are verified exactly. Tiles above ``BLOCK`` documents
    are cut into blocks, with one tree join per pair of blocks, so that no task holds more than two blocks.
 
-Equal sets are one document throughout; a task emits the bands of a set once. Links are exact up to collisions
+Equal sets are one document throughout; a task emits the bands of a set once, straight into the shuffle, and equal tiles once. The bands name
+sets by a 64-bit hash, which only brings candidates together: sets whose hashes collide are both candidates. Links are exact up to collisions
 of 64-bit hashes inside a pair of documents. Which links were found is enough for the components, all links
 between members of a component that is already joined need no check.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lograph.llm.components import components
 from lograph.llm.shingles import ODD, mix, shingle_sets
-from lograph.session import written
+from lograph.session import free_shuffles, scratch_scope, written
 
 
 class Rule(NamedTuple):
@@ -53,7 +54,11 @@ DIMS = 256
 LEAF, BLOCK = 16, 4096
 #: Sizes of a class span this factor.
 SPREAD = 1.6
-SETS = "doc_id bigint, n int, hi bigint, lo bigint, bands array<bigint>"
+#: Bands sent on at once by a task; members of a tile in one row (a larger tile has several); tiles whose marks a task holds.
+SENT, CHUNK, MARKS = 1 << 20, 1 << 12, 1 << 20
+SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint"
+BANDS = "key bigint, sid bigint"
+TILES = "key bigint, members array<bigint>, size bigint, low bigint, high bigint, s1 bigint, s2 bigint"
 POINTS = "rep bigint, n int, counts array<int>, shingles array<bigint>"
 
 
@@ -105,28 +110,46 @@ def band_keys(shingles: np.ndarray, rule: Rule = OPERATOR) -> np.ndarray:
     return np.concatenate(found)
 
 
+def name_of(s: np.ndarray) -> tuple[int, int, int, int]:
+    """Size, two fingerprints and the name of a set."""
+    hi, lo = s.sum(dtype=np.uint64), mix(s * ODD[4]).sum(dtype=np.uint64)
+    sid = mix(mix(np.full(1, hi) + ODD[0]) + lo + np.uint64(len(s)))[0]
+    return len(s), *(int(x) - (int(x) >> 63 << 64) for x in (hi, lo, sid))
+
+
 def list_sets(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
-    """Size, fingerprint and bands per document; bands only where a set is met for the first time in the task."""
-    met: set[tuple[int, int, int]] = set()
-    none = np.empty(0, dtype=np.int64)
+    """Size, fingerprints and name of the set of each document."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        sizes, his, los, bands = [], [], [], []
-        for doc_id, s in zip(ids, shingle_sets(batch.column(1), rule.width)):
-            hi, lo = int(s.sum(dtype=np.uint64)), int(mix(s * ODD[4]).sum(dtype=np.uint64))
-            mark = (len(s), hi, lo)
-            sizes.append(len(s))
-            his.append(hi)
-            los.append(lo)
-            if len(s) and doc_id is not None and mark not in met:
-                met.add(mark)
-                bands.append(band_keys(s, rule).view(np.int64))
-            else:
-                bands.append(none)
+        names = [name_of(s) for s in shingle_sets(batch.column(1), rule.width)]
+        n, hi, lo, sid = (list(c) for c in zip(*names)) if names else ([], [], [], [])
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array(sizes, pa.int32()), pa.array(np.array(his, dtype=np.uint64).view(np.int64)),
-            pa.array(np.array(los, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())),
-        ], names=["doc_id", "n", "hi", "lo", "bands"])
+            batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sid, pa.int64()),
+        ], names=["doc_id", "n", "hi", "lo", "sid"])
+
+
+def list_bands(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
+    """The bands of each set with its name, where the set is met for the first time in the task."""
+    met: set[tuple[int, int, int, int]] = set()
+    keys: list[np.ndarray] = []
+    sids: list[np.ndarray] = []
+    size = 0
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], names=["key", "sid"])
+
+    for batch in batches:
+        for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), rule.width)):
+            if not len(s) or doc_id is None or (name := name_of(s)) in met:
+                continue
+            met.add(name)
+            keys.append(band_keys(s, rule).view(np.int64))
+            sids.append(np.full(len(keys[-1]), name[3]))
+            size += len(keys[-1])
+            if size >= SENT:
+                yield sent()
+                keys, sids, size = [], [], 0
+    if keys:
+        yield sent()
 
 
 def list_points(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
@@ -139,26 +162,87 @@ def list_points(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Ite
         ], names=["rep", "n", "counts", "shingles"])
 
 
-def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key occurs more than once."""
-    names, held, same = ["key", "doc_id"], None, False
+def member_sums(members: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over the members of each stretch, which tell sets of members apart."""
+    own = mix(members.view(np.uint64))
+    return np.add.reduceat(own, starts).view(np.int64), np.add.reduceat(mix(own + ODD[1]), starts).view(np.int64)
+
+
+def wrapped(a: int, b: int) -> int:
+    """Sum of two bigints, as Spark's."""
+    total = (a + b) & (1 << 64) - 1
+    return total - (total >> 63 << 64)
+
+
+def tile_batch(keys: list[int], members: np.ndarray, sizes: list[int], marks: list[tuple]) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(members))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()), lists, *(pa.array(c, pa.int64()) for c in zip(*marks))], names=["key", "members", "size", "low", "high", "s1", "s2"])
+
+
+def whole_tiles(keys: np.ndarray, sids: np.ndarray, met: set[tuple[int, ...]]) -> pa.RecordBatch | None:
+    """The tiles of whole keys that have several sets and that were not met before."""
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sizes = np.diff(np.append(starts, len(keys)))
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    if not len(starts):
+        return None
+    firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    members = sids[np.repeat(starts - firsts, sizes) + np.arange(sizes.sum())]
+    columns = (sizes, members[firsts], members[firsts + sizes - 1], *member_sums(members, firsts))
+    new, marks = [], []
+    for i, mark in enumerate(zip(*(c.tolist() for c in columns))):
+        if mark not in met:
+            if len(met) >= MARKS:
+                met.clear()
+            met.add(mark)
+            new.append(i)
+            marks.append(mark)
+    if not new:
+        return None
+    return tile_batch(keys[starts[new]].tolist(), np.concatenate([members[firsts[i]:firsts[i] + sizes[i]] for i in new]), sizes[new].tolist(), marks)
+
+
+def list_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and set: keys of several sets as tiles, of tiles of the same sets in the task only the first.
+
+    A tile is known by its size, its ends and two sums over its members. Of a tile of more than ``CHUNK`` sets the last row has them.
+    """
+    met: set[tuple[int, ...]] = set()
+    keys, sids = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    sent: tuple[int, int, int, int] | None = None  # size, low end and sums of what is out of the tile at the front
+
+    def part(members: np.ndarray, ends: bool) -> pa.RecordBatch:
+        nonlocal sent
+        size, low, *sums = sent or (0, int(members[0]), 0, 0)
+        more = member_sums(members, np.zeros(1, dtype=np.int64))
+        sent = (size + len(members), low, *(wrapped(a, int(b[0])) for a, b in zip(sums, more)))
+        mark = (sent[0], low, int(members[-1]), *sent[2:]) if ends else (None,) * 5
+        sent = None if ends else sent
+        return tile_batch([int(keys[0])], members, [len(members)], [mark])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(0).to_numpy()
-        ids = batch.column(1).to_numpy()
-        if held is not None:
-            keys, ids = np.append(held[0], keys), np.append(held[1], ids)
-        equal = keys[1:] == keys[:-1]
-        shared = np.zeros(len(keys), dtype=bool)
-        shared[1:] |= equal
-        shared[:-1] |= equal
-        shared[0] |= same
-        held, same = (keys[-1:], ids[-1:]), bool(shared[-1])
-        there = np.flatnonzero(shared[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys[there]), pa.array(ids[there])], names=names)
-    if same:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=names)
+        keys, sids = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([sids, batch.column(1).to_numpy()])
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]))
+        keys, sids = keys[fresh], sids[fresh]
+        if sent and keys[-1] != keys[0]:
+            end = int(np.searchsorted(keys, keys[0], side="right"))
+            yield part(sids[:end], True)
+            keys, sids = keys[end:], sids[end:]
+        last = int(np.searchsorted(keys, keys[-1], side="left"))
+        if last and (found := whole_tiles(keys[:last], sids[:last], met)) is not None:
+            yield found
+        keys, sids = keys[last:], sids[last:]
+        if len(keys) > CHUNK:
+            # The newest member stays: it may come again, and the end of a tile needs one.
+            yield part(sids[:-1], False)
+            keys, sids = keys[-1:], sids[-1:]
+    if sent:
+        yield part(sids, True)
+    elif len(keys) and (found := whole_tiles(keys, sids, met)) is not None:
+        yield found
 
 
 class Tree:
@@ -239,27 +323,30 @@ def verified(pairs: DataFrame, points: DataFrame, rule: Rule = OPERATOR) -> Data
     )
 
 
+def tiles_of(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """``key``, ``rep``, ``size`` and ``low`` (the smallest document of the tile): documents by the contents of each band."""
+    spark = texts.sparkSession
+    free_shuffles(spark)
+    with scratch_scope(spark):
+        bands = texts.mapInArrow(lambda batches: list_bands(batches, rule), BANDS)
+        found = written(bands.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(list_tiles, TILES), "tiles")
+        # Tiles of the same documents are one.
+        marks = found.filter("size is not null").groupBy("size", "low", "high", "s1", "s2").agg(F.min("key").alias("key"))
+        kept = written(marks.select("key", "size"), "kept")
+        members = found.join(kept.withColumnRenamed("size", "all"), "key").select("key", F.col("all").alias("size"), F.explode("members").alias("sid"))
+        placed = written(members.join(classes.select("sid", "rep"), "sid").select("key", "rep", "size"), "placed")
+        lows = placed.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low <> high").drop("high")
+        return written(placed.join(lows, "key").select("key", "rep", "size", "low"), "tiles", keep=True)
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = OPERATOR) -> DataFrame:
     """Per document ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that its links reach."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sets = written(texts.mapInArrow(lambda batches: list_sets(batches, rule), SETS), "sets")
-    narrow = sets.drop("bands")
+    narrow = written(texts.mapInArrow(lambda batches: list_sets(batches, rule), SETS), "sets")
     filled = narrow.filter("n > 0 and doc_id is not null")
-    classes = filled.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("rep"))
-    member = written(filled.join(classes, ["hi", "lo", "n"]).select("doc_id", "rep").distinct(), "member")
-
-    # Tiles: documents by the contents of each band.
-    rows = sets.filter(F.size("bands") > 0).select(F.explode("bands").alias("key"), "doc_id")
-    shared = rows.repartition("key").sortWithinPartitions("key").mapInArrow(shared_only, "key bigint, doc_id bigint")
-    tiles = written(shared, "shared").join(member, "doc_id").select("key", "rep").distinct()
-    tiles = written(tiles, "tiles")
-    # Tiles of the same documents are one. A tile is known by its size, its ends and two sums over its members.
-    marks = tiles.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64("rep", F.lit(7)).cast("decimal(38,0)")).alias("s2"),
-    ).filter("low <> high")
-    kept = written(marks.groupBy("size", "low", "high", "s1", "s2").agg(F.min("key").alias("key")).select("key", "low", "size"), "kept")
-    tiles = written(tiles.join(kept, "key"), "tiles")
+    classes = written(filled.groupBy("hi", "lo", "n", "sid").agg(F.min("doc_id").alias("rep")), "classes")
+    member = written(filled.join(classes.drop("sid"), ["hi", "lo", "n"]).select("doc_id", "rep").distinct(), "member")
+    tiles = tiles_of(texts, classes, rule)
 
     reps = tiles.select("rep").distinct()
     points = written(texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda batches: list_points(batches, rule), POINTS), "points")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -184,3 +185,25 @@ def test_graph_search_recall():
     ids, _ = hnsw.search(graph.vectors, graph.levels[-1], queries, entries, 100)
     exact = np.argsort(-(queries @ graph.vectors.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10].tolist()) & set(b.tolist())) for a, b in zip(ids, exact)]) >= 9
+
+
+@pytest.mark.parametrize("chunk,marks", [(4, 3), (4096, 1 << 20)])
+def test_tiles_hold_all_sets_of_each_key(monkeypatch, chunk, marks):
+    """Random batch borders, large tiles in several rows; only tiles of the same sets may be left out."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "MARKS", marks)
+    rng = random.Random(chunk)
+    for _ in range(60):
+        rows = sorted((rng.randrange(-6, 6), rng.randrange(rng.choice([2, 30]))) for _ in range(rng.randrange(120)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(4))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.int64()), pa.array([s for _, s in p], pa.int64())], names=["key", "sid"]) for p in parts]
+        got, mark = {}, {}
+        for batch in jaccard.list_tiles(iter(batches)):
+            for row in batch.to_pylist():
+                got.setdefault(row["key"], []).extend(row["members"])
+                mark[row["key"]] = (row["size"], row["low"], row["high"])
+        want = {key: sorted({s for k, s in rows if k == key}) for key in {k for k, _ in rows}}
+        want = {key: sets for key, sets in want.items() if len(sets) > 1}
+        assert all(sorted(sets) == want[key] and mark[key] == (len(sets), min(sets), max(sets)) for key, sets in got.items())
+        assert {tuple(sets) for sets in want.values()} == {tuple(sorted(sets)) for sets in got.values()}

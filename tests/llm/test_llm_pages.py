@@ -119,7 +119,7 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
 
 def test_every_operator_has_one_query():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):
@@ -139,3 +139,18 @@ def test_pipeline_stages(spark):
     assert mixed.columns == corpus_pipeline.COLUMNS and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     coded = stages["tokens"](spark, mixed, SF_DIR)
     assert coded.count() == mixed.count() and coded.filter("not decodes").count() == 0
+
+
+def test_stages_judge_rows_that_share_an_id(spark):
+    """A rejected row goes although another row of its id stays; copies of rows of one id add up to what the mix takes."""
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, good, "en", "a", 1), (1, "short", "en", "a", 1), (None, good, "en", "a", 1), (None, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.kept(spark, docs, SF_DIR)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, good), (1, good)]
+    from lograph.llm import mixing
+
+    many = spark.createDataFrame([(i // 3, f"x{i % 3} " + "w " * (5 + i // 3 % 4), "en", "abc"[i % 7 % 3], 1) for i in range(240)], docs.schema)
+    wanted = {(r["doc_id"], r["source"], r["size"]): r["n"] for r in mixing.mix(mixing.sized(many)).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).collect() if r["n"]}
+    taken = corpus_pipeline.mixed(spark, many, SF_DIR).withColumn("size", mixing.n_words(F.col("text")))
+    assert {(r["doc_id"], r["source"], r["size"]): r["count"] for r in taken.groupBy("doc_id", "source", "size").count().collect()} == wanted
