@@ -7,8 +7,9 @@ same one). All strings with the same anchor content (:mod:`lograph.llm.anchors`)
    first goes on; the others are repeats already.
 2. Spark brings equal anchors together. Of equal contexts all but the first are repeats. Anchors whose contexts all
    agree are settled.
-3. Where contexts of an anchor differ, their strings are compared through a suffix array over these contexts, in
-   which the anchor and what all contexts share around it are one symbol. Suffixes are grouped by Lyndon prefixes from the largest group down along
+3. Where contexts of an anchor differ, their strings are compared through a suffix array over these contexts. Of each context only
+   as many bytes on either side take part as some other context of the anchor shares; if those and the anchor are shorter than a string, nothing in it
+   repeats and it stays out. The anchor and what all contexts share around it are one symbol. Suffixes are grouped by Lyndon prefixes from the largest group down along
    pointers to the previous smaller suffix, and then put in order group by group, without renaming. Equal strings are
    neighbours in the array.
 4. An anchor with more than ``HOT`` different contexts is not held in one task: its strings are grouped by
@@ -26,7 +27,6 @@ import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -227,11 +227,37 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "doc", "at", "low", "high", "bytes"])
 
 
+def common(a: bytes, b: bytes) -> int:
+    """How many bytes two strings share at their beginning."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[:middle] == b[:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def reaches(sides: list[bytes]) -> list[int]:
+    """For each string the most bytes that it shares at its beginning with another one: the one before or after it in order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        n = common(sides[i], sides[j])
+        out[i] = max(out[i], n)
+        out[j] = n
+    return out
+
+
 def compare(rows: list[tuple]) -> pa.RecordBatch:
     """Spans of strings in these contexts that another context, of an earlier place, holds too. ``rows`` has whole anchors.
 
-    What all contexts of an anchor have in common on both sides of it is one symbol of the suffix array's text. A string that
-    starts inside it is compared from that symbol on.
+    A string with more bytes on one side of the anchor than any other context shares there is not repeated, and needs no symbol. What all
+    contexts of an anchor have in common on both sides of it is one symbol of the suffix array's text. A string that starts inside it is
+    compared from that symbol on.
     """
     text: list[int] = []
     columns: list[np.ndarray] = []
@@ -239,23 +265,31 @@ def compare(rows: list[tuple]) -> pa.RecordBatch:
         contexts = list(group)
         lefts = [c[5][:c[2] - c[3]][::-1] for c in contexts]
         rights = [c[5][c[2] - c[3] + GRAM:] for c in contexts]
-        left, right = (len(commonprefix([min(x), max(x)])) for x in (lefts, rights))
-        for _, doc, at, low, high, content in contexts:
-            lead = at - low
+        sides = list(zip(reaches(lefts), reaches(rights)))
+        kept = [i for i, (x, y) in enumerate(sides) if x + GRAM + y >= LENGTH]
+        if len(kept) < 2:
+            continue
+        lefts, rights = ([side[i][:sides[i][k]] for i in kept] for k, side in enumerate((lefts, rights)))
+        left, right = (common(min(x), max(x)) for x in (lefts, rights))
+        for i, before_it, after_it in zip(kept, lefts, rights):
+            _, doc, at, low, high, _ = contexts[i]
+            place = np.arange(max(low, at - len(before_it)), min(high, at - (LENGTH - GRAM - len(after_it))) + 1)
             begin = len(text)
-            text += [b + 2 for b in content[:lead - left]]
+            text += [b + 2 for b in before_it[:left - len(before_it) - 1:-1]] if left < len(before_it) else []
             core = len(text)
             text.append(number + 258)
-            text += [b + 2 for b in content[lead + GRAM + right:]]
+            text += [b + 2 for b in after_it[right:]]
             text.append(1)
-            place = np.arange(low, high + 1)
             before = at - place  # bytes of the string before the anchor
             after = np.maximum(0, LENGTH - GRAM - before - right)
             outside = before > left
             columns.append(np.stack([
-                np.full(len(place), number), before, np.where(outside, begin + place - low, core),
+                np.full(len(place), number), before, np.where(outside, begin + len(before_it) - before, core),
                 np.where(outside, before - left, 0) + 1 + after, np.full(len(place), doc), place,
             ]))
+    if not columns:
+        none = np.empty(0, dtype=np.int64)
+        return rows_of((none,) * 6, (none,) * 3)
     text.append(0)
     rank = np.empty(len(text), dtype=np.int64)
     rank[suffix_array(text)] = np.arange(len(text))
