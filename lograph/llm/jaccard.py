@@ -56,10 +56,9 @@ LEAF, BLOCK = 16, 4096
 SPREAD = 1.6
 #: Bands sent on at once by a task; members of a tile in one row (a larger tile has several); tiles whose marks a task holds.
 SENT, CHUNK, MARKS = 1 << 20, 1 << 12, 1 << 20
-SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint"
+SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint, counts array<int>"
 BANDS = "key bigint, sid bigint"
 TILES = "key bigint, members array<bigint>, size bigint, low bigint, high bigint, s1 bigint, s2 bigint"
-POINTS = "rep bigint, n int, counts array<int>, shingles array<bigint>"
 
 
 def edges() -> list[int]:
@@ -118,13 +117,20 @@ def name_of(s: np.ndarray) -> tuple[int, int, int, int]:
 
 
 def list_sets(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
-    """Size, fingerprints and name of the set of each document."""
+    """Size, fingerprints, name and group counts of the set of each document."""
     for batch in batches:
-        names = [name_of(s) for s in shingle_sets(batch.column(1), rule.width)]
-        n, hi, lo, sid = (list(c) for c in zip(*names)) if names else ([], [], [], [])
+        names, counts = [], []
+        for s in shingle_sets(batch.column(1), rule.width):
+            names.append(name_of(s))
+            counts.append(np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32))
+        if not names:
+            continue
+        n, hi, lo, sid = (list(c) for c in zip(*names))
+        offsets = np.arange(len(counts) + 1, dtype=np.int32) * DIMS
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sid, pa.int64()),
-        ], names=["doc_id", "n", "hi", "lo", "sid"])
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(counts))),
+        ], names=["doc_id", "n", "hi", "lo", "sid", "counts"])
 
 
 def list_bands(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
@@ -152,14 +158,14 @@ def list_bands(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iter
         yield sent()
 
 
-def list_points(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
+def check_pairs(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both texts those whose sets link."""
     for batch in batches:
-        sets = list(shingle_sets(batch.column(1), rule.width))
-        counts = [np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32) for s in sets]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(counts, pa.list_(pa.int32())),
-            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-        ], names=["rep", "n", "counts", "shingles"])
+        good = [
+            may_link(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y), rule)
+            for x, y in zip(shingle_sets(batch.column(2), rule.width), shingle_sets(batch.column(3), rule.width))
+        ]
+        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
 def member_sums(members: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,19 +314,22 @@ def join_tile(left: pa.Table, rule: Rule = OPERATOR) -> pa.Table:
     return pa.table([np.concatenate(out_a) if out_a else np.empty(0, np.int64), np.concatenate(out_b) if out_b else np.empty(0, np.int64)], schema=kind)
 
 
-def verified(pairs: DataFrame, points: DataFrame, rule: Rule = OPERATOR) -> DataFrame:
-    """Of pairs ``a``, ``b`` those that link: bounded by their counts, then by their sets."""
+def verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, rule: Rule = OPERATOR) -> DataFrame:
+    """Of pairs ``a``, ``b`` those that link: bounded by their counts, then by the sets of their texts.
+
+    Texts meet the pairs that the bound leaves, and not the sets, which are larger and do not compress.
+    """
+    spark = pairs.sparkSession
     one = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     two = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
     bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    left = pairs.join(one, "a").join(two, "b").filter(may_link(bound, F.col("na") + F.col("nb"), rule)).select("a", "b")
-    left = written(left, "bounded")
-    one = points.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    two = points.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = left.join(one, "a").join(two, "b")
-    return written(
-        both.filter(may_link(F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb"), rule)).select("a", "b"), "links",
-    )
+    with scratch_scope(spark):
+        left = pairs.join(one, "a").join(two, "b").filter(may_link(bound, F.col("na") + F.col("nb"), rule)).select("a", "b").distinct()
+        left = written(left, "bounded")
+        free_shuffles(spark)
+        both = left.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        links = both.mapInArrow(lambda batches: check_pairs(batches, rule), "a bigint, b bigint").distinct()
+        return written(links, "links", keep=True)
 
 
 def tiles_of(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
@@ -342,17 +351,20 @@ def tiles_of(texts: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rule: Rule = OPERATOR) -> DataFrame:
     """Per document ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that its links reach."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    narrow = written(texts.mapInArrow(lambda batches: list_sets(batches, rule), SETS), "sets")
+    sets = written(texts.mapInArrow(lambda batches: list_sets(batches, rule), SETS), "sets")
+    narrow = sets.drop("counts")
     filled = narrow.filter("n > 0 and doc_id is not null")
     classes = written(filled.groupBy("hi", "lo", "n", "sid").agg(F.min("doc_id").alias("rep")), "classes")
     member = written(filled.join(classes.drop("sid"), ["hi", "lo", "n"]).select("doc_id", "rep").distinct(), "member")
     tiles = tiles_of(texts, classes, rule)
 
     reps = tiles.select("rep").distinct()
-    points = written(texts.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda batches: list_points(batches, rule), POINTS), "points")
+    points = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "n", "hi", "lo"])
+    points = written(points.select(F.col("doc_id").alias("rep"), "n", "counts"), "points")
     stars = tiles.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(stars, points, rule)
+    links = verified(stars, points, texts, rule)
     connected = written(components(links), "connected")
+    free_shuffles(texts.sparkSession)
 
     # Tiles that are not connected through stars: tree joins.
     starred = tiles.join(connected, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("star"))
@@ -362,10 +374,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     placed = placed.select("key", "rep", "star", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", "rep", "star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    held = placed.join(points.select("rep", "n", "counts"), "rep")
+    held = placed.join(points, "rep")
     found = held.groupBy("key", "i", "j").applyInArrow(lambda tile: join_tile(tile, rule), "a bigint, b bigint")
     more = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = links.union(verified(more, points, rule))
+    links = links.union(verified(more, points, texts, rule))
     joined = components(links)
     ids = member.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     # An id with several texts joins their components.
