@@ -1,6 +1,7 @@
 """Download ledger: deduplicated ingest, retention, restore. One row per ``unique_id``.
 
-Every function gives the next state of the table; writing it as a new version is the caller's step.
+Every function gives the next state of the rows it is given. The stored ledger (:mod:`lograph.plans.ledger_jobs`) hands over the rows
+that a batch touches, and adds what changes.
 """
 
 from __future__ import annotations

@@ -8,10 +8,10 @@ from lograph.functions.tabular import cells, key_values
 from lograph.operators import graph as G
 from lograph.operators import health as H
 from lograph.plans import jobs
+from lograph.plans.ledger_jobs import ledger_of
 from lograph.plans.event_queries import SEVERE
 from lograph.plans.graph_queries import MENTIONS_CTE, NODES_CTE, SIGNALS_CTE, findings, fresh_nodes
 from lograph.plans.views import oracle, table, view
-from lograph.schemas import LEDGER
 from lograph.session import scratch_path
 from lograph.sinks import graph_text as X
 from lograph.sinks.tables import read_audit
@@ -140,7 +140,7 @@ def topology_replay(spark, sf_dir):
 def ingest_outcome(spark, sf_dir):
     """What became of each kind of file, and what the ledger holds."""
     root, outcome = _state(spark, sf_dir, "outcome")
-    known = V.read_table(spark, f"{root}/state/ledger", "ledger", LEDGER).select("unique_id", F.lit(True).alias("known"))
+    known = ledger_of(spark, f"{root}/state").newest().select("unique_id", F.lit(True).alias("known"))
     kind = F.when(F.col("path").endswith(".pdf"), "pdf").otherwise(F.regexp_extract("path", "file_name=([^/]+)/", 1))
     return outcome.join(known, "unique_id", "left").groupBy(kind.alias("file_name"), "outcome").agg(
         F.bool_and(F.coalesce("known", F.lit(False))).alias("in_ledger"))

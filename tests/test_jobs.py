@@ -88,7 +88,7 @@ def test_ingest_brings_every_log_once_and_names_what_it_cannot_read(spark, tmp_p
     jobs.ingest(spark, str(logs), state, "b2", at)
     nodes, _ = snapshots.read_snapshot(spark, f"{state}/topology")
     assert {r["arn"]: r["health"]["error_count"] for r in nodes.collect()} == {WEB: 2, DB: 1}
-    known = snapshots.read_table(spark, f"{state}/ledger", "ledger", jobs.LEDGER)
+    known = jobs.ledger_of(spark, state).newest()
     assert sorted(r["key"] for r in known.collect()) == ["a b+c.log", "late.log"]
 
 
