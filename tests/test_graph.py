@@ -125,6 +125,32 @@ def test_trace_in_a_cycle_of_errors_takes_the_deepest(spark):
         ("c", "ROOT CAUSE"), ("b", "PROPAGATION"), ("a", "SURFACE")]
 
 
+def test_long_chains_take_few_rounds(spark):
+    """A thousand hops with side branches, a cycle of errors in front of the root, and a shorter way that joins late."""
+    chain = [(f"c{i:04}", f"c{i + 1:04}") for i in range(1000)]
+    sides = [(f"c{i:04}", "log") for i in range(0, 1000, 3)] + [(f"job{i}", f"c{i:04}") for i in range(0, 1000, 7)]
+    ring = [("c1000", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r3", "root")]
+    pairs = chain + sides + ring + [("c0000", "s1"), ("s1", "c0400")]
+    edges = spark.createDataFrame([(a, b, "r") for a, b in pairs], "source_arn string, target_arn string, relationship string")
+    walk = R._walk(edges, spark.createDataFrame([("c0000",)], "arn string"), None, False)
+    want = breadth_first(pairs, "c0000")
+    assert {r["arn"]: r["depth"] for r in walk.seen.collect()} == want and walk.rounds <= 15
+    failing = [n for n in want if n != "log"]
+    got = trace(spark, pairs, failing, "c0000", None)
+    assert [n for n, _ in got] == ["root", "r3", "r2", "r1", *[f"c{i:04}" for i in range(1000, 399, -1)], "s1", "c0000"]
+    assert got[0][1] == "ROOT CAUSE" and got[-1][1] == "SURFACE"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_predecessors_are_the_smallest_on_a_shortest_way(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)} | {("n0", "x1"), ("x1", "x2"), ("x2", "x3"), ("x3", "n5")}
+    edges = spark.createDataFrame([(a, b, "r") for a, b in pairs], "source_arn string, target_arn string, relationship string")
+    want = breadth_first(pairs, "n0")
+    got = {r["arn"]: (r["depth"], r["via"]) for r in R.reachable(edges, spark.createDataFrame([("n0",)], "arn string")).collect()}
+    assert got == {n: (d, min((a for a, b in pairs if b == n and want.get(a, -2) == d - 1), default=None)) for n, d in want.items()}
+
+
 def test_snapshots_have_versions_and_no_half_written_ones(spark, tmp_path):
     root = str(tmp_path / "topology")
     nodes, edges = V.read_snapshot(spark, root)
