@@ -109,6 +109,32 @@ def timeline(lines: DataFrame, window: str = "1 hour") -> DataFrame:
     )
 
 
+def incident_aggregates() -> list[Column]:
+    """What is known of an incident: its last signal, how many there were, the worst, and the first message of an error."""
+    rank = F.col("rank")
+    return [
+        F.max("ts").alias("last_ts"), F.count("rank").alias("signals"), F.count_if(rank == 2).alias("errors"), F.max("rank").alias("worst"),
+        F.min_by("message", F.when(rank == 2, F.struct("ts", "seq", "pos"))).alias("first_error"),
+    ]
+
+
+def incident_rows(found: DataFrame) -> DataFrame:
+    return found.select(
+        "arn", F.col("w.start").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "signals", "errors",
+        F.when(F.col("worst") == 2, "error").otherwise("warning").alias("status"), "first_error",
+    )
+
+
+def incidents(signals: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Signals of a resource that follow each other by no more than ``gap``, as one incident.
+
+    ``signals``: arn, ts, seq, pos, message, rank (see :func:`lograph.operators.health.health_signals`); those without a time belong to none.
+    Sessions are merged in each task before they are shuffled (``session.SETTINGS``), so a resource with many signals sends few rows.
+    """
+    timed = signals.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp"))
+    return incident_rows(timed.groupBy("arn", F.session_window("ts", gap).alias("w")).agg(*incident_aggregates()))
+
+
 def finding_rules() -> dict[str, Column]:
     """Validity rules of a finding, for :func:`lograph.functions.checks.split_valid`."""
     return {

@@ -92,6 +92,11 @@ def health_audit(
         "before": F.greatest(status_rank(F.col("status0")), F.coalesce("worst", F.lit(0))),
         "count_before": F.col("count0") + F.col("errors"),
     }).where("before < rank or (rank = 2 and before = 2)")
+    return audit_rows(steps, batch, triggered_by)
+
+
+def audit_rows(steps: DataFrame, batch: str, triggered_by: str, *more: str) -> DataFrame:
+    """Audit rows of steps: signals with the status rank and the error count before each, and the status at the start."""
     status_before = F.when(F.col("before") == 2, "error").when(F.col("before") == 1, "warning").otherwise(F.col("status0"))
     again, fails = F.col("before") == 2, F.col("rank") == 2
 
@@ -100,7 +105,7 @@ def health_audit(
 
     moved = F.concat(F.lit("Health changed from '"), status_before)
     return steps.select(
-        "seq", "pos", "ts",
+        *more, "seq", "pos", "ts",
         change_id(F.lit(batch), F.col("seq"), F.col("pos")).alias("change_id"),
         F.col("arn").alias("resource_arn"),
         F.when(again, "health_error_recorded").otherwise("health_status_changed").alias("change_type"),

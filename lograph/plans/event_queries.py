@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from lograph.operators import findings as N
 from lograph.operators import trace as R
 from lograph.operators import triggers as T
-from lograph.plans.views import oracle, table, view
+from lograph.operators.health import health_signals
+from lograph.plans.graph_queries import SIGNALS_CTE
+from lograph.plans.views import oracle, table, view, with_arrays
 from lograph.sources import records as S
 
 SURFACE = "order-3"
 CHAIN = 30
 ROOT = "nation-3"
+GAP = "2 hours"
 
 
 def trigger_route(spark, sf_dir):
@@ -49,6 +52,10 @@ def timeline(spark, sf_dir):
     return N.timeline(lines(spark, sf_dir))
 
 
+def incidents(spark, sf_dir):
+    return N.incidents(health_signals(with_arrays(view(spark, sf_dir, "findings_v"))), GAP)
+
+
 def graph_frames(spark, sf_dir):
     health = view(spark, sf_dir, "graph_health_v")
     return view(spark, sf_dir, "graph_v"), health
@@ -99,7 +106,7 @@ def finding_rejects(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     finding_records, finding_rejects, trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace,
-    long_trace, affected_resources,
+    long_trace, affected_resources, incidents,
 ]}
 
 # The lines hold one word for the severity and one for the cause.
@@ -155,6 +162,11 @@ ORACLES = {
         ORDER BY 2 DESC, 1""", "loglines_v"),
     "recent_errors": oracle(f"""WITH {SEVERE} SELECT line_no, ts, file_name, line, severity FROM l WHERE severity IN ('error', 'critical')
         AND ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM l)""", "loglines_v"),
+    "incidents": oracle(f"""WITH {SIGNALS_CTE}, b AS (SELECT *, lag(ts) OVER (PARTITION BY arn ORDER BY ts, seq, pos) AS prior FROM signals WHERE r > 0),
+        i AS (SELECT *, sum(CASE WHEN prior IS NULL OR ts - prior > INTERVAL {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY arn ORDER BY ts, seq, pos) AS n FROM b)
+        SELECT arn, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS signals, count(*) FILTER (r = 2) AS errors,
+          CASE max(r) WHEN 2 THEN 'error' ELSE 'warning' END AS status, arg_min(message, seq * 2 + pos) FILTER (r = 2) AS first_error
+        FROM i GROUP BY arn, n""", "findings_v"),
     "timeline": oracle(f"""WITH {SEVERE} SELECT date_trunc('hour', ts) AS window_start, severity, count(*) AS lines, min(ts) AS first_ts,
         max(ts) AS last_ts FROM l GROUP BY ALL""", "loglines_v"),
     "root_cause_trace": trace_sql("graph_v", "graph_health_v"),

@@ -4,24 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lograph.operators import incremental, ledger
-from lograph.operators.findings import line_severity
+from lograph.operators.findings import incident_aggregates, incident_rows, line_severity
 from lograph.operators.health import fold_aggregates, health_signals
 from lograph.operators.triggers import route_triggers
 from lograph.session import written
+from lograph.sources.merge_table import MergeTable, schema_of
 from lograph.streaming.sinks import start_batches
-from lograph.sources.snapshots import absent
 
 
 def health_stream(findings: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Folded signals per resource. The state holds one row per resource, not the findings."""
     folded = health_signals(findings).groupBy("arn").agg(*fold_aggregates())
-    return start_batches(folded, target, checkpoint, "update", once=once)
+    return start_batches(folded, target, checkpoint, "update", once=once, key="arn")
 
 
 def error_window_stream(
@@ -36,33 +35,36 @@ def error_window_stream(
         .agg(F.count(F.lit(1)).alias("errors"))
         .select(F.col("w.start").alias("window_start"), "errors")
     )
-    return start_batches(counted, target, checkpoint, "update", once=once)
+    return start_batches(counted, target, checkpoint, "update", once=once, key="window_start")
 
 
-def _earlier_batches(spark: SparkSession, target: str, batch_id: int, columns: str) -> DataFrame:
-    """Rows of the batches before this one; a batch that runs again does not see itself."""
-    try:
-        rows = spark.read.option("basePath", target).parquet(target)
-    except AnalysisException as problem:
-        if not absent(problem):
-            raise
-        return spark.createDataFrame([], columns)
-    return rows.where(F.col("batch") < batch_id)
+def incident_stream(
+    findings: DataFrame, target: str, checkpoint: str, gap: str = "30 minutes", lateness: str = "1 hour", closing: DataFrame | None = None, once: bool = True,
+) -> StreamingQuery:
+    """Incidents as :func:`lograph.operators.findings.incidents` finds them, each written once, when no signal can join it any more.
+
+    ``ts`` is a TIMESTAMP. Findings later than ``lateness`` are dropped. ``closing``, a stream of rows with ``ts``, ends the incidents before it.
+    """
+    signals = health_signals(findings).where("ts is not null").select("arn", "ts", "seq", F.col("pos").cast("int").alias("pos"), "message", "rank")
+    if closing is not None:
+        none = [F.lit(None).cast(kind).alias(name) for name, kind in (("seq", "bigint"), ("pos", "int"), ("message", "string"), ("rank", "int"))]
+        signals = signals.unionByName(closing.select(F.lit(None).cast("string").alias("arn"), "ts", *none))
+    found = signals.withWatermark("ts", lateness).groupBy("arn", F.session_window("ts", gap).alias("w")).agg(*incident_aggregates())
+    # Closing rows have no rank. A condition on their key would be pushed below the watermark, which they are there to move.
+    return start_batches(incident_rows(found.where("signals > 0")), target, checkpoint, "append", once=once)
 
 
 def ingest_stream(references: DataFrame, target: str, checkpoint: str, order: list[str], once: bool = True) -> StreamingQuery:
     """Each reference enters the ledger once, at its first appearance."""
     rest = [c for c in references.columns if c != "unique_id"]
 
-    def unseen(batch: DataFrame, batch_id: int) -> DataFrame:
+    def unseen(batch: DataFrame, _: int) -> DataFrame:
         firsts = batch.groupBy("unique_id").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row"))
-        # Written, so that its size is known: a small batch is broadcast to the ledger, which then needs no shuffle.
-        firsts = written(firsts, "arrivals")
-        known = _earlier_batches(batch.sparkSession, target, batch_id, "unique_id string, batch int")
-        seen = known.join(firsts.select("unique_id"), "unique_id", "left_semi")
-        return ledger.new_references(firsts, seen).select("unique_id", *[F.col("row")[c].alias(c) for c in rest])
+        firsts = written(firsts.select("unique_id", *[F.col("row")[c].alias(c) for c in rest]), "arrivals")
+        # Only the buckets whose filters may hold one of these ids are read.
+        return ledger.new_references(firsts, MergeTable(batch.sparkSession, target, schema_of(firsts), "unique_id").lookup(firsts))
 
-    return start_batches(references, target, checkpoint, "append", unseen, once)
+    return start_batches(references, target, checkpoint, "append", unseen, once, key="unique_id")
 
 
 def cache_stream(files: DataFrame, results: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
