@@ -1,4 +1,4 @@
-"""The jobs from end to end: take in logs, bring the topology up to date, apply edits, look into an error, retire old logs."""
+"""The jobs from end to end: take in logs, bring the topology up to date, apply edits, look into an error, retire old logs, restore some."""
 
 from __future__ import annotations
 
@@ -15,12 +15,12 @@ from lograph.operators import ledger as L
 from lograph.operators import reports as S
 from lograph.operators import trace as R
 from lograph.operators.running import numbered, positioned
-from lograph.schemas import LEDGER, MANIFEST, REJECTS
+from lograph.plans.ledger_jobs import enforce, enter, ledger_of, restore
+from lograph.schemas import MANIFEST, REJECTS
 from lograph.session import configure, written
 from lograph.sinks.tables import append_audit
 from lograph.sources import readers, snapshots
 from lograph.sources.files import log_references, scan_files, suffix
-from lograph.sources.snapshots import read_table, write_tables
 
 AUDIT_COLUMNS = [
     "change_id", "timestamp", "resource_arn", "change_type", "source", "triggered_by", "description", "previous_value", "new_value", "seq", "pos",
@@ -40,9 +40,7 @@ def take_in(spark: SparkSession, log_root: str, state_root: str, as_of: Column,
     For logs that are processed elsewhere. :func:`ingest` enters logs together with what they tell.
     """
     configure(spark)
-    ledger = read_table(spark, f"{state_root}/ledger", "ledger", LEDGER)
-    new = written(L.new_references(references(spark, log_root, as_of, source_type).drop("length"), ledger), "new_references")
-    write_tables(spark, {"ledger": L.mark_downloaded(ledger, new, ["unique_id"])}, f"{state_root}/ledger", as_of)
+    new = enter(ledger_of(spark, state_root), references(spark, log_root, as_of, source_type).drop("length"), ["unique_id"])
     return new.select("unique_id", F.col("local_path").alias("path"))
 
 
@@ -57,10 +55,11 @@ def ingest(
     """
     configure(spark)
     manifest_path, rejects_path = f"{state_root}/batches/{batch}/manifest", f"{state_root}/batches/{batch}/rejects"
-    known = read_table(spark, f"{state_root}/ledger", "ledger", LEDGER)
+    ledger = ledger_of(spark, state_root)
     schema = f"{MANIFEST}, length bigint"
     if not snapshots.is_written(spark, manifest_path):
-        L.new_references(references(spark, log_root, as_of, source_type), known).write.mode("overwrite").parquet(manifest_path)
+        there = written(references(spark, log_root, as_of, source_type), "references")
+        L.new_references(there, ledger.lookup(there)).write.mode("overwrite").parquet(manifest_path)
     logs = spark.read.schema(schema).parquet(manifest_path)
     files = logs.select("unique_id", F.col("local_path").alias("path"), "length")
     refused = readers.unread_reason(files)
@@ -73,9 +72,8 @@ def ingest(
     rejects = spark.read.schema(REJECTS).parquet(rejects_path)
     good = taken.join(rejects, "path", "left_anti")
     update_topology(spark, log_root, state_root, batch, as_of, files=good)
-    if not snapshots.has_batch(spark, f"{state_root}/ledger", batch):
-        entered = logs.drop("length").join(good, "unique_id", "left_semi")
-        write_tables(spark, {"ledger": L.mark_downloaded(known, entered, ["unique_id"])}, f"{state_root}/ledger", as_of, batch)
+    # Logs that the ledger has by now are left alone, so a batch that runs again adds nothing.
+    enter(ledger, logs.drop("length").join(good, "unique_id", "left_semi"), ["unique_id"])
     return good.select("unique_id", "path", F.lit("ingested").alias("outcome")).unionByName(
         rejects.select("unique_id", "path", F.col("reason").alias("outcome")))
 
@@ -85,10 +83,16 @@ def retire(
 ) -> DataFrame:
     """Mark logs past their retention as purged; returns the ids. Deleting the files is the storage's lifecycle rule."""
     configure(spark)
-    ledger = read_table(spark, f"{state_root}/ledger", "ledger", LEDGER)
-    due = written(L.due_for_purge(ledger, as_of, failed_deletes, days).select("unique_id"), "due")
-    write_tables(spark, {"ledger": L.mark_purged(ledger, due, as_of)}, f"{state_root}/ledger", as_of)
-    return due
+    return enforce(ledger_of(spark, state_root), as_of, failed_deletes, days).select("unique_id")
+
+
+def restore_logs(spark: SparkSession, state_root: str, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Enter purged logs that were brought back (``requests``: unique_id, new_path); returns each request with its ``outcome``.
+
+    ``restored``, ``not_found`` or ``not_purged``. The retention of a restored log starts again.
+    """
+    configure(spark)
+    return restore(ledger_of(spark, state_root), requests, as_of)
 
 
 def log_findings(lines: DataFrame, as_of: Column) -> DataFrame:
@@ -132,7 +136,14 @@ def update_topology(
     health_audit = H.health_audit(found, before, batch).withColumns({"timestamp": as_of, "pos": F.col("pos").cast("int")})
     append_audit(
         graph_audit.select(*AUDIT_COLUMNS).unionByName(health_audit.select(*AUDIT_COLUMNS)), f"{state_root}/audit", batch)
-    return snapshots.write_snapshot(after, edges.drop("added"), root, as_of, batch)
+    return _next_version(after, edges.drop("added"), root, as_of, batch)
+
+
+def _next_version(nodes: DataFrame, edges: DataFrame, root: str, as_of: Column, batch: str) -> int:
+    """Write a version of the topology and drop those that are old; readers that need an old one lease it."""
+    version = snapshots.write_snapshot(nodes, edges, root, as_of, batch)
+    snapshots.drop_versions(nodes.sparkSession, root)
+    return version
 
 
 def apply_edits(spark: SparkSession, state_root: str, edits: DataFrame, operator_id: str, batch: str, as_of: Column) -> int:
@@ -158,7 +169,7 @@ def apply_edits(spark: SparkSession, state_root: str, edits: DataFrame, operator
         .withColumn("position", F.col("place") + free.scalar()).drop("place", "added_seq"))
     after = E.edited_nodes(flat, edits).select(
         "arn", "resource_type", "name", F.struct("status", "last_error", "error_count", "last_seen").alias("health"), "metadata")
-    return snapshots.write_snapshot(after, placed, root, as_of, batch)
+    return _next_version(after, placed, root, as_of, batch)
 
 
 def investigate(

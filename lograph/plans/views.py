@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ READS = {
     "edit_nodes_v": ["nation"],
     "edit_edges_v": ["supplier"],
     "ledger_v": ["orders"],
+    "known_v": ["ledger_v", "orders"],
     "incoming_v": ["lineitem", "orders"],
     "responses_v": ["conversations"],
     "usage_v": ["conversations"],
@@ -69,7 +73,11 @@ SELECT 's3_bucket:bucket-' || CAST(o_custkey % 5 AS STRING) || ':' || CAST(o_ord
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE '/logs/' || CAST(o_orderkey AS STRING) END AS local_path,
   o_orderdate AS downloaded_at, o_orderstatus = 'F' AS is_purged,
   CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 0 THEN o_orderdate END AS purged_at
-FROM orders WHERE o_orderpriority <> '1-URGENT'
+FROM orders
+""",
+    # A ledger that does not know some of the logs yet.
+    "known_v": """
+SELECT l.* FROM ledger_v l JOIN orders ON key = CAST(o_orderkey AS STRING) || '.log' WHERE o_orderpriority <> '1-URGENT'
 """,
     "incoming_v": """
 SELECT 's3_bucket:bucket-' || CAST(o_custkey % 5 AS STRING) || ':' || CAST(o_orderkey AS STRING) || '.log' AS unique_id,
@@ -134,12 +142,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _over(spark: SparkSession, sf_dir: str, name: str, frames: dict[str, DataFrame]) -> DataFrame:
+    """A view's SQL over frames. They are registered under names of their folder, so queries over two folders do not mix."""
+    sql, folder = SQL[name], hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    for source, frame in frames.items():
+        own = f"{source}_{'stream' if frame.isStreaming else 'table'}_{folder}"
+        frame.createOrReplaceTempView(own)
+        sql = re.sub(rf"\b(FROM|JOIN) {source}\b", rf"\1 {own}", sql)
+    return spark.sql(sql)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in ``sf_dir``."""
-    for source in READS[name]:
-        frame = view(spark, sf_dir, source) if source in SQL else table(spark, sf_dir, source)
-        frame.createOrReplaceTempView(source)
-    return spark.sql(SQL[name])
+    return _over(spark, sf_dir, name, {
+        source: view(spark, sf_dir, source) if source in SQL else table(spark, sf_dir, source) for source in READS[name]})
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,8 +167,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over one table, as a stream."""
     (source,) = READS[name]
-    table_stream(spark, sf_dir, source).createOrReplaceTempView(source)
-    return spark.sql(SQL[name])
+    return _over(spark, sf_dir, name, {source: table_stream(spark, sf_dir, source)})
 
 
 def with_arrays(findings: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 A version is written to a folder that no other writer uses; its header row comes last and names the folder and
 the batch. A reader takes the highest version that has a header, so a lost job leaves nothing half-read behind. Of
-two writers of the same version the one with the smaller folder name counts, and the other is told so.
+two writers of the same version the one with the smaller folder name counts, and the other is told so. Old versions are dropped by
+:func:`drop_versions`, but for those that a reader leases; their header rows stay, as they name the batches.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +19,10 @@ from pyspark.sql import functions as F
 from lograph.fixed_values import UNKNOWN
 from lograph.functions import replies as R
 from lograph.schemas import RESOURCE_EDGES, RESOURCE_NODES, SNAPSHOT_HEADER, TOPOLOGY_EDGES, TOPOLOGY_NODES
+from lograph.sources import store_files
+
+#: Versions that stay after a job wrote a new one.
+KEEP = 16
 
 
 def absent(problem: AnalysisException) -> bool:
@@ -86,6 +93,33 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str, a
     return version
 
 
+@contextmanager
+def lease(spark: SparkSession, root: str) -> Iterator[int]:
+    """The newest version, to be read with ``version=``; it is not dropped as long as the lease is held."""
+    def there(version: int) -> bool:
+        folders = {r["folder"] for r in read_header(spark, root).where(F.col("version") == version).collect()}
+        return bool(folders & set(store_files.names(spark, root)))
+
+    with store_files.lease(spark, root, lambda: latest_version(spark, root), there) as version:
+        yield version
+
+
+def drop_versions(spark: SparkSession, root: str, keep: int = KEEP) -> list[int]:
+    """Delete the tables of versions that are neither among the last ``keep`` nor leased; returns those versions.
+
+    Folders that no header names belong to a writer that is at work or lost; they are deleted once their version is an old one.
+    """
+    last = latest_version(spark, root)
+    leased = store_files.leased(spark, root)
+    gone = set()
+    for name in store_files.names(spark, root):
+        version = int(name.split("-")[0].removeprefix("version=")) if name.startswith("version=") else last
+        if version <= last - keep and version not in leased:
+            store_files.delete(spark, f"{root}/{name}")
+            gone.add(version)
+    return sorted(gone)
+
+
 def read_snapshot(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a topology version."""
     version = latest_version(spark, root) if version is None else version

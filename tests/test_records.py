@@ -44,12 +44,13 @@ def test_reports_are_written_as_json_lines(spark, tmp_path):
 
 
 def test_audit_goes_out_as_json_lines(spark, tmp_path):
-    audit = spark.createDataFrame([(GOOD["change_id"], AT, "a", "node_added", "human_input", "operator:x", "d", None, "{}")], B.AUDIT)
+    audit = spark.createDataFrame([(GOOD["change_id"], AT, "a", "node_added", "human_input", "operator:x", "d", None, "{}", 7, 2)], B.AUDIT)
     B.audit_json(audit, str(tmp_path / "a"))
     B.audit_json(audit, str(tmp_path / "a"))
     back = spark.read.text(str(tmp_path / "a")).select(F.monotonically_increasing_id().alias("seq"), F.col("value").alias("json"))
     good, bad = records.audit(back)
     assert good.count() == 2 and bad.count() == 0
+    assert [(r["seq"], r["pos"]) for r in spark.read.json(str(tmp_path / "a")).collect()] == [(7, 2)] * 2
 
 
 def test_existing_counts_as_older_than_any_reply(spark):
