@@ -1,7 +1,8 @@
 """Similarity self-join of documents on sets of word shingles, by count vectors in R-trees.
 
-A shingle hashes into one of ``DIMS`` groups, so a document is a point of group counts, and the overlap of two documents is
-at most the sum over groups of the smaller count.
+A shingle hashes into one of some groups, so a document is a point of group counts, and the overlap of two documents is
+at most the sum over groups of the smaller count. Groups grow with the document (two to four shingles each, see :func:`dims`), as counts
+of many shingles differ too little to bound anything; a point of more groups folds into one of fewer by adding up.
 
 1. Tiles. Documents of similar size divide the hash space into bands, one more than two linked
    documents can differ in elements (and some to spare for empty bands). So some band holds the same shingles in both,
@@ -10,7 +11,7 @@ at most the sum over groups of the smaller count.
    exactly. That settles most tiles in work linear in their size, also groups of thousands of near copies.
 3. Trees. A tile whose documents are not all connected by then gets an R-tree over its points, joined with itself: a
    pair of nodes is dropped if the summed minima of their upper corners cannot reach the overlap that a link needs
-   at their sizes. Surviving pairs that are not connected yet are verified exactly. Tiles above ``BLOCK`` documents
+   at their sizes. Surviving pairs that are not connected yet are verified exactly. Tiles above ``BLOCK`` documents (or ``CELLS`` counts)
    are cut into blocks, with one tree join per pair of blocks, so that no task holds more than two blocks.
 
 Equal sets are one document throughout; a task emits the bands of a set once, straight into the shuffle, and equal tiles once. The bands name
@@ -49,9 +50,10 @@ class Rule(NamedTuple):
 
 #: The contract of the operator, and what other uses take.
 OPERATOR, STAGE = Rule(4, 85, 100), Rule(5, 80, 100)
-DIMS = 256
-#: Points per leaf, documents per block of a large tile.
-LEAF, BLOCK = 16, 4096
+#: Fewest and most groups of a document; points per leaf.
+DIMS, MOST_DIMS, LEAF = 16, 1 << 14, 16
+#: Documents and counts per block of a large tile.
+BLOCK, CELLS = 4096, 1 << 22
 #: Sizes of a class span this factor.
 SPREAD = 1.6
 #: Bands sent on at once by a task; members of a tile in one row (a larger tile has several); tiles whose marks a task holds.
@@ -116,17 +118,28 @@ def name_of(s: np.ndarray) -> tuple[int, int, int, int]:
     return len(s), *(int(x) - (int(x) >> 63 << 64) for x in (hi, lo, sid))
 
 
+def dims(n: int) -> int:
+    """Groups of a set of ``n`` shingles: a power of two, a quarter of ``n`` or more."""
+    return min(MOST_DIMS, max(DIMS, 1 << max(0, (n + 3) // 4 - 1).bit_length()))
+
+
+def fold(counts: np.ndarray, size: int) -> np.ndarray:
+    """Counts by fewer groups."""
+    return counts.reshape(-1, size).sum(axis=0) if len(counts) > size else counts
+
+
 def list_sets(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
     """Size, fingerprints, name and group counts of the set of each document."""
     for batch in batches:
         names, counts = [], []
         for s in shingle_sets(batch.column(1), rule.width):
             names.append(name_of(s))
-            counts.append(np.bincount((s & np.uint64(DIMS - 1)).astype(np.int64), minlength=DIMS).astype(np.int32))
+            size = dims(len(s))
+            counts.append(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32))
         if not names:
             continue
         n, hi, lo, sid = (list(c) for c in zip(*names))
-        offsets = np.arange(len(counts) + 1, dtype=np.int32) * DIMS
+        offsets = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sid, pa.int64()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(counts))),
@@ -158,6 +171,20 @@ def list_bands(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iter
         yield sent()
 
 
+def bound_pairs(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
+    """Of pairs with the counts of both (``a``, ``b``, ``na``, ``nb``, ``ca``, ``cb``) those that the summed minima allow to link."""
+    for batch in batches:
+        sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        bounds = np.empty(batch.num_rows, dtype=np.int64)
+        flat = [np.asarray(batch.column(i).values) for i in (4, 5)]
+        ends = [batch.column(i).offsets.to_numpy() for i in (4, 5)]
+        for row in range(batch.num_rows):
+            one, two = (values[offsets[row]:offsets[row + 1]] for values, offsets in zip(flat, ends))
+            size = min(len(one), len(two))
+            bounds[row] = np.minimum(fold(one, size), fold(two, size)).sum()
+        yield batch.select([0, 1]).filter(pa.array(may_link(bounds, sizes, rule)))
+
+
 def check_pairs(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts those whose sets link."""
     for batch in batches:
@@ -301,7 +328,10 @@ def join_tile(left: pa.Table, rule: Rule = OPERATOR) -> pa.Table:
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     reps, sides, stars = (left.column(c).to_numpy() for c in ("rep", "side", "star"))
     sizes = left.column("n").to_numpy().astype(np.int64)
-    counts = np.asarray(left.column("counts").combine_chunks().flatten()).reshape(len(reps), DIMS)
+    lists = left.column("counts").combine_chunks()
+    values, ends = np.asarray(lists.values), lists.offsets.to_numpy()
+    size = int(np.diff(ends).min()) if len(reps) else DIMS
+    counts = np.stack([fold(values[i:j], size) for i, j in zip(ends[:-1], ends[1:])]) if len(reps) else np.empty((0, size), dtype=np.int64)
     first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     out_a, out_b = [], []
     if len(first):
@@ -322,9 +352,9 @@ def verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, rule: Rule =
     spark = pairs.sparkSession
     one = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
     two = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
-    bound = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     with scratch_scope(spark):
-        left = pairs.join(one, "a").join(two, "b").filter(may_link(bound, F.col("na") + F.col("nb"), rule)).select("a", "b").distinct()
+        counted = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb")
+        left = counted.mapInArrow(lambda batches: bound_pairs(batches, rule), "a bigint, b bigint").distinct()
         left = written(left, "bounded")
         free_shuffles(spark)
         both = left.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -368,8 +398,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 
     # Tiles that are not connected through stars: tree joins.
     starred = tiles.join(connected, F.col("rep") == F.col("node"), "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("star"))
-    apart = starred.groupBy("key").agg(F.min("star").alias("x"), F.max("star").alias("y")).filter("x <> y and x is not null").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # A tile has documents of similar size, so the largest tells how many counts all have.
+    largest = points.groupBy("rep").agg(F.max(F.size("counts")).alias("dims"))
+    starred = starred.join(largest, "rep")
+    apart = starred.groupBy("key").agg(F.min("star").alias("x"), F.max("star").alias("y"), F.max("dims").alias("most")).filter("x <> y and x is not null").select("key", "most")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("size") * F.col("most") / CELLS)).cast("int")
     placed = starred.join(apart, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.select("key", "rep", "star", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", "rep", "star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
