@@ -208,3 +208,72 @@ def test_mix_meets_its_targets(spark):
 def test_digest_of_nothing(spark):
     row = pii.entities(docs(spark, [None]).select("doc_id", "text")).select(F.sha2(pii.span_list(F.col("spans")), 256).alias("d")).first()
     assert row["d"] == hashlib.sha256(b"").hexdigest()
+
+
+TERM = re.compile(r"[^\W\d_]{3,}")
+
+
+def plain_surprise(k, given):
+    return k * (given - 1) + math.log(2 * math.pi * k) / 2
+
+
+def test_candidate_pairs_match_plain_python(spark):
+    """PMI and surprise of every pair of entity and term, by definition, with copies and entities of one text."""
+    rng = random.Random(8)
+    words = [f"{c}{d}{e}" for c in "abcdef" for d in "ghij" for e in "klm"]
+    texts = []
+    for i in range(260):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 6)))
+        if rng.random() < 0.3:
+            who = rng.choice("xyzuvw")
+            text += f" {who}@mail.org {who * 3} {rng.choice([who * 4, 'abc'])}" if rng.random() < 0.8 else f" q{i}@mail.org own{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        texts.append(text)
+    texts += texts[:40] + [None, "", "only@mail.org"]
+    docs_ = docs(spark, texts).select("doc_id", "text")
+    found = pii.entities(docs_).drop("text")
+    held = pii.holding(found)
+    got = {}
+    for r in pii.near_pairs(held.withColumn("decoy", F.lit(False)), docs_).collect():
+        got.setdefault((r["entity"], r["term"]), set()).add(r["digest"])
+        got.setdefault(("surprise", r["entity"], r["term"]), r["surprise"])
+    total = len(texts)
+    terms = [set(t.lower() for t in TERM.findall(x or "")) for x in texts]
+    mails = [{m.lower() for m in PATTERNS["email"].findall(x or "")} and {m.group().lower() for m in PATTERNS["email"].finditer(x or "")} for x in texts]
+    df_term, df_mail = Counter(t for own in terms for t in own), Counter(m for own in mails for m in own)
+    together, support = Counter(), {}
+    for x, own, found_ in zip(texts, terms, mails):
+        for m in found_:
+            for t in own:
+                together[m, t] += 1
+                support.setdefault((m, t), set()).add(x)
+    want = {}
+    for (m, t), n in together.items():
+        given, held_ = math.log(n * total / (df_term[t] * df_mail[m])), math.log(total / df_mail[m])
+        surprise = plain_surprise(len(support[m, t]), given)
+        if given >= pii.DISCLOSED * held_ and surprise >= -math.log(pii.CHANCE):
+            want["email:" + m, t] = {hashlib.sha256(x.encode()).hexdigest() for x in support[m, t]}
+            assert got["surprise", "email:" + m, t] == pytest.approx(surprise)
+    assert {k: v for k, v in got.items() if len(k) == 2} == want and len(want) > 5
+
+
+def test_least_surprise_holds_false_discoveries(spark):
+    rng = random.Random(2)
+    for share in (0.0, 0.02, 0.5, 1.0):
+        pairs = [(f"e{i}", f"t{i}", rng.random() < share, rng.choice([5.0, 6.0, 9.5, 20.0, 4000.0])) for i in range(400)]
+        frame = spark.createDataFrame(pairs, "entity string, term string, decoy boolean, surprise double")
+        least = pii.least_surprise(frame.union(frame.limit(7)), 1.5).first()["least"]
+        good = [s for s in {p[3] for p in pairs} if (r := sum(not p[2] and p[3] >= s for p in pairs)) and 1.5 * sum(p[2] and p[3] >= s for p in pairs) <= pii.FALSE * r]
+        assert (least is None) == (not good)
+        if good:
+            assert {p for p in pairs if p[3] >= least} == {p for p in pairs if p[3] >= min(good)}
+
+
+def test_words_of_single_texts_tell_nothing_by_themselves(spark):
+    """Every text has words of its own; only those that come back with an entity disclose it."""
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j)}xx" for j in range(20))
+    texts = [f"{own(i)} plain words here" + (f" u{i}@mail.org" if i % 10 == 0 else "") for i in range(500)]
+    texts += [f"{own(500 + i)} Zebulon zeb@mail.org" for i in range(5)]
+    rows = pii.marked(docs(spark, texts).select("doc_id", "text")).select("doc_id", F.expr("size(spans) - size(base_spans)").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {i: int(i >= 500) for i in range(505)}
+    all_hold = pii.marked(docs(spark, [f"{own(i)} u{i}@mail.org" for i in range(30)]).select("doc_id", "text"))
+    assert all_hold.count() == 30  # no text is left for a decoy
