@@ -50,11 +50,13 @@ UNPARSED_CONFIDENCE = 0.3
 # Limits.
 FILE_SIZE_LIMIT = 50_000_000
 TEXT_CHUNK_CHARS = 80_000
-EXCERPT_CHARS = 500
-SUMMARY_EXCERPT_CHARS = 300
 RETENTION_DAYS = 7
 PRINTABLE_RUN = 8
 
+# Head and usage table of a report.
+REPORT_HEAD = "# Incident Report"
+USAGE_HEAD = ["## Credit Usage", "", "| Metric | Value |", "|--------|-------|"]
+
 # Node colours of the DOT export by service.
 SERVICE_COLOURS = {
     "lambda": "lightyellow", "apigateway": "lightcyan", "rds": "lightblue",

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lograph.fixed_values import UNKNOWN, UNPARSED_CONFIDENCE
+from lograph.fixed_values import REPORT_HEAD, UNKNOWN, UNPARSED_CONFIDENCE, USAGE_HEAD
 from lograph.functions import replies as R
-from lograph.functions.arn import last_part
+from lograph.functions.arn import last_part, normalize_arn
 from lograph.operators.replies import parsed
 
 
-def report_fields(replies: DataFrame) -> DataFrame:
-    """One report per reply. A reply that does not parse becomes the hypothesis, with low confidence."""
+def report_fields(replies: DataFrame, iterations: Column | None = None) -> DataFrame:
+    """One report per reply. A reply that does not parse becomes the hypothesis, with low confidence.
+
+    ``iterations``: how many rounds of the investigation led to the reply, a column of ``replies``. The findings that support a report are
+    rows of their own, see :func:`supporting_findings`.
+    """
     data, missing = F.col("data"), F.col("data").isNull()
     no_texts = F.expr("cast(array() as array<string>)")
     remedy = F.try_variant_get(data, "$.suggested_remediation", "variant")
@@ -20,7 +24,8 @@ def report_fields(replies: DataFrame) -> DataFrame:
     def texts(path: str) -> Column:
         return F.when(missing, no_texts).otherwise(R.texts_at(data, path))
 
-    return parsed(replies).select(
+    rounds = F.lit(0) if iterations is None else F.coalesce(iterations, F.lit(0))
+    return parsed(replies.withColumn("__rounds", rounds.cast("bigint"))).select(
         "response_id", (~missing).alias("parsed"),
         F.when(missing, F.lit(UNPARSED_CONFIDENCE)).otherwise(R.confidence(data)).alias("confidence"),
         F.when(missing, F.col("response"))
@@ -31,9 +36,21 @@ def report_fields(replies: DataFrame) -> DataFrame:
         F.when(R.kind(remedy) == "ARRAY", F.array_join(R.texts_at(data, "$.suggested_remediation"), "\n"))
         .otherwise(R.text_at(data, "$.suggested_remediation")).alias("suggested_remediation"),
         R.items_at(data, "$.source_evidence").alias("source_evidence"),
+        F.col("__rounds").alias("iterations_used"),
     )
 
 
+def supporting_findings(reports: DataFrame, findings: DataFrame) -> DataFrame:
+    """The findings on resources of each report's chain: ``response_id``, then the columns of ``findings`` but its resources.
+
+    A finding supports a report once, however many of its resources are in the chain. ``findings`` has ``seq`` and ``resource_arns``.
+    """
+    steps = reports.select("response_id", F.explode(F.array_distinct("root_cause_chain")).alias("arn"))
+    named = findings.select("seq", F.explode(F.array_distinct(F.transform("resource_arns", normalize_arn))).alias("arn"))
+    pairs = named.join(steps, "arn").select("response_id", "seq").distinct()
+    return pairs.join(findings.drop("resource_arns"), "seq").select("response_id", *[c for c in findings.columns if c != "resource_arns"])
+
+
 def role(position: Column, length: Column) -> Column:
     return F.when(position == 0, "ROOT CAUSE").when(position == length - 1, "SURFACE").otherwise("PROPAGATION")
 
@@ -112,10 +129,26 @@ def _evidence_lines(item: Column, pos: Column, excerpt_chars: int | None) -> Col
     ))
 
 
-def report_lines(reports: DataFrame, nodes: DataFrame, excerpt_chars: int | None = None) -> DataFrame:
+USAGE = ("sessions", "credits", "seconds")
+
+
+def with_usage(reports: DataFrame, usage: DataFrame) -> DataFrame:
+    """Reports with what the run took: one row (``sessions``, ``credits``, ``seconds``), as the total of :func:`lograph.operators.usage.run_usage` gives it."""
+    return reports.withColumns({f"__{name}": F.coalesce(usage.select(F.col(name).cast("string")).scalar(), F.lit("0")) for name in USAGE})
+
+
+def _usage_block() -> Column:
+    row = lambda title, name, unit="": F.concat(F.lit(f"| {title} | "), F.col(f"__{name}"), F.lit(f"{unit} |"))
+    return _block(*USAGE_HEAD, row("Sessions", "sessions"), row("Credits", "credits"), row("Time", "seconds", "s"), "")
+
+
+def report_lines(
+    reports: DataFrame, nodes: DataFrame, excerpt_chars: int | None = None, generated_at: Column | None = None, usage: DataFrame | None = None,
+) -> DataFrame:
     """Report text as rows, to be read in the order (section_no, item_no, line_no) per report.
 
-    ``reports`` as from :func:`report_fields`. One pass gives all lines but those that show a
+    ``reports`` as from :func:`report_fields`. With ``generated_at`` the head tells when and after how many iterations the report was made; with
+    ``usage`` (see :func:`with_usage`) a last section tells what it took. One pass gives all lines but those that show a
     resource's name; a second one joins the names. The topology overview is the same for every
     report; :func:`topology_lines` gives it once.
     """
@@ -123,9 +156,12 @@ def report_lines(reports: DataFrame, nodes: DataFrame, excerpt_chars: int | None
     has_story, has_chain = F.size("narrative") > 0, F.size("root_cause_chain") > 0
     impacted, proven = F.size("affected_resources"), F.size("source_evidence") > 0
     none = F.expr("cast(array() as array<string>)")
-    fixed = reports.select("response_id", F.inline(F.concat(
-        _numbered(1, here, _block(
-            "# Incident Report", "", F.concat(F.lit("Confidence: "), F.col("confidence").cast("string")), "")),
+    made, depth = [], []
+    if generated_at is not None:
+        made = [F.concat(F.lit("Generated: "), F.date_format(generated_at, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))]
+        depth = [F.concat(F.lit("Investigation depth: "), F.col("iterations_used").cast("string"), F.lit(" iterations"))]
+    fixed = (reports if usage is None else with_usage(reports, usage)).select("response_id", F.inline(F.concat(
+        _numbered(1, here, _block(REPORT_HEAD, "", *made, F.concat(F.lit("Confidence: "), F.col("confidence").cast("string")), *depth, "")),
         _numbered(2, here, F.concat(
             _block("## Incident Timeline", ""),
             F.when(has_story, F.col("narrative")).otherwise(_block("No narrative could be constructed.")), _block(""))),
@@ -138,6 +174,7 @@ def report_lines(reports: DataFrame, nodes: DataFrame, excerpt_chars: int | None
             F.coalesce(F.nullif("suggested_remediation", F.lit("")), F.lit("No specific remediation suggested.")), "")),
         _numbered(6, before, F.when(proven, _block("## Source Evidence", "")).otherwise(none)),
         F.flatten(F.transform("source_evidence", lambda item, pos: _numbered(6, pos, _evidence_lines(item, pos, excerpt_chars)))),
+        *([] if usage is None else [_numbered(7, here, _usage_block())]),
     )))
     length = F.size("root_cause_chain")
     mentions = reports.select("response_id", F.inline(F.concat(

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from lograph.plans import (
-    edit_queries, event_queries, file_queries, flagship, graph_queries, ledger_queries, reply_queries, stream_queries, work_queries,
+    edit_queries, event_queries, file_queries, flagship, graph_queries, ledger_queries, reply_queries, sink_queries, stream_queries, work_queries,
 )
 
 MODULES = [
-    flagship, graph_queries, ledger_queries, edit_queries, reply_queries, work_queries, event_queries, file_queries, stream_queries,
+    flagship, graph_queries, ledger_queries, edit_queries, reply_queries, work_queries, event_queries, file_queries, sink_queries, stream_queries,
 ]
 
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}

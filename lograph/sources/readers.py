@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lograph.fixed_values import EVENT_BLOCK_PATTERN, EXCERPT_CHARS
+from lograph.fixed_values import EVENT_BLOCK_PATTERN
 from lograph.functions.tabular import cells, key_values, open_after
 from lograph.functions.text import printable_runs, strip_text
 from lograph.sources.files import any_case, path_groups, plain_path, scan_content, scan_files, suffix
@@ -160,14 +160,14 @@ def xml_elements(blobs: DataFrame) -> DataFrame:
     """Elements of the event blocks inside each blob: path, event_no, n, depth, tag, attributes, value.
 
     Blobs without an event block count as one document with event_no 0. ``sound`` is false where the text is no
-    well-formed XML; ``start`` then holds the start of the block. ``blobs``: path, text.
+    well-formed XML; ``start`` of its first row then holds the block. ``blobs``: path, text.
     """
     blocks = F.regexp_extract_all("text", F.lit(EVENT_BLOCK_PATTERN), F.lit(0))
     numbered = F.when(F.size(blocks) > 0, F.transform(blocks, lambda b, i: F.struct((i + 1).alias("no"), b.alias("xml")))).otherwise(
         F.array(F.struct(F.lit(0).alias("no"), F.col("text").alias("xml")))
     )
     events = blobs.select("path", F.explode(numbered).alias("e")).select(
-        "path", F.col("e.no").alias("event_no"), F.substring("e.xml", 1, EXCERPT_CHARS).alias("start"),
+        "path", F.col("e.no").alias("event_no"), F.col("e.xml").alias("start"),
         F.regexp_extract_all(_without_sections(F.col("e.xml")), F.lit(_TAG), F.lit(0)).alias("tokens"), _sound(F.col("e.xml")).alias("whole"),
     )
     tokens = events.select("path", "event_no", "start", "whole", F.posexplode_outer("tokens").alias("n", "token"))
@@ -198,7 +198,7 @@ def xml_event_lines(blobs: DataFrame) -> DataFrame:
     """Event blocks as text lines: path, event_no, line_no, line.
 
     An element shows its value and its attributes, a child of it its value. A block whose tags do not
-    balance shows its first characters. A document without events shows its whole tree; one that is
+    balance shows its whole text, line by line. A document without events shows its whole tree; one that is
     no XML gives no lines.
     """
     rows = xml_elements(blobs)
@@ -211,7 +211,7 @@ def xml_event_lines(blobs: DataFrame) -> DataFrame:
     )
     line = (
         F.when(~F.col("sound"), F.when((F.coalesce("n", F.lit(0)) == 0) & (F.col("event_no") > 0),
-                                      F.array(F.concat(title, F.col("start")))))
+                                      F.transform(_split_lines(F.col("start")), lambda text, i: F.concat(F.when(i == 0, title).otherwise(""), text))))
         .when(~F.col("opens"), F.lit(None))
         .when(F.col("event_no") == 0, F.array(whole))
         .when(F.col("depth") == 0, F.array(F.concat(title, F.col("tag"), F.lit(" "), F.col("attributes"))))
@@ -221,7 +221,7 @@ def xml_event_lines(blobs: DataFrame) -> DataFrame:
         .when((F.col("depth") == 2) & has_value, F.array(F.concat(F.lit("    "), "tag", F.lit(": "), "value")))
     )
     return rows.select("path", "event_no", "n", F.posexplode(line).alias("k", "line")).where("line is not null").select(
-        "path", "event_no", (F.coalesce("n", F.lit(0)) * 2 + F.col("k")).alias("line_no"), "line"
+        "path", "event_no", (F.coalesce("n", F.lit(0)).cast("bigint") * 2 + F.col("k")).alias("line_no"), "line"
     )
 
 
