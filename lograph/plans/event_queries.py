@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lograph.operators import findings as N
+from lograph.operators import templates as P
 from lograph.operators import trace as R
 from lograph.operators import triggers as T
 from lograph.operators.health import health_signals
@@ -56,6 +57,16 @@ def incidents(spark, sf_dir):
     return N.incidents(health_signals(with_arrays(view(spark, sf_dir, "findings_v"))), GAP)
 
 
+def mined_templates(spark, sf_dir):
+    return P.mined_templates(lines(spark, sf_dir), 2).drop("template_id")
+
+
+def template_digest(spark, sf_dir):
+    """Templates of each file, mined over all files."""
+    found = lines(spark, sf_dir)
+    return P.template_digest(found, P.mined_templates(found, 2), 2).drop("template_id")
+
+
 def graph_frames(spark, sf_dir):
     health = view(spark, sf_dir, "graph_health_v")
     return view(spark, sf_dir, "graph_v"), health
@@ -106,7 +117,7 @@ def finding_rejects(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     finding_records, finding_rejects, trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace,
-    long_trace, affected_resources, incidents,
+    long_trace, affected_resources, incidents, mined_templates, template_digest,
 ]}
 
 # The lines hold one word for the severity and one for the cause.
@@ -118,6 +129,15 @@ SEVERE = f"l AS (SELECT *, {SEVERITY} AS severity FROM loglines_v)"
 BFS = """
 seen(arn, depth) USING KEY (arn) AS (SELECT '{start}', 0 UNION SELECT e.{far}, min(w.depth) + 1 FROM seen w JOIN {graph} e ON e.{near} = w.arn
   WHERE e.{far} NOT IN (SELECT arn FROM recurring.seen) GROUP BY e.{far})"""
+# A tree of two tokens: lines by number of tokens, then the first two; a position that differs is a wildcard.
+MINED = SEVERE + r""",
+w AS (SELECT file_name, severity, string_split(regexp_replace(regexp_replace(line, 'arn:aws[a-z0-9_-]*:[^ ]+', '<arn>', 'g'), '[0-9]+', '#', 'g'), ' ') AS t FROM l),
+k AS (SELECT *, len(t) AS n, t[1] AS a, t[2] AS b FROM w),
+p AS (SELECT n, a, b, i, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS x FROM (
+  SELECT n, a, b, unnest(generate_series(1, n)) AS i, unnest(t) AS x FROM (SELECT DISTINCT n, a, b, t FROM k)) GROUP BY ALL),
+m AS (SELECT n, a, b, string_agg(x, ' ' ORDER BY i) AS template, count(*) FILTER (x = '<*>') AS wildcards FROM p GROUP BY ALL)"""
+
+
 def trace_sql(graph: str, health: str) -> str:
     return oracle("WITH RECURSIVE " + BFS.format(start=SURFACE, near="source_arn", far="target_arn", graph=graph) + f""",
         g AS (SELECT * FROM {graph}), bad AS (SELECT arn FROM {health} WHERE status = 'error'),
@@ -162,6 +182,10 @@ ORACLES = {
         ORDER BY 2 DESC, 1""", "loglines_v"),
     "recent_errors": oracle(f"""WITH {SEVERE} SELECT line_no, ts, file_name, line, severity FROM l WHERE severity IN ('error', 'critical')
         AND ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM l)""", "loglines_v"),
+    "mined_templates": oracle(f"""WITH {MINED} SELECT template, n AS n_tokens, any_value(wildcards) AS wildcards, count(DISTINCT t) AS variants, count(*) AS lines,
+        count(DISTINCT file_name) AS files, count(*) FILTER (severity IN ('error', 'critical')) AS error_lines, count(*) FILTER (severity = 'warning') AS warning_lines
+        FROM k JOIN m USING (n, a, b) GROUP BY n, a, b, template""", "loglines_v"),
+    "template_digest": oracle(f"WITH {MINED} SELECT file_name, template, count(*) AS lines FROM k JOIN m USING (n, a, b) GROUP BY n, a, b, file_name, template", "loglines_v"),
     "incidents": oracle(f"""WITH {SIGNALS_CTE}, b AS (SELECT *, lag(ts) OVER (PARTITION BY arn ORDER BY ts, seq, pos) AS prior FROM signals WHERE r > 0),
         i AS (SELECT *, sum(CASE WHEN prior IS NULL OR ts - prior > INTERVAL {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY arn ORDER BY ts, seq, pos) AS n FROM b)
         SELECT arn, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS signals, count(*) FILTER (r = 2) AS errors,
