@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 LEAST = 100
 #: A frame ends with the record that brings it to this many bytes, a bundle with the frame that brings it to that many.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 28
+#: Bytes of records that a task reads back, on the whole.
+READ_BYTES = 1 << 24
 #: Fixed values of the seekable format: skippable frame, end of the seek table.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
@@ -232,7 +234,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                     out, held = [], 0
             yield record_batch(out, names)
 
-    placed = index.repartition("bundle", F.expr("frame div 16")).sortWithinPartitions("bundle", "frame", "offset")
+    # The index is small, what it points at is not: tasks are counted by the bytes that they read.
+    length = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    placed = index.repartition(1 + length // READ_BYTES, "bundle", F.expr("frame div 16")).sortWithinPartitions("bundle", "frame", "offset")
     return placed.mapInArrow(run, RECORDS)
 
 
