@@ -57,7 +57,7 @@ BLOCK, CELLS = 4096, 1 << 22
 #: Sizes of a class span this factor.
 SPREAD = 1.6
 #: Bands sent on at once by a task; members of a tile in one row (a larger tile has several); tiles whose marks a task holds.
-SENT, CHUNK, MARKS = 1 << 20, 1 << 12, 1 << 20
+SENT, CHUNK, MARKS = 1 << 18, 1 << 12, 1 << 18
 SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint, counts array<int>"
 BANDS = "key bigint, sid bigint"
 TILES = "key bigint, members array<bigint>, size bigint, low bigint, high bigint, s1 bigint, s2 bigint"
@@ -213,7 +213,7 @@ def tile_batch(keys: list[int], members: np.ndarray, sizes: list[int], marks: li
         [pa.array(keys, pa.int64()), lists, *(pa.array(c, pa.int64()) for c in zip(*marks))], names=["key", "members", "size", "low", "high", "s1", "s2"])
 
 
-def whole_tiles(keys: np.ndarray, sids: np.ndarray, met: set[tuple[int, ...]]) -> pa.RecordBatch | None:
+def whole_tiles(keys: np.ndarray, sids: np.ndarray, met: set[int]) -> pa.RecordBatch | None:
     """The tiles of whole keys that have several sets and that were not met before."""
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -225,10 +225,11 @@ def whole_tiles(keys: np.ndarray, sids: np.ndarray, met: set[tuple[int, ...]]) -
     columns = (sizes, members[firsts], members[firsts + sizes - 1], *member_sums(members, firsts))
     new, marks = [], []
     for i, mark in enumerate(zip(*(c.tolist() for c in columns))):
-        if mark not in met:
+        both = (mark[3] << 64) + mark[4]  # the two sums, in one number
+        if both not in met:
             if len(met) >= MARKS:
                 met.clear()
-            met.add(mark)
+            met.add(both)
             new.append(i)
             marks.append(mark)
     if not new:
@@ -241,7 +242,7 @@ def list_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A tile is known by its size, its ends and two sums over its members. Of a tile of more than ``CHUNK`` sets the last row has them.
     """
-    met: set[tuple[int, ...]] = set()
+    met: set[int] = set()
     keys, sids = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     sent: tuple[int, int, int, int] | None = None  # size, low end and sums of what is out of the tile at the front
 

@@ -15,7 +15,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 ODD = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 #: Texts are worked on in runs of about this many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
