@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lograph.operators import findings as N
+from lograph.operators import search as K
 from lograph.operators import templates as P
 from lograph.operators import trace as R
 from lograph.operators import triggers as T
 from lograph.operators.health import health_signals
 from lograph.plans.graph_queries import SIGNALS_CTE
 from lograph.plans.views import oracle, table, view, with_arrays
+from lograph.session import scratch_path
 from lograph.sources import records as S
 
 SURFACE = "order-3"
@@ -57,6 +59,33 @@ def incidents(spark, sf_dir):
     return N.incidents(health_signals(with_arrays(view(spark, sf_dir, "findings_v"))), GAP)
 
 
+SEARCH = "OutOfMemory killed from 10"
+
+
+def _index(spark, sf_dir, name):
+    """The lines as files of an hour each, indexed in two batches."""
+    root = scratch_path(spark, name)
+    hourly = lines(spark, sf_dir).select(F.concat(F.date_format("ts", "yyyy-MM-dd-HH/"), "file_name").alias("file_name"), "line_no", "line")
+    for batch, odd in (("even", 0), ("odd", 1)):
+        K.index_batch(hourly.where(F.substring("file_name", 13, 1).cast("int") % 2 == odd), root, batch)
+    return root
+
+
+def search_files(spark, sf_dir):
+    """All files that hold a word of the query, with their scores."""
+    return K.search_files(spark, _index(spark, sf_dir, "search"), SEARCH).withColumn("score", F.round("score", 6))
+
+
+def search_best(spark, sf_dir):
+    """The best scores only, found without scoring all blocks."""
+    return K.search_files(spark, _index(spark, sf_dir, "search_best"), SEARCH, 10).select(F.round("score", 6).alias("score"))
+
+
+def search_phrase(spark, sf_dir):
+    """Files in which the words of a query follow each other, and how often."""
+    return K.search_files(spark, _index(spark, sf_dir, "phrase"), "outofmemory killed from", phrase=True).select("file_name", "hits")
+
+
 def mined_templates(spark, sf_dir):
     return P.mined_templates(lines(spark, sf_dir), 2).drop("template_id")
 
@@ -117,7 +146,7 @@ def finding_rejects(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     finding_records, finding_rejects, trigger_route, line_findings, file_digest, file_overview, rank_files, recent_errors, timeline, root_cause_trace,
-    long_trace, affected_resources, incidents, mined_templates, template_digest,
+    long_trace, affected_resources, incidents, mined_templates, template_digest, search_files, search_best, search_phrase,
 ]}
 
 # The lines hold one word for the severity and one for the cause.
@@ -138,6 +167,17 @@ p AS (SELECT n, a, b, i, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS
 m AS (SELECT n, a, b, string_agg(x, ' ' ORDER BY i) AS template, count(*) FILTER (x = '<*>') AS wildcards FROM p GROUP BY ALL)"""
 
 
+BM25 = r"""
+h AS (SELECT strftime(ts, '%Y-%m-%d-%H/') || file_name AS file_name, list_filter(regexp_split_to_array(lower(line), '[^\p{L}\p{N}_]+'), lambda w: w <> '') AS w FROM loglines_v),
+o AS (SELECT file_name, unnest(w) AS term FROM h),
+c AS (SELECT file_name, term, count(*) AS times FROM o GROUP BY ALL),
+d AS (SELECT file_name, sum(times) AS length FROM c GROUP BY ALL),
+g AS (SELECT count(*) AS n, avg(length) AS average FROM d),
+q AS (SELECT term, count(*) AS df FROM c WHERE term IN ('outofmemory', 'killed', 'from', '10') GROUP BY ALL),
+s AS (SELECT file_name, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * times * 2.2 / (times + 1.2 * (0.25 + 0.75 * length / average))) AS score
+  FROM c JOIN q USING (term) JOIN d USING (file_name), g GROUP BY file_name)"""
+
+
 def trace_sql(graph: str, health: str) -> str:
     return oracle("WITH RECURSIVE " + BFS.format(start=SURFACE, near="source_arn", far="target_arn", graph=graph) + f""",
         g AS (SELECT * FROM {graph}), bad AS (SELECT arn FROM {health} WHERE status = 'error'),
@@ -182,6 +222,10 @@ ORACLES = {
         ORDER BY 2 DESC, 1""", "loglines_v"),
     "recent_errors": oracle(f"""WITH {SEVERE} SELECT line_no, ts, file_name, line, severity FROM l WHERE severity IN ('error', 'critical')
         AND ts >= (SELECT max(ts) - INTERVAL 24 HOUR FROM l)""", "loglines_v"),
+    "search_files": oracle(f"WITH {BM25} SELECT file_name, round(score, 6) AS score FROM s", "loglines_v"),
+    "search_best": oracle(f"WITH {BM25} SELECT round(score, 6) AS score FROM s ORDER BY s.score DESC LIMIT 10", "loglines_v"),
+    "search_phrase": oracle("""SELECT strftime(ts, '%Y-%m-%d-%H/') || file_name AS file_name, count(*) AS hits FROM loglines_v
+        WHERE contains(line, 'OutOfMemory killed from') GROUP BY 1""", "loglines_v"),
     "mined_templates": oracle(f"""WITH {MINED} SELECT template, n AS n_tokens, any_value(wildcards) AS wildcards, count(DISTINCT t) AS variants, count(*) AS lines,
         count(DISTINCT file_name) AS files, count(*) FILTER (severity IN ('error', 'critical')) AS error_lines, count(*) FILTER (severity = 'warning') AS warning_lines
         FROM k JOIN m USING (n, a, b) GROUP BY n, a, b, template""", "loglines_v"),
