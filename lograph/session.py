@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Hot join keys are split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows go to Python by bytes, not by number: texts may be long.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Sessions of a key are merged in each task before they are shuffled.
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     # Stream state lives on local disk with change logs in the checkpoint, not on the heap.
