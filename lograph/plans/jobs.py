@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lograph.fixed_values import RETENTION_DAYS
 from lograph.operators import edits as E
@@ -14,7 +13,7 @@ from lograph.operators import health as H
 from lograph.operators import ledger as L
 from lograph.operators import reports as S
 from lograph.operators import trace as R
-from lograph.operators.running import numbered, positioned
+from lograph.operators.running import numbered, positioned, with_running
 from lograph.plans.ledger_jobs import enforce, enter, ledger_of, restore
 from lograph.schemas import MANIFEST, REJECTS
 from lograph.session import configure, written
@@ -64,14 +63,17 @@ def ingest(
     files = logs.select("unique_id", F.col("local_path").alias("path"), "length")
     refused = readers.unread_reason(files)
     taken = files.join(refused, "path", "left_anti")
+    # Formats that are read whole are parsed once: their lines tell what is damaged, and go on to the topology.
+    whole = taken.where(suffix(F.col("path")).isin(readers.WHOLE_SUFFIXES) & (F.col("length") > 0))
+    whole_lines = written(readers.lines_of(spark, whole), "whole_lines")
     if not snapshots.is_written(spark, rejects_path):
         # Whole-file formats that give no line although they have bytes are damaged.
-        whole = taken.where(suffix(F.col("path")).isin(readers.WHOLE_SUFFIXES) & (F.col("length") > 0))
-        damaged = readers.unreadable(whole, readers.lines_of(spark, whole)).select("path", F.lit("damaged").alias("reason"))
+        damaged = readers.unreadable(whole, whole_lines).select("path", F.lit("damaged").alias("reason"))
         files.join(refused.unionByName(damaged), "path").select("unique_id", "path", "reason").write.mode("overwrite").parquet(rejects_path)
     rejects = spark.read.schema(REJECTS).parquet(rejects_path)
     good = taken.join(rejects, "path", "left_anti")
-    update_topology(spark, log_root, state_root, batch, as_of, files=good)
+    plain = readers.lines_of(spark, good.join(whole.select("path"), "path", "left_anti"))
+    update_topology(spark, log_root, state_root, batch, as_of, lines=plain.unionByName(whole_lines))
     # Logs that the ledger has by now are left alone, so a batch that runs again adds nothing.
     enter(ledger, logs.drop("length").join(good, "unique_id", "left_semi"), ["unique_id"])
     return good.select("unique_id", "path", F.lit("ingested").alias("outcome")).unionByName(
@@ -107,19 +109,19 @@ def log_findings(lines: DataFrame, as_of: Column) -> DataFrame:
 
 def update_topology(
     spark: SparkSession, log_root: str, state_root: str, batch: str, as_of: Column, after: str | None = None,
-    only: DataFrame | None = None, files: DataFrame | None = None,
+    only: DataFrame | None = None, lines: DataFrame | None = None,
 ) -> int:
     """Merge what the logs tell into the stored topology; returns the new version.
 
     A batch that the topology holds already changes nothing. Health counters add up, so each log must
-    come in one batch: ``files`` (path, length) or ``only`` (path) name them, ``after`` spares
-    the listing files that are older anyway.
+    come in one batch: ``only`` (path) names them, ``after`` spares the listing files that are older anyway; or ``lines`` has
+    their lines already (path, block, line_no, line).
     """
     configure(spark)
     root = f"{state_root}/topology"
     if snapshots.has_batch(spark, root, batch):
         return snapshots.latest_version(spark, root)
-    lines = readers.file_lines(spark, log_root, after, only) if files is None else readers.lines_of(spark, files)
+    lines = readers.file_lines(spark, log_root, after, only) if lines is None else lines
     found = log_findings(lines, as_of)
     old_nodes, old_edges = snapshots.read_snapshot(spark, root)
     resources = G.resource_nodes(found).withColumn("properties", F.create_map(F.lit("region"), F.col("region")))
@@ -186,10 +188,12 @@ def investigate(
     root = chain.where("position = 0").first()
     mentions = N.line_findings(lines).where("severity <> 'info'").select(
         "file_name", "line", F.explode(F.array_distinct("resource_arns")).alias("arn"))
-    rank = F.row_number().over(Window.partitionBy("arn").orderBy("file_name", "line"))
+    # Numbered in blocks: one resource may have a third of all lines.
+    evidence = positioned(mentions.join(chain.select("arn", "position"), "arn"), ["file_name", "line"])
+    evidence = with_running(evidence, ["arn"], ["seq"], {"before": ("sum", F.lit(1))})
     return {
         "files": N.rank_files(lines, pattern),
         "chain": S.with_labels(chain, nodes).orderBy("position"),
         "affected": S.with_labels(R.affected_resources(edges, root["arn"] if root else surface), nodes),
-        "evidence": mentions.join(chain.select("arn", "position"), "arn").withColumn("n", rank),
+        "evidence": evidence.withColumn("n", F.col("before") + 1).drop("seq", "before"),
     }

@@ -150,3 +150,10 @@ def test_xml_sections_entities_and_unsound_text(spark):
     assert got == {"a": ["[Event 1] event {}", "  data: x < <y> & z", "  n: AB\U0001f600&#67;"], "b": ["[Event 1] <event><a>1</b></event>"],
                    "d": ["doc", "  k {'v': '1'}: t"]}
 
+
+
+def test_unsound_blocks_keep_their_whole_text(spark):
+    far = "x" * 2000 + " arn:aws:s3:::late-bucket"
+    blobs = spark.createDataFrame([("a", f"<event><a>{far}\nsecond line</b></event>")], "path string, text string")
+    got = [r["line"] for r in R.xml_event_lines(blobs).orderBy("event_no", "line_no").collect()]
+    assert got == [f"[Event 1] <event><a>{far}", "second line</b></event>"]

@@ -202,3 +202,28 @@ def test_artifacts(spark, drawn, tmp_path):
     nodes, edges = drawn
     B.write_artifacts(nodes, edges, spark.createDataFrame([], B.AUDIT), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out/dot")).count() == 10
+
+
+def test_versions_are_dropped_but_for_leased_ones(spark, tmp_path):
+    """A slow reader and three writers: what the reader leased stays until it is done."""
+    root, at = str(tmp_path / "topology"), F.expr("timestamp_ntz '2024-01-01 00:00:00'")
+    node = "arn string, resource_type string, name string"
+
+    def write(n):
+        nodes = spark.createDataFrame([(f"a{n}", "t", "n")], node).withColumns({
+            "health": F.struct(F.lit("unknown").alias("status"), F.lit(None).cast("string").alias("last_error"), F.lit(0).cast("bigint").alias("error_count"),
+                               F.lit(None).cast("timestamp_ntz").alias("last_seen")), "metadata": F.expr("cast(map() as map<string,string>)")})
+        edges = V.read_snapshot(spark, root)[1]
+        V.write_snapshot(nodes, edges, root, at, f"b{n}")
+        return V.drop_versions(spark, root, keep=2)
+
+    write(0)
+    with V.lease(spark, root) as version:
+        slow, _ = V.read_snapshot(spark, root, version)
+        dropped = [write(n) for n in range(1, 7)]  # three writers, two turns each
+        assert version == 1 and dropped == [[], [], [2], [3], [4], [5]]
+        assert [r["arn"] for r in slow.collect()] == ["a0"]
+    assert write(7) == [1, 6] and [r["arn"] for r in V.read_snapshot(spark, root)[0].collect()] == ["a7"]
+    assert V.has_batch(spark, root, "b0")  # what a version took in stays known
+    with V.lease(spark, str(tmp_path / "none")) as version:
+        assert version == 0

@@ -111,3 +111,20 @@ def test_edits_of_a_stored_topology(spark, tmp_path):
     from lograph.sinks.tables import write_artifacts
     write_artifacts(nodes, edges, read_audit(spark, f"{state}/audit"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out" / "graphml")).where("value like '%<edge %'").count() == 1
+
+
+def test_purged_logs_are_restored_once(spark, tmp_path):
+    logs, state = tmp_path / "logs", str(tmp_path / "state")
+    logs.mkdir()
+    (logs / "a.log").write_text("one\n")
+    (logs / "b.log").write_text("two\n")
+    day = lambda n: F.expr(f"timestamp_ntz '2024-02-{n:02} 00:00:00'")
+    jobs.take_in(spark, str(logs), state, day(1))
+    stuck = spark.createDataFrame([(f"local_file:{logs}:b.log",)], "unique_id string")
+    assert jobs.retire(spark, state, day(20), stuck).count() == 1
+    requests = spark.createDataFrame([(f"local_file:{logs}:{n}.log", f"/again/{n}") for n in "abc"], "unique_id string, new_path string")
+    outcomes = [{r["unique_id"][-5]: r["outcome"] for r in jobs.restore_logs(spark, state, requests, day(21)).collect()} for _ in range(2)]
+    assert outcomes == [{"a": "restored", "b": "not_purged", "c": "not_found"}, {"a": "not_purged", "b": "not_purged", "c": "not_found"}]
+    rows = {r["key"]: (r["local_path"], r["downloaded_at"].day, r["is_purged"], r["purged_at"]) for r in jobs.ledger_of(spark, state).newest().collect()}
+    assert rows["a.log"] == ("/again/a", 21, False, None) and rows["b.log"][1:] == (1, False, None)
+    assert jobs.retire(spark, state, day(26)).count() == 1  # the retention of the restored one starts again

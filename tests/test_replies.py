@@ -120,3 +120,21 @@ def test_file_overview_counts_lines_once_and_resources_closely(spark):
     assert (got["f"]["lines"], got["f"]["error_lines"], got["f"]["critical_lines"]) == (301, 300, 1)
     assert abs(got["f"]["resources"] - 600) < 60
     assert (got["g"]["lines"], got["g"]["resources"]) == (1, 0)
+
+
+def test_reports_tell_when_how_deep_and_at_what_cost(spark):
+    replies = spark.createDataFrame([(1, '{"root_cause_chain":["arn:aws:s3:::b/x/"],"confidence":"HIGH"}', 4), (2, "no json", None)], "response_id bigint, response string, rounds int")
+    reports = S.report_fields(replies, F.col("rounds"))
+    assert {r["response_id"]: r["iterations_used"] for r in reports.collect()} == {1: 4, 2: 0}
+    nodes = spark.createDataFrame([], "arn string, name string, resource_type string")
+    usage = spark.createDataFrame([(3, 1.5, 60)], "sessions bigint, credits double, seconds bigint")
+    lines = S.report_lines(reports, nodes, generated_at=F.expr("timestamp_ntz '2024-01-02 03:04:05'"), usage=usage)
+    text = [r["line"] for r in lines.where("response_id = 1").orderBy("section_no", "item_no", "line_no").collect()]
+    assert text[:5] == ["# Incident Report", "", "Generated: 2024-01-02 03:04:05 UTC", "Confidence: 0.85", "Investigation depth: 4 iterations"]
+    assert text[-6:] == ["| Metric | Value |", "|--------|-------|", "| Sessions | 3 |", "| Credits | 1.5 |", "| Time | 60s |", ""]
+    assert S.report_lines(reports, nodes).where("line like 'Generated%' or section_no = 7").count() == 0
+    none = S.report_lines(reports, nodes, usage=usage.limit(0)).where("line = '| Sessions | 0 |'")
+    assert none.count() == 2
+    findings = spark.createDataFrame([(1, "m1", ["arn:aws:s3:::b/y/", "arn:aws:s3:::b"]), (2, "m2", ["other"]), (3, "m3", None)], "seq bigint, message string, resource_arns array<string>")
+    chains = spark.createDataFrame([(1, ["arn:aws:s3:::b", "arn:aws:s3:::b"]), (2, [])], "response_id bigint, root_cause_chain array<string>")
+    assert [tuple(r) for r in S.supporting_findings(chains, findings).collect()] == [(1, 1, "m1")]
