@@ -52,13 +52,15 @@ class Rule(NamedTuple):
 OPERATOR, STAGE = Rule(4, 85, 100), Rule(5, 80, 100)
 #: Fewest and most groups of a document; points per leaf.
 DIMS, MOST_DIMS, LEAF = 16, 1 << 14, 16
+#: Groups of a coarse point, by which pairs are bounded first: most pairs of a tile that do not link share less than that allows.
+COARSE = 64
 #: Documents and counts per block of a large tile.
 BLOCK, CELLS = 4096, 1 << 22
 #: Sizes of a class span this factor.
 SPREAD = 1.6
 #: Bands sent on at once by a task; members of a tile in one row (a larger tile has several); tiles whose marks a task holds.
 SENT, CHUNK, MARKS = 1 << 18, 1 << 12, 1 << 18
-SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint, counts array<int>"
+SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint, counts array<int>, coarse array<int>"
 BANDS = "key bigint, sid bigint"
 TILES = "key bigint, members array<bigint>, size bigint, low bigint, high bigint, s1 bigint, s2 bigint"
 
@@ -128,22 +130,27 @@ def fold(counts: np.ndarray, size: int) -> np.ndarray:
     return counts.reshape(-1, size).sum(axis=0) if len(counts) > size else counts
 
 
+def int_lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+
 def list_sets(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
     """Size, fingerprints, name and group counts of the set of each document."""
     for batch in batches:
-        names, counts = [], []
+        names, counts, coarse = [], [], []
         for s in shingle_sets(batch.column(1), rule.width):
             names.append(name_of(s))
             size = dims(len(s))
             counts.append(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32))
+            coarse.append(fold(counts[-1], COARSE).astype(np.int32))
         if not names:
             continue
         n, hi, lo, sid = (list(c) for c in zip(*names))
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sid, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(counts))),
-        ], names=["doc_id", "n", "hi", "lo", "sid", "counts"])
+            int_lists(counts), int_lists(coarse),
+        ], names=["doc_id", "n", "hi", "lo", "sid", "counts", "coarse"])
 
 
 def list_bands(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Iterator[pa.RecordBatch]:
@@ -346,17 +353,18 @@ def join_tile(left: pa.Table, rule: Rule = OPERATOR) -> pa.Table:
 
 
 def verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, rule: Rule = OPERATOR) -> DataFrame:
-    """Of pairs ``a``, ``b`` those that link: bounded by their counts, then by the sets of their texts.
+    """Of pairs ``a``, ``b`` those that link: bounded by their coarse counts, by all counts, then by the sets of their texts.
 
-    Texts meet the pairs that the bound leaves, and not the sets, which are larger and do not compress.
+    Each bound leaves fewer pairs to meet the larger rows of the next. Texts meet the pairs that the bound leaves, and not the sets, which are larger and do not compress.
     """
     spark = pairs.sparkSession
-    one = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    two = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+    left = pairs
     with scratch_scope(spark):
-        counted = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb")
-        left = counted.mapInArrow(lambda batches: bound_pairs(batches, rule), "a bigint, b bigint").distinct()
-        left = written(left, "bounded")
+        for name in ("coarse", "counts"):
+            one = points.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col(name).alias("ca"))
+            two = points.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col(name).alias("cb"))
+            counted = left.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ca", "cb")
+            left = written(counted.mapInArrow(lambda batches: bound_pairs(batches, rule), "a bigint, b bigint").distinct(), "bounded")
         free_shuffles(spark)
         both = left.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
         links = both.mapInArrow(lambda batches: check_pairs(batches, rule), "a bigint, b bigint").distinct()
@@ -383,7 +391,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     """Per document ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that its links reach."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sets = written(texts.mapInArrow(lambda batches: list_sets(batches, rule), SETS), "sets")
-    narrow = sets.drop("counts")
+    narrow = sets.drop("counts", "coarse")
     filled = narrow.filter("n > 0 and doc_id is not null")
     classes = written(filled.groupBy("hi", "lo", "n", "sid").agg(F.min("doc_id").alias("rep")), "classes")
     member = written(filled.join(classes.drop("sid"), ["hi", "lo", "n"]).select("doc_id", "rep").distinct(), "member")
@@ -391,7 +399,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 
     reps = tiles.select("rep").distinct()
     points = sets.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "n", "hi", "lo"])
-    points = written(points.select(F.col("doc_id").alias("rep"), "n", "counts"), "points")
+    points = written(points.select(F.col("doc_id").alias("rep"), "n", "counts", "coarse"), "points")
     stars = tiles.filter("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     links = verified(stars, points, texts, rule)
     connected = written(components(links), "connected")
@@ -408,7 +416,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
     placed = placed.select("key", "rep", "star", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "key", "rep", "star", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    held = placed.join(points, "rep")
+    held = placed.join(points.drop("coarse"), "rep")
     found = held.groupBy("key", "i", "j").applyInArrow(lambda tile: join_tile(tile, rule), "a bigint, b bigint")
     more = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = links.union(verified(more, points, texts, rule))
