@@ -9,7 +9,10 @@ from lograph.plans.catalog import QUERIES
 
 # These run jobs of their own while they build the result.
 EAGER = {n for n in QUERIES if n.startswith("stream_")} | {"topology_job", "snapshot_round_trip", "root_cause_trace", "long_trace", "affected_resources",
-    "topology_replay", "ingest_outcome", "edit_job", "stored_history", "stored_dot", "stored_graphml"}
+    "topology_replay", "ingest_outcome", "edit_job", "stored_history", "stored_dot", "stored_graphml", "ledger_table", "ledger_restore_job",
+    "search_files", "search_best", "search_phrase", "resource_map", "report_files", "artifacts"}
+# The one reader that works in Python.
+ARCHIVES = {"docx_lines"}
 
 
 def plan(spark, name):
@@ -21,7 +24,7 @@ def explained(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER - ARCHIVES))
 def test_no_cross_join_and_no_python(spark, name):
     text = plan(spark, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
