@@ -1,7 +1,7 @@
 """Similarity self-join of documents on sets of word shingles, by count vectors in R-trees.
 
 A shingle hashes into one of some groups, so a document is a point of group counts, and the overlap of two documents is
-at most the sum over groups of the smaller count. Groups grow with the document (two to four shingles each, see :func:`dims`), as counts
+at most the sum over groups of the smaller count. Groups grow with the document (at most four shingles each, see :func:`dims`), as counts
 of many shingles differ too little to bound anything; a point of more groups folds into one of fewer by adding up.
 
 1. Tiles. Documents of similar size divide the hash space into bands, one more than two linked
@@ -51,7 +51,9 @@ class Rule(NamedTuple):
 #: The contract of the operator, and what other uses take.
 OPERATOR, STAGE = Rule(4, 85, 100), Rule(5, 80, 100)
 #: Fewest and most groups of a document; points per leaf.
-DIMS, MOST_DIMS, LEAF = 16, 1 << 14, 16
+DIMS, MOST_DIMS, LEAF = 256, 1 << 14, 16
+#: The most that a group counts; a document with more in one has more groups.
+BYTE = 127
 #: Groups of a coarse point, by which pairs are bounded first: most pairs of a tile that do not link share less than that allows.
 COARSE = 64
 #: Documents and counts per block of a large tile.
@@ -60,7 +62,7 @@ BLOCK, CELLS = 4096, 1 << 22
 SPREAD = 1.6
 #: Bands sent on at once by a task; members of a tile in one row (a larger tile has several); tiles whose marks a task holds.
 SENT, CHUNK, MARKS = 1 << 18, 1 << 12, 1 << 18
-SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint, counts array<int>, coarse array<int>"
+SETS = "doc_id bigint, n int, hi bigint, lo bigint, sid bigint, counts array<tinyint>, coarse array<int>"
 BANDS = "key bigint, sid bigint"
 TILES = "key bigint, members array<bigint>, size bigint, low bigint, high bigint, s1 bigint, s2 bigint"
 
@@ -127,7 +129,17 @@ def dims(n: int) -> int:
 
 def fold(counts: np.ndarray, size: int) -> np.ndarray:
     """Counts by fewer groups."""
-    return counts.reshape(-1, size).sum(axis=0) if len(counts) > size else counts
+    return counts.reshape(-1, size).sum(axis=0, dtype=np.int64) if len(counts) > size else counts
+
+
+def point_of(s: np.ndarray) -> np.ndarray:
+    """The group counts of a set, in bytes, as they are sent to every tile of the set."""
+    size = dims(len(s))
+    while True:
+        found = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        if found.max(initial=0) <= BYTE:
+            return found.astype(np.int8)
+        size *= 2
 
 
 def int_lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -141,9 +153,8 @@ def list_sets(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Itera
         names, counts, coarse = [], [], []
         for s in shingle_sets(batch.column(1), rule.width):
             names.append(name_of(s))
-            size = dims(len(s))
-            counts.append(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.int32))
-            coarse.append(fold(counts[-1], COARSE).astype(np.int32))
+            counts.append(point_of(s))
+            coarse.append(fold(counts[-1].astype(np.int32), COARSE).astype(np.int32))
         if not names:
             continue
         n, hi, lo, sid = (list(c) for c in zip(*names))
@@ -188,7 +199,7 @@ def bound_pairs(batches: Iterator[pa.RecordBatch], rule: Rule = OPERATOR) -> Ite
         for row in range(batch.num_rows):
             one, two = (values[offsets[row]:offsets[row + 1]] for values, offsets in zip(flat, ends))
             size = min(len(one), len(two))
-            bounds[row] = np.minimum(fold(one, size), fold(two, size)).sum()
+            bounds[row] = np.minimum(fold(one, size), fold(two, size)).sum(dtype=np.int64)
         yield batch.select([0, 1]).filter(pa.array(may_link(bounds, sizes, rule)))
 
 
@@ -339,7 +350,7 @@ def join_tile(left: pa.Table, rule: Rule = OPERATOR) -> pa.Table:
     lists = left.column("counts").combine_chunks()
     values, ends = np.asarray(lists.values), lists.offsets.to_numpy()
     size = int(np.diff(ends).min()) if len(reps) else DIMS
-    counts = np.stack([fold(values[i:j], size) for i, j in zip(ends[:-1], ends[1:])]) if len(reps) else np.empty((0, size), dtype=np.int64)
+    counts = np.stack([fold(values[i:j].astype(np.int32), size) for i, j in zip(ends[:-1], ends[1:])]) if len(reps) else np.empty((0, size), dtype=np.int64)
     first, second = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     out_a, out_b = [], []
     if len(first):
