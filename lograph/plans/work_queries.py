@@ -100,9 +100,12 @@ def text_chunks(spark, sf_dir):
 
 
 def human_sizes(spark, sf_dir):
+    # Larger keys take the product beyond 64 bits: size is then null, and shown comes from the exact product.
+    exact = F.col("l_orderkey").cast("decimal(20,0)") * F.col("l_orderkey").cast("decimal(20,0)") * F.col("l_partkey").cast("decimal(20,0)")
     sizes = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_partkey")).alias("size"))
-    return sizes.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "size", T.human_size(F.col("size")).alias("shown"))
+        "l_orderkey", "l_linenumber", F.try_multiply(F.try_multiply(F.col("l_orderkey"), F.col("l_orderkey")), F.col("l_partkey")).alias("size"),
+        exact.cast("double").alias("exact"))
+    return sizes.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("line"), "size", T.human_size(F.col("exact")).alias("shown"))
 
 
 def reference_ids(spark, sf_dir):

@@ -147,3 +147,13 @@ def test_printable_runs(spark):
     blob = b"\x00\x01abcdefgh\x02short\x03tab\tand\nline\xff\xc3\xa4eight888"
     frame = spark.createDataFrame([(bytearray(blob),)], "b binary")
     assert frame.select(T.printable_runs(F.col("b")).alias("v")).first()["v"] == ["abcdefgh", "tab\tand\nline", "eight888"]
+
+
+def test_human_sizes_beyond_64_bits(spark, tmp_path):
+    from lograph.plans.work_queries import human_sizes
+
+    rows = [(9_000_000, 1, 1_200_000), (3, 2, 5)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["line"]: (r["size"], r["shown"]) for r in human_sizes(spark, str(tmp_path)).collect()}
+    assert got[2] == (45, "45.0B")
+    assert got[1] == (None, "%.1fTB" % (9_000_000 * 9_000_000 * 1_200_000 / 1024**4))
