@@ -62,15 +62,18 @@ class NodeEdits(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows))[EVENT_COLUMNS].sort_values("seq")
         present, incarnation, *node = self.node.get() if self.node.exists() else (False, -1, *[None] * 8)
+        # The map of edges is read once and written back once: a call on the state for each edit costs a round trip to the JVM.
+        held = {tuple(edge): tuple(seq) for edge, seq in self.edges.iterator()}
+        before = dict(held)
         changed, out = False, []
         for row in events.itertuples(index=False):
             action = row.action
             if action in EDGE_ACTIONS:
                 edge = (row.source_arn, row.target_arn, row.relationship)
                 if action == "add_edge":
-                    self.edges.updateValue(edge, (int(row.seq),))
-                elif self.edges.containsKey(edge):
-                    self.edges.removeKey(edge)
+                    held[edge] = (int(row.seq),)
+                else:
+                    held.pop(edge, None)
                 if row.source_arn == key[0]:
                     out.append(self.event(edge, row.seq, action == "add_edge"))
                 continue
@@ -82,17 +85,22 @@ class NodeEdits(StatefulProcessor):
                 node = [_plain(row.resource_type), _plain(row.name), _plain(row.metadata), UNKNOWN, None, None, 0, None]
             elif action == "remove_node":
                 present = False
-                for edge in self.edges.keys():
+                for edge in held:
                     out.append(self.event(edge, row.seq, False))
                     if len(out) >= CUTS:
                         yield self.frame(out)
                         out = []
-                self.edges.clear()
+                held.clear()
             elif action == "update_health":
                 node[3] = _plain(row.status)
                 node[4] = node[4] if _plain(row.last_error) is None else row.last_error
             else:
                 node[5] = _plain(row.text)
+        for edge in before.keys() - held.keys():
+            self.edges.removeKey(edge)
+        for edge, seq in held.items():
+            if before.get(edge) != seq:
+                self.edges.updateValue(edge, seq)
         if changed:
             self.node.update((present, incarnation, *node))
             out.append((key[0], present, incarnation, *node, None, None, None, None, None))

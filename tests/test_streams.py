@@ -204,3 +204,49 @@ def test_edits_of_a_stream_equal_the_batch_also_after_a_restart(spark, feed):
     want = batch_edits.edited_edges(edges, edits, removals)
     got = E.streamed_edges(spark, feed.out).select(want.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 3
+
+
+class _CountedMap:
+    """A map state in memory that counts the calls made on it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "iterator":
+                return iter(list(self.held.items()))
+            if name == "keys":
+                return iter(list(self.held))
+            if name == "containsKey":
+                return args[0] in self.held
+            if name == "updateValue":
+                self.held[args[0]] = args[1]
+            elif name == "removeKey":
+                self.held.pop(args[0], None)
+            elif name == "clear":
+                self.held.clear()
+            return None
+        return call
+
+
+class _Node:
+    def exists(self):
+        return False
+
+    def update(self, value):
+        pass
+
+
+def test_node_edits_call_the_edge_state_a_bounded_number_of_times():
+    import pandas as pd
+
+    processor, edges = E.NodeEdits(), _CountedMap()
+    processor.edges, processor.node = edges, _Node()
+    rows = [{c: None for c in E.EVENT_COLUMNS} | {"arn": "node-1", "seq": i, "action": "add_edge" if i % 3 else "remove_edge",
+            "source_arn": "node-1", "target_arn": f"node-{i % 5}", "relationship": "depends_on"} for i in range(3000)]
+    list(processor.handleInputRows(("node-1",), iter([pd.DataFrame(rows)]), None))
+    want = {("node-1", f"node-{t}", "depends_on") for t in range(5)} - {("node-1", f"node-{(2997 + k) % 5}", "depends_on") for k in range(3) if (2997 + k) % 3 == 0}
+    assert set(edges.held) == want
+    assert edges.calls <= 20
