@@ -48,8 +48,8 @@ BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}+"
 DISCLOSED, CHANCE, FALSE = 0.7, 0.01, 0.05
-#: One in so many texts without entities may become a decoy; steps of surprise at which false discoveries are counted, per doubling.
-DECOYS, STEPS = 8, 64
+#: Steps of surprise at which false discoveries are counted, per doubling.
+STEPS = 64
 PIECE = 4096
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,value:string>"
 
@@ -103,12 +103,12 @@ def terms(text: Column) -> Column:
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns, and ``spans`` (the entities by start and kind), ``held`` (the text, if it has any), ``free`` (the text, if it may be a decoy) and ``digest``."""
+    """All columns, and ``spans`` (the entities by start and kind), ``held`` (the text, if it has any), ``free`` (the text, if it has none) and ``digest``."""
     whole = F.coalesce(F.col(text), F.lit(""))
     found = docs.withColumn("__text", whole).withColumn(
         "spans", F.array_sort(F.concat(*[spans_of(kind, F.col("__text")) for kind in PATTERNS])),
     ).withColumn("digest", F.sha2("__text", 256))
-    some = (F.size("spans") == 0) & (F.pmod(F.xxhash64("digest"), F.lit(DECOYS)) == 0) & (F.col("__text") != "")
+    some = (F.size("spans") == 0) & (F.col("__text") != "")
     return found.withColumn("held", F.when(F.size("spans") > 0, F.col("__text"))).withColumn("free", F.when(some, F.col("__text"))).drop("__text")
 
 

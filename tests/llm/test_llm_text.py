@@ -277,3 +277,10 @@ def test_words_of_single_texts_tell_nothing_by_themselves(spark):
     assert {r["doc_id"]: r["n"] for r in rows} == {i: int(i >= 500) for i in range(505)}
     all_hold = pii.marked(docs(spark, [f"{own(i)} u{i}@mail.org" for i in range(30)]).select("doc_id", "text"))
     assert all_hold.count() == 30  # no text is left for a decoy
+
+
+def test_every_text_without_entities_may_be_a_decoy(spark):
+    rows = [(i, f"plain words of text number {i}") for i in range(32)] + [(99, "mail me at a.b@example.org"), (100, None)]
+    found = {r["doc_id"]: r["free"] for r in pii.entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == f"plain words of text number {i}" for i in range(32))
+    assert found[99] is None and found[100] is None
