@@ -97,8 +97,10 @@ def search_files(spark: SparkSession, root: str, query: str, top: int | None = N
     names = files.select("batch", "file_no", "file_name")
     if phrase:
         places = read_index(spark, root, "places", PLACES).where(held).select("batch", "term", "file_no", F.inline("places"))
-        order = spark.createDataFrame([(t, i) for i, t in enumerate(asked)], "term string, nth int")
-        starts = places.join(order, "term").groupBy("batch", "file_no", "line_no", (F.col("at") - F.col("nth")).alias("start")).agg(F.count(F.lit(1)).alias("there"))
+        # Where each term stands in the query, looked up row by row: a join on the term would put all places of a common term into one task.
+        order = F.create_map(*[x for t in terms for x in (F.lit(t), F.array(*[F.lit(i) for i, a in enumerate(asked) if a == t]))])
+        starts = places.select("batch", "file_no", "line_no", "at", F.explode(order[F.col("term")]).alias("nth")).groupBy(
+            "batch", "file_no", "line_no", (F.col("at") - F.col("nth")).alias("start")).agg(F.count(F.lit(1)).alias("there"))
         hits = starts.where(F.col("there") == len(asked)).groupBy("batch", "file_no").agg(F.count(F.lit(1)).alias("hits"))
         ranked = _scored(postings, weights, average).join(hits, ["batch", "file_no"]).join(names, ["batch", "file_no"]).select("file_name", "score", "hits")
     else:

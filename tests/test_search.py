@@ -87,3 +87,14 @@ def test_phrases_are_found_by_their_places(spark, index):
     for query in ("disk full", "w1 w2", "timeout timeout", "disk full disk"):
         got = {r["file_name"]: r["hits"] for r in S.search_files(spark, root, query, phrase=True).collect()}
         assert got == plain_hits(rows, query)
+
+
+
+def test_phrase_of_a_common_word_is_not_counted_in_one_task(spark, tmp_path):
+    """The places of a word in every line are not gathered in one task by that word, and a word twice in the query counts twice."""
+    rows = [(f"f{i % 50}.log", i, f"from killed from n{i}" if i % 3 else f"from n{i}") for i in range(6000)]
+    S.index_batch(spark.createDataFrame(rows, LINES), str(tmp_path), "b")
+    found = S.search_files(spark, str(tmp_path), "from killed from", phrase=True).select("file_name", "hits")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "ExistingRDD" not in plan
+    assert {r["file_name"]: r["hits"] for r in found.collect()} == plain_hits(rows, "from killed from")
