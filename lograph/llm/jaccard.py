@@ -84,12 +84,12 @@ def differing(total: int, rule: Rule = OPERATOR) -> int:
 
 
 @lru_cache(maxsize=256)
-def class_bands(kind: int, rule: Rule = OPERATOR) -> tuple[int, np.ndarray]:
-    """Empty bands that may be left out, and the upper ends (inclusive) of the bands of a class."""
+def class_bands(kind: int, rule: Rule = OPERATOR) -> np.ndarray:
+    """The upper ends (inclusive) of the bands of a class: one more than two linked documents of it can differ in, and some to spare for empty ones."""
     most = differing(2 * (EDGES[kind + 1] - 1), rule)
     spare = max(2, most // 16)
     n = most + 1 + spare
-    return spare, np.array([((k + 1) << 64) // n - 1 for k in range(n)], dtype=np.uint64)
+    return np.array([((k + 1) << 64) // n - 1 for k in range(n)], dtype=np.uint64)
 
 
 def band_keys(shingles: np.ndarray, rule: Rule = OPERATOR) -> np.ndarray:
@@ -97,21 +97,24 @@ def band_keys(shingles: np.ndarray, rule: Rule = OPERATOR) -> np.ndarray:
     n = len(shingles)
     kind = bisect.bisect_right(EDGES, n) - 1
     kinds = [kind]
-    if bisect.bisect_right(EDGES, n * rule.part // rule.share) - 1 > kind:
+    largest = n * rule.part // rule.share
+    if bisect.bisect_right(EDGES, largest) - 1 > kind:
         kinds.append(kind + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(mix(shingles * ODD[3] + ODD[4]), out=sums[1:])
     found = []
     for kind in kinds:
-        spare, ends = class_bands(kind, rule)
+        ends = class_bands(kind, rule)
         cut = np.searchsorted(shingles, ends, side="right")
         before = np.concatenate([[0], cut[:-1]])
         own = sums[cut] - sums[before]
         place = np.arange(len(ends), dtype=np.uint64) * ODD[1] + np.full(1, kind, dtype=np.uint64) * ODD[2]
         keys = mix(mix(own + (cut - before).astype(np.uint64)) + place)
         full = cut > before
-        # Of more than ``spare`` equal bands one is not empty, unless too many are empty.
-        found.append(keys[full] if len(ends) - full.sum() <= spare else keys)
+        # Of more bands that are not empty than a partner of this class can differ in, one is equal in both. Empty bands are equal in
+        # unrelated documents: only sets with too few others need them, and of two such sets both send them.
+        apart = differing(n + min(largest, EDGES[kind + 1] - 1), rule)
+        found.append(keys[full] if full.sum() > apart else keys)
     return np.concatenate(found)
 
 

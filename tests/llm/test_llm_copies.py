@@ -77,6 +77,21 @@ def test_near_copies_match_brute_force(spark, monkeypatch, block):
     assert len(set(want.values())) < len(want) - 20
 
 
+@pytest.mark.parametrize("rule", [jaccard.OPERATOR, jaccard.STAGE])
+def test_unrelated_sets_share_no_band_and_linked_ones_share_one(rule):
+    rng = np.random.default_rng(11)
+    some = lambda n: np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    for n in (280, 460, 720, 1160, 3000):
+        keys = np.concatenate([jaccard.band_keys(some(n), rule) for _ in range(100)])
+        assert len(np.unique(keys)) == len(keys)
+    for n in range(1, 900, 3):
+        one = some(n)
+        more = some(rng.integers(0, n * (rule.part - rule.share) // rule.share + 1))
+        gone = n - -(-rule.share * (n + len(more)) // rule.part)  # the most that leaves a link
+        two = np.sort(np.concatenate([rng.permutation(one)[gone:], more]))
+        assert gone >= 0 and len(np.intersect1d(jaccard.band_keys(one, rule), jaccard.band_keys(two, rule)))
+
+
 def test_stage_takes_five_words_and_four_fifths(spark):
     rng, rows = random.Random(8), []
     for k in range(12):
