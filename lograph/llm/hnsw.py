@@ -1,7 +1,8 @@
 """Near-duplicate vectors through hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one class, represented by its smallest id. Classes are dealt to shards by a hash; a task builds
-the graph of a shard and writes it to the shared folder. Then blocks of queries meet every shard: each class queries every graph.
+Equal vectors are one class, represented by its smallest id; a digest names what is equal. Classes are dealt to shards by a hash; a task builds
+the graph of a shard and writes it as files to the shared folder. Then blocks of queries meet every shard: each class queries every graph. Tasks
+read the graph and the block from those files, so no vector is shuffled to the shards and the JVM holds no graph.
 A query whose whole beam lies above the threshold is repeated with a wider one (and answered by comparing
 all vectors of the shard once the beam would hold a good part of it). Each task audits itself: for the queries whose id is
 divisible by ``AUDIT`` it compares all vectors of the shard, and while the graph found less than ``RECALL`` of their links, the beam
@@ -18,20 +19,27 @@ empty result. Extra columns do not matter.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from lograph.llm.components import components
-from lograph.session import written
+from lograph.llm.warc import as_uri
+from lograph.session import free_shuffles, scratch_path, written
 
 THRESHOLD = 0.9
 LEAST_SHARDS, SHARD_NUMBERS = 8, 4 << 20
 #: Queries per block. A task holds one block and one shard.
 BLOCK = 16_384
+#: The most tasks that the queries are dealt to.
+TASKS = 1 << 14
 #: Links per node and level; twice as many on the lowest level.
 LINKS = 12
 BUILD_BEAM, BEAM = 48, 48
@@ -199,103 +207,151 @@ class Graph:
         return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.empty(0, int), np.empty(0, int))
 
 
-def unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per row its id, whether it can link, and the vector of length 1 as bytes of doubles."""
+def unit_of(given: np.ndarray) -> np.ndarray | None:
+    """The vector of length 1, in doubles; none if it cannot link."""
+    vector = given.astype(np.float64)
+    if not len(vector) or not np.isfinite(vector).all() or not (size := np.abs(vector).max()) > 0:
+        return None
+    vector /= size  # neither very large nor very small numbers spoil the norm
+    return vector / np.sqrt((vector * vector).sum())
+
+
+def unit_rows(batches: Iterator[pa.RecordBatch], kind: type, raw: bool) -> Iterator[pa.RecordBatch]:
+    """Per row its id, its length and the digest of its vector of length 1 (null if it cannot link); with ``raw`` also the numbers as given."""
     for batch in batches:
-        units: list[bytes | None] = []
-        for value in batch.column(1):
-            given = value.as_py()
-            unit = None
-            if given and None not in given:
-                vector = np.array(given, dtype=np.float64)
-                size = np.abs(vector).max()
-                if np.isfinite(vector).all() and size > 0:
-                    vector /= size  # neither very large nor very small numbers spoil the norm
-                    unit = (vector / np.sqrt((vector * vector).sum())).tobytes()
-            units.append(unit)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary())], names=["vec_id", "unit"])
-
-
-def matrix(units: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(units.to_pylist()), dtype=np.float64).reshape(len(units), -1)
-
-
-def build_shard(key: tuple, rows: pa.Table) -> pa.Table:
-    """One row: the graph of a shard with its ids and vectors."""
-    rows = rows.sort_by("rep")
-    vectors, reps = matrix(rows.column("unit")), rows.column("rep").to_numpy()
-    marks = rows.column("mark").to_numpy().view(np.uint64)
-    graph, order = Graph.build(vectors, marks)
-    return pa.table({
-        "dim": [key[0].as_py()], "shard": [key[1].as_py()], "reps": [reps[order].tobytes()], "vectors": [vectors[order].tobytes()],
-        "levels": [[links.tobytes() for links in graph.levels]], "widths": pa.array([[links.shape[1] for links in graph.levels]], pa.list_(pa.int32())),
-    }, schema=SHARD)
-
-
-SHARD = pa.schema([
-    ("dim", pa.int32()), ("shard", pa.int32()), ("reps", pa.binary()), ("vectors", pa.binary()), ("levels", pa.list_(pa.binary())), ("widths", pa.list_(pa.int32())),
-])
-SHARD_SQL = "dim int, shard int, reps binary, vectors binary, levels array<binary>, widths array<int>"
+        lists = batch.column(1)
+        flat, ends = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()  # a null is no number
+        dims, digests, given = [], [], []
+        for begin, end, there in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist()):
+            vector = flat[begin:end] if there else flat[:0]
+            unit = unit_of(vector)
+            dims.append(len(vector))
+            digests.append(None if unit is None else hashlib.sha256(unit.tobytes()).digest())
+            given.append(None if unit is None else vector.astype(kind).tobytes())
+        columns = [batch.column(0), pa.array(dims, pa.int32()), pa.array(digests, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(given, pa.binary())] if raw else columns, names=["vec_id", "dim", "digest", "raw"][:4 if raw else 3])
+
+
+INDEX_SQL = "dim int, name string, n int"
+INDEX = pa.schema([("dim", pa.int32()), ("name", pa.string()), ("n", pa.int32())])
+LEVELS = pa.schema([("level", pa.large_binary()), ("width", pa.int32())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("beam", pa.int32())])
 
 
-def query_shard(key: tuple, queries: pa.Table, shard: pa.Table) -> pa.Table:
+def write_table(system: fs.FileSystem, path: str, batches: list[pa.RecordBatch]) -> None:
+    with system.open_output_stream(path, compression=None) as out, pa.ipc.new_file(out, batches[0].schema) as file:
+        for batch in batches:
+            file.write_batch(batch)
+
+
+def build_shard(key: tuple, rows: pa.Table, folder: str, kind: type) -> pa.Table:
+    """Writes the graph of a shard, its vectors in batches of ``BLOCK``; one row: the name of its files."""
+    rows = rows.sort_by([("rep", "ascending"), ("digest", "ascending")])
+    units = np.stack([unit_of(np.frombuffer(raw, dtype=kind)) for raw in rows.column("raw").to_pylist()])
+    reps, marks = rows.column("rep").to_numpy(), rows.column("mark").to_numpy().view(np.uint64)
+    graph, order = Graph.build(units, marks)
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    name = uuid.uuid4().hex  # only the files of tasks that end well are named in the index
+    nodes = pa.schema([("rep", pa.int64()), ("unit", pa.binary(8 * units.shape[1]))])
+    parts = [order[k:k + BLOCK] for k in range(0, len(order), BLOCK)]
+    write_table(system, f"{path}/{name}.nodes", [
+        pa.RecordBatch.from_arrays([pa.array(reps[part]), pa.FixedSizeBinaryArray.from_buffers(nodes.field(1).type, len(part), [None, pa.py_buffer(units[part].tobytes())])], schema=nodes)
+        for part in parts
+    ])
+    write_table(system, f"{path}/{name}.levels", [
+        pa.RecordBatch.from_arrays([pa.array([links.tobytes()], pa.large_binary()), pa.array([links.shape[1]], pa.int32())], schema=LEVELS) for links in graph.levels
+    ])
+    return pa.table([pa.array([units.shape[1]], pa.int32()), pa.array([name]), pa.array([len(order)], pa.int32())], schema=INDEX)
+
+
+def read_nodes(system: fs.FileSystem, path: str, blocks: range | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of some blocks of a shard, or of all."""
+    reps, units = [], []
+    with system.open_input_file(f"{path}.nodes") as file, pa.ipc.open_file(file) as nodes:
+        for k in blocks or range(nodes.num_record_batches):
+            batch = nodes.get_batch(k)
+            reps.append(batch.column(0).to_numpy())
+            units.append(np.frombuffer(batch.column(1).buffers()[1], dtype=np.float64, count=batch.num_rows * batch.schema.field(1).type.byte_width // 8).reshape(batch.num_rows, -1))
+    return (np.concatenate(reps), np.concatenate(units)) if len(reps) > 1 else (reps[0], units[0])
+
+
+def read_graph(system: fs.FileSystem, path: str) -> tuple[np.ndarray, np.ndarray, Graph]:
+    """Ids and vectors of a shard, and its graph."""
+    reps, exact = read_nodes(system, path)
+    levels = []
+    with system.open_input_file(f"{path}.levels") as file, pa.ipc.open_file(file) as table:
+        for k in range(table.num_record_batches):
+            batch = table.get_batch(k)
+            levels.append(np.frombuffer(batch.column(0)[0].as_buffer(), dtype=np.int32).reshape(-1, batch.column(1)[0].as_py()))
+    return reps, exact, Graph(exact.astype(np.float32), levels)
+
+
+def query_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Links between blocks of queries and shards (``name``, ``other``, ``block``: a shard and a block of another or the same)."""
+    system, path = fs.FileSystem.from_uri(folder)
+    held, shard = None, None
+    for batch in batches:
+        for name, other, block in zip(*(column.to_pylist() for column in batch.columns)):
+            if name != held:
+                shard = None  # two shards are never held at once
+                held, shard = name, read_graph(system, f"{path}/{name}")
+            yield from query_shard(*read_nodes(system, f"{path}/{other}", range(block, block + 1)), *shard)
+
+
+def query_shard(ids: np.ndarray, wanted: np.ndarray, reps: np.ndarray, exact: np.ndarray, graph: Graph) -> Iterator[pa.RecordBatch]:
     """Links between a block of queries and a shard, each as (smaller id, larger id)."""
-    if not queries.num_rows or not shard.num_rows:
-        return PAIRS.empty_table()
-    row = shard.slice(0, 1).to_pylist()[0]
-    reps = np.frombuffer(row["reps"], dtype=np.int64)
-    exact = np.frombuffer(row["vectors"], dtype=np.float64).reshape(len(reps), -1)
-    graph = Graph(exact.astype(np.float32), [np.frombuffer(x, dtype=np.int32).reshape(-1, w) for x, w in zip(row["levels"], row["widths"])])
-    ids, wanted = queries.column("rep").to_numpy(), matrix(queries.column("unit"))
     single = wanted.astype(np.float32)
     low = THRESHOLD - 1e-4  # single precision finds, double precision decides
     entries = np.concatenate([graph.descend(single[k:k + TOGETHER], graph.levels[:-1]) for k in range(0, len(single), TOGETHER)])
     audit = np.flatnonzero(ids % AUDIT == 0)
-    truth = set()
+    truth = [np.empty(0, dtype=np.int64)]
     for k in range(0, len(audit), TOGETHER):
         r, c = np.nonzero(single[audit[k:k + TOGETHER]] @ graph.vectors.T >= low)
-        truth.update(zip(audit[k:k + TOGETHER][r].tolist(), c.tolist()))
+        truth.append(audit[k:k + TOGETHER][r] * len(reps) + c)
+    truth = np.concatenate(truth)
     beam = BEAM
     while True:
         at, node = graph.near(single, entries, beam, low)
         checked = np.isin(at, audit)
-        met = len(truth.intersection(zip(at[checked].tolist(), node[checked].tolist())))
+        met = np.isin(truth, at[checked] * len(reps) + node[checked]).sum()
         if met >= RECALL * len(truth) or 4 * beam >= len(reps):
             break
         beam *= 2
-    out_a, out_b = [], []
     for k in range(0, len(at), 1 << 16):
         i, j = at[k:k + (1 << 16)], node[k:k + (1 << 16)]
         good = (np.einsum("nd,nd->n", wanted[i], exact[j]) >= THRESHOLD) & (ids[i] != reps[j])
-        out_a.append(np.minimum(ids[i[good]], reps[j[good]]))
-        out_b.append(np.maximum(ids[i[good]], reps[j[good]]))
-    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-    return pa.table([pa.array(a), pa.array(b), pa.array(np.full(len(a), beam, dtype=np.int32))], schema=PAIRS)
+        a, b = ids[i[good]], reps[j[good]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), beam, dtype=np.int32))], schema=PAIRS)
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """Per row ``vec_id``, ``n_links``, ``component_id`` and ``kept``."""
+    spark = vectors.sparkSession
     given = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).alias("embedding"))
-    rows = written(given.mapInArrow(unit_vectors, "vec_id bigint, unit binary"), "units")
-    classes = rows.filter("vec_id is not null and unit is not null").groupBy("unit").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-    ).withColumn("dim", (F.length("unit") / 8).cast("int"))
+    kind = np.float32 if isinstance(given.schema["embedding"].dataType.elementType, FloatType) else np.float64
+    folder = as_uri(scratch_path(spark, "shards"))
+    rows = written(given.mapInArrow(lambda batches: unit_rows(batches, kind, False), "vec_id bigint, dim int, digest binary"), "units")
     # Ids that repeat with different vectors stay classes of their own.
-    classes = written(classes.groupBy("rep", "unit").agg(F.first("copies").alias("copies"), F.first("dim").alias("dim")), "classes")
+    classes = written(rows.filter("vec_id is not null and digest is not null").groupBy("digest").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"),
+    ), "classes")
     per_dim = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("dim").alias("d"), F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") * F.col("dim") / SHARD_NUMBERS)).cast("int").alias("shards"),
-        F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"),
     )
-    placed = written(classes.join(per_dim, F.col("dim") == F.col("d")).withColumn("mark", F.xxhash64("rep")).select(
-        "rep", "unit", "dim", "mark", "shards", "blocks", F.pmod("mark", "shards").cast("int").alias("shard"),
-        F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int").alias("block"),
-    ), "placed")
-    graphs = written(placed.select("dim", "shard", "rep", "unit", "mark").groupBy("dim", "shard").applyInArrow(build_shard, SHARD_SQL), "graphs")
-    blocks = written(placed.select(F.col("dim").alias("d"), F.col("block").alias("part")).distinct(), "blocks")
-    spread = graphs.join(blocks, F.col("dim") == F.col("d")).drop("d")
-    asked = placed.select("dim", F.col("block").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "rep", "unit")
-    found = asked.groupBy("dim", "shard", "part").cogroup(spread.groupBy("dim", "shard", "part")).applyInArrow(query_shard, "a bigint, b bigint, beam int")
+    placed = classes.join(per_dim, F.col("dim") == F.col("d")).withColumn("mark", F.xxhash64("rep")).select(
+        "rep", F.col("digest").alias("of"), "mark", F.pmod("mark", "shards").cast("int").alias("shard"),
+    )
+    numbers = given.mapInArrow(lambda batches: unit_rows(batches, kind, True), "vec_id bigint, dim int, digest binary, raw binary")
+    numbers = numbers.filter("vec_id is not null and digest is not null").groupBy("vec_id", "digest").agg(F.first("dim").alias("dim"), F.first("raw").alias("raw"))
+    held = numbers.join(placed, (F.col("vec_id") == F.col("rep")) & (F.col("digest") == F.col("of"))).select("dim", "shard", "rep", "digest", "mark", "raw")
+    shards = written(held.groupBy("dim", "shard").applyInArrow(lambda key, table: build_shard(key, table, folder, kind), INDEX_SQL), "graphs")
+    free_shuffles(spark)
+    blocks = shards.select(F.col("dim").alias("d"), F.col("name").alias("other"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / BLOCK).cast("int"))).alias("block"))
+    asked = written(shards.join(blocks, F.col("dim") == F.col("d")).select("name", "other", "block"), "asked")
+    # Dealt out by number: the rows are few and small, and each is much work.
+    dealt = asked.repartition(max(1, min(TASKS, asked.count())))
+    found = dealt.mapInArrow(lambda batches: query_shards(batches, folder), "a bigint, b bigint, beam int")
     links = written(found.groupBy("a", "b").agg(F.max("beam").alias("beam")), "links")
     copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -304,7 +360,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     summary = copies.join(linked, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left").select(
         "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"),
     )
-    of = rows.join(classes.select("unit", "rep"), "unit", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("of"))
+    of = rows.join(classes.select("digest", "rep"), "digest", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("rep")).alias("of"))
     return of.join(summary, F.col("of") == F.col("rep"), "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

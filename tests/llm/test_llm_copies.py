@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lograph.llm import hnsw, jaccard, suffixes
@@ -190,6 +191,47 @@ def test_near_vectors_match_brute_force(spark):
     assert hnsw.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_no_row_holds_the_graph_of_a_shard(spark, monkeypatch):
+    """Rows with whole shards were sorted and shuffled, once per block of queries."""
+    monkeypatch.setattr(hnsw, "LEAST_SHARDS", 2)
+    write, longest = hnsw.written, {}
+
+    def spied(frame, name, keep=False):
+        out = write(frame, name, keep)
+        longest.update({(name, c): out.agg(F.max(F.length(c))).first()[0] or 0 for c, kind in out.dtypes if kind == "binary"})
+        return out
+
+    monkeypatch.setattr(hnsw, "written", spied)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(200, 16))
+    vectors[150:] = vectors[:50] * 3 + 0.01 * rng.normal(size=(50, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(7, vectors[7].tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    want = {i: (2 if i in (7, 157) else 1, i % 150, i < 150) if i % 150 < 50 else (0, i, True) for i in range(200)}
+    assert got == want
+    assert longest and max(longest.values()) <= 8 * 16
+
+
+def test_blocks_of_a_shard_are_read_from_its_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(hnsw, "BLOCK", 100)
+    rng = np.random.default_rng(9)
+    names, given = [], []
+    for shard in range(2):
+        vectors = rng.normal(size=(350, 8)).astype(np.float32)
+        reps = np.arange(350) * 2 + shard
+        rows = pa.table({"rep": reps, "digest": [bytes([i % 256]) for i in reps], "mark": rng.integers(0, 2**62, 350), "raw": [v.tobytes() for v in vectors]})
+        index = hnsw.build_shard((8, shard), rows, f"file://{tmp_path}", np.float32).to_pylist()[0]
+        assert (index["dim"], index["n"]) == (8, 350)
+        names.append(index["name"])
+        given += zip(reps.tolist(), vectors.astype(np.float64))
+    asked = pa.RecordBatch.from_pylist([{"name": a, "other": b, "block": k} for a in names for b in names for k in range(4)])
+    got = {(r["a"], r["b"]) for batch in hnsw.query_shards(iter([asked]), f"file://{tmp_path}") for r in batch.to_pylist()}
+    ids, unit = np.array([i for i, _ in given]), np.array([v / np.linalg.norm(v) for _, v in given])
+    near = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    want = {tuple(sorted((int(ids[i]), int(ids[j])))) for i, j in near}
+    assert len(want) > 20 and got == want
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(7)
     vectors = rng.normal(size=(3000, 24))
